@@ -39,6 +39,11 @@ def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
         name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         for name in ("lineitem", "orders", "part")
     }
+    # A small table is one row group and so one task: spread it over the idle cores.
+    # A table of many files already has more tasks than cores and is left as it is.
+    cores = spark.sparkContext.defaultParallelism
+    if tables["lineitem"].rdd.getNumPartitions() < cores:
+        tables["lineitem"] = tables["lineitem"].repartition(cores)
     return spark.sql(AWARDS_SQL, **tables)
 
 
@@ -62,18 +67,19 @@ def write_drop_files(lines: DataFrame, header: str, root: str) -> list[str]:
                 sink.close()
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if (row["year"], row["file"]) != current:
+            for key, part in batch.to_pandas().groupby(["year", "file"], sort=False):
+                if key != current:
                     close()
-                    current = (row["year"], row["file"])
-                    folder = f"{base}/{row['year']}_awards"
+                    current = key
+                    folder = f"{base}/{key[0]}_awards"
                     system.create_dir(folder, recursive=True)
-                    name = f"{folder}/contracts_All_{row['file']}.csv.zst"
-                    sink = system.open_output_stream(name, compression=None)
+                    sink = system.open_output_stream(
+                        f"{folder}/contracts_All_{key[1]}.csv.zst", compression=None
+                    )
                     out = zstandard.ZstdCompressor(level=3).stream_writer(sink, closefd=False)
                     out.write(f"{header}\n".encode())
-                    yield pa.RecordBatch.from_pydict({"year": [row["year"]]})
-                out.write(f"{row['line']}\n".encode())
+                    yield pa.RecordBatch.from_pydict({"year": [key[0]]})
+                out.write(("\n".join(part["line"]) + "\n").encode())
         close()
 
     ordered = lines.repartition("year", "file").sortWithinPartitions("year", "file")

@@ -9,6 +9,18 @@ PART_NUMBER = r"_(\d+)\.csv.zst$"
 
 def file_id(file_name: Column) -> Column:
     """The part number in the name, else the name without its last suffix."""
-    number = F.regexp_extract(file_name, PART_NUMBER, 1)
-    stem = F.regexp_replace(file_name, r"(?<=.)\.[^.]+$", "")
-    return F.when(number != "", number).otherwise(stem)
+    number = F.nullif(F.regexp_extract(file_name, PART_NUMBER, 1), F.lit(""))
+    return F.coalesce(number, F.regexp_replace(file_name, r"(?<=.)\.[^.]+$", ""))
+
+
+def uri_name(uri: Column) -> Column:
+    """Last part of a URI, still percent-encoded."""
+    return F.substring_index(uri, "/", -1)
+
+
+def uri_file_id(encoded_name: Column) -> Column:
+    """``file_id`` of a percent-encoded name; decodes only where the name itself is the id."""
+    number = F.nullif(F.regexp_extract(encoded_name, PART_NUMBER, 1), F.lit(""))
+    # A plus sign in a path is itself, unlike in a form.
+    name = F.url_decode(F.replace(encoded_name, F.lit("+"), F.lit("%2B")))
+    return F.coalesce(number, file_id(name))

@@ -30,6 +30,9 @@ class _Span:
     def holds(self) -> Column:
         return F.col("v").between(F.lit(self.low), F.lit(self.high))
 
+    def is_wide(self, pick_limit: int) -> bool:
+        return self.rows > pick_limit and self.low != self.high
+
 
 def quantiles(
     df: DataFrame,
@@ -51,12 +54,22 @@ def quantiles(
         row = values.agg(F.percentile_approx("v", list(probabilities), accuracy)).first()
         return list(row[0]) if row[0] is not None else [None] * len(probabilities)
 
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    # The first guesses come with the row count, in the same pass.
+    first = values.agg(
+        F.count("v"),
+        F.min("v"),
+        F.max("v"),
+        *(F.percentile_approx("v", _around(p, accuracy), accuracy) for p in probabilities),
+    ).first()
+    n, low, high = first[:3]
     if n == 0:
         return [None] * len(probabilities)
     spans = [_Span(low, high, n, _rank(p, n, method)) for p in probabilities]
-    while any(_is_wide(span, pick_limit) for span in spans):
-        spans = _narrow(values, spans, pick_limit, accuracy)
+    guesses = dict(enumerate(first[3:]))
+    while wide := [i for i, span in enumerate(spans) if span.is_wide(pick_limit)]:
+        guesses = guesses or _guess(values, spans, wide, accuracy)
+        spans = _narrow(values, spans, {i: guesses[i] for i in wide})
+        guesses = None
     return _pick(values, spans)
 
 
@@ -66,31 +79,35 @@ def _rank(p: float, n: int, method: str) -> int:
     return max(math.ceil(p * n) - 1, 0)
 
 
-def _is_wide(span: _Span, pick_limit: int) -> bool:
-    return span.rows > pick_limit and span.low != span.high
-
-
-def _narrow(
-    values: DataFrame, spans: list[_Span], pick_limit: int, accuracy: int
-) -> list[_Span]:
-    wide = [i for i, span in enumerate(spans) if _is_wide(span, pick_limit)]
+def _around(q: float, accuracy: int) -> list[float]:
     margin = 2.0 / accuracy
+    return [max(q - margin, 0.0), q, min(q + margin, 1.0)]
 
-    def around(span: _Span) -> list[float]:
-        q = (span.skip + 0.5) / span.rows
-        return [max(q - margin, 0.0), q, min(q + margin, 1.0)]
 
-    guesses = values.agg(
+def _guess(
+    values: DataFrame, spans: list[_Span], wide: list[int], accuracy: int
+) -> dict[int, list[float]]:
+    """Values just left of, at and just right of each sought row, approximately."""
+    row = values.agg(
         *(
             F.percentile_approx(
-                F.when(spans[i].holds(), F.col("v")), around(spans[i]), accuracy
-            ).alias(f"g{i}")
+                F.when(spans[i].holds(), F.col("v")),
+                _around((spans[i].skip + 0.5) / spans[i].rows, accuracy),
+                accuracy,
+            )
             for i in wide
         )
     ).first()
+    return dict(zip(wide, row))
+
+
+def _narrow(
+    values: DataFrame, spans: list[_Span], guesses: dict[int, list[float]]
+) -> list[_Span]:
+    """Replace each span by the zone between its guesses that holds the sought row."""
 
     def zones(i: int) -> list[Column]:
-        left, middle, right = guesses[f"g{i}"]
+        left, middle, right = guesses[i]
         v, inside = F.col("v"), spans[i].holds()
         return [
             inside & (v < left),
@@ -107,13 +124,13 @@ def _narrow(
                 F.min(F.when(zone, F.col("v"))).alias("low"),
                 F.max(F.when(zone, F.col("v"))).alias("high"),
             ).alias(f"z{i}_{k}")
-            for i in wide
+            for i in guesses
             for k, zone in enumerate(zones(i))
         )
     ).first()
 
     narrowed = list(spans)
-    for i in wide:
+    for i in guesses:
         skip = spans[i].skip
         for k in range(5):
             zone = counted[f"z{i}_{k}"]

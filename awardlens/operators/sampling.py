@@ -10,6 +10,7 @@ all in one task, so the last draw that is still in (the *cut*) is searched for i
 
 After that, membership is a comparison of a row's draw with its stratum's cut. Copies of
 one row share a draw; they are counted, never ranked, so any number of copies is fine.
+The draws are staged first, so the passes read a table and not the input again.
 """
 
 from collections.abc import Sequence
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import measured
+from ..session import measured, staged
 
 PREFIX_DIGITS = 4
 
@@ -48,22 +49,16 @@ def same_stratum(left: DataFrame, right: DataFrame, strata: Sequence[str]) -> Co
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def sample_cuts(
-    df: DataFrame,
-    fraction: float,
-    seed: int,
-    strata: Sequence[str] = (),
-    columns: Sequence[str] | None = None,
-) -> DataFrame:
-    """One row per non-empty sample: ``_of_<stratum>`` columns, ``_cut``, ``_at_cut``.
+def sample_cuts(drawn: DataFrame, fraction: float, strata: Sequence[str] = ()) -> DataFrame:
+    """One row per non-empty sample: ``_of_<stratum>``, ``_cut``, ``_at_cut``, ``_copies``.
 
-    ``_at_cut`` is how many of the rows whose draw equals the cut belong to the sample.
+    ``drawn`` holds the strata and a ``_draw`` per row. ``_copies`` rows have the cut as
+    their draw; ``_at_cut`` of them are in the sample.
     """
     fraction = check_fraction(fraction)
     names = [f"_of_{name}" for name in strata]
-    draws = df.select(
-        *(F.col(name).alias(alias) for name, alias in zip(strata, names)),
-        draw_of(df, columns or df.columns, seed).alias("_draw"),
+    draws = drawn.select(
+        *(F.col(f"`{name}`").alias(alias) for name, alias in zip(strata, names)), "_draw"
     ).withColumn("_prefix", F.substring("_draw", 1, PREFIX_DIGITS))
 
     stratum = Window.partitionBy(*names)
@@ -105,7 +100,10 @@ def sample_cuts(
     per_draw = at_edge.groupBy(*names, "_draw", "_take").agg(F.count(F.lit(1)).alias("_n"))
     return measured(
         crossing(per_draw, "_draw").select(
-            *names, F.col("_draw").alias("_cut"), F.col("_left").alias("_at_cut")
+            *names,
+            F.col("_draw").alias("_cut"),
+            F.col("_left").alias("_at_cut"),
+            F.col("_n").alias("_copies"),
         )
     )
 
@@ -114,40 +112,42 @@ def exact_sample(
     df: DataFrame, fraction: float, seed: int, strata: Sequence[str] = ()
 ) -> DataFrame:
     """Exactly ``floor(fraction * n)`` rows of every stratum, without replacement."""
+    fraction = check_fraction(fraction)
     columns = df.columns
-    cuts = sample_cuts(df, fraction, seed, strata)
-    drawn = df.withColumn("_draw", draw_of(df, columns, seed))
+    drawn = staged(df.withColumn("_draw", draw_of(df, columns, seed)), "draws")
+    cuts = sample_cuts(drawn, fraction, strata)
     if strata:
         met = drawn.join(cuts, same_stratum(drawn, cuts, strata))
     else:
         only = cuts.first()
         if only is None:
             return df.limit(0)
-        met = drawn.withColumns(
-            {"_cut": F.lit(only["_cut"]), "_at_cut": F.lit(only["_at_cut"]).cast("long")}
-        )
-    below = met.filter(F.col("_draw") < F.col("_cut")).select(*columns)
-
-    # Rows that share the cut's draw are copies of one row: count them and give back as
-    # many as are due.
-    copies = (
-        met.filter(F.col("_draw") == F.col("_cut"))
-        .groupBy(*columns, "_at_cut")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        met = drawn.withColumns({name: F.lit(only[name]) for name in ("_cut", "_at_cut", "_copies")})
+    at_cut = F.col("_draw") == F.col("_cut")
+    split = F.col("_at_cut") < F.col("_copies")
+    whole = met.filter((F.col("_draw") < F.col("_cut")) | (at_cut & ~split)).select(
+        *(f"`{name}`" for name in columns)
     )
+    if cuts.filter(split).isEmpty():
+        return whole
+
+    # Some stratum takes only a part of the copies at its cut: count the copies and give
+    # back as many as are due.
+    copies = met.filter(at_cut & split).groupBy(*(f"`{name}`" for name in columns), "_at_cut")
     upto = F.sum("_n").over(
         Window.partitionBy(*strata)
         .orderBy(*(F.asc_nulls_first(f"`{name}`") for name in columns))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     due = (
-        copies.withColumn("_before", upto - F.col("_n"))
+        copies.agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", upto - F.col("_n"))
         .withColumn("_due", F.least(F.col("_n"), F.col("_at_cut") - F.col("_before")))
         .filter(F.col("_due") > 0)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_due"))))
-        .select(*columns)
+        .select(*(f"`{name}`" for name in columns))
     )
-    return below.unionByName(due)
+    return whole.unionByName(due)
 
 
 def fast_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:

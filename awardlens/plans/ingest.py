@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import uri_file_id, uri_name
 from ..sources.cells import BAD_VALUES, infer_fields, normalise_nulls, type_cells
 from ..sources.drops import FILE_SIZE, LINEAGE, Drop, read_drops, year_directories
 from ..sources.schema_json import load_schema
@@ -70,9 +71,7 @@ def typed_rows(
 
 
 def _report_spoiled(files: DataFrame, spoiled: DataFrame) -> DataFrame:
-    from ..functions.lineage import file_id
-
-    names = files.withColumn("file", file_id(F.element_at(F.split("path", "/"), -1)))
+    names = files.withColumn("file", uri_file_id(uri_name(F.col("uri"))))
     marked = names.join(spoiled.withColumn("_spoiled", F.lit(True)), LINEAGE, "left")
     return marked.withColumn(
         "error", F.coalesce("error", F.when(F.col("_spoiled"), F.lit("has a bad value")))

@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import parse_tf
 from ..operators.keys import attach_by_key
 from ..operators.quantiles import quantiles
-from ..operators.sampling import draw_of, exact_sample, same_stratum, sample_cuts
+from ..operators.sampling import (
+    check_fraction,
+    draw_of,
+    exact_sample,
+    same_stratum,
+    sample_cuts,
+)
+from ..session import staged
 
 KEY = "contract_award_unique_key"
 VALUE = "current_total_value_of_award"
@@ -97,11 +104,15 @@ def build_subset(
     A row belongs to it when its initial columns were sampled or lie in a tail. Rows that
     agree in all initial columns belong together, as they would after a distinct.
     """
+    check_fraction(fraction)
     awards = clean_awards(rows)
-    low, high = value_thresholds(awards, method=quantile_method)
-    initial = awards.select(*INITIAL_COLUMNS)
-    cuts = sample_cuts(initial, fraction, seed, [STRATUM])
-    drawn = awards.withColumn("_draw", draw_of(initial, INITIAL_COLUMNS, seed))
+    draw = draw_of(awards, INITIAL_COLUMNS, seed)
+    # Award type, value and draw are all that finding the thresholds and cuts needs. The
+    # input itself is read twice: here, and for the result.
+    facts = staged(awards.select(STRATUM, VALUE, draw.alias("_draw")), "subset-facts")
+    low, high = value_thresholds(facts, method=quantile_method)
+    cuts = sample_cuts(facts, fraction, [STRATUM])
+    drawn = awards.withColumn("_draw", draw)
     sampled = F.coalesce(F.col("_draw") <= F.col("_cut"), F.lit(False))
     return (
         drawn.join(cuts, same_stratum(drawn, cuts, [STRATUM]), "left")

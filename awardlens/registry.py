@@ -18,7 +18,7 @@ from .functions.sectors import SECTOR_NAMES, UNKNOWN_SECTOR
 from .operators.keys import attach_by_key, restrict_to_keys, union_widened
 from .plans import funding, options, outlays, series, subset
 from .plans.ingest import ingest, read_outlay_drops
-from .session import scratch_dir
+from .session import scratch_dir, staged
 from .sources.drops import year_directories
 from .sources.schema_json import schema_from_text
 from .sources.tables import csv_columns, read_awards, read_plain_csv, write_csv
@@ -471,7 +471,8 @@ SQL_SUBSET = f"""{SQL_SAMPLE},
 
 
 def _thresholds_frame(awards: DataFrame, method: str) -> DataFrame:
-    low, high = subset.value_thresholds(awards, method=method)
+    values = staged(awards.select(subset.VALUE), "values")
+    low, high = subset.value_thresholds(values, method=method)
     return awards.sparkSession.createDataFrame([(low, high)], "low double, high double")
 
 
@@ -494,7 +495,7 @@ def _(awards):
     f"{SQL_SUBSET} SELECT * FROM e",
 )
 def _(awards):
-    clean = subset.clean_awards(awards)
+    clean = staged(subset.clean_awards(awards.select(*subset.INITIAL_COLUMNS)), "clean")
     return subset.edge_cases(clean, *subset.value_thresholds(clean))
 
 
@@ -627,7 +628,7 @@ LONG_ROW = "cast(contract_award_unique_key AS bigint) % 97 = 1"
 SHORT_ROW = "cast(contract_award_unique_key AS bigint) % 89 = 1"
 QUOTED_ROW = "cast(contract_award_unique_key AS bigint) % 7 = 1"
 BLANK_AFTER = "cast(contract_award_unique_key AS bigint) % 101 = 1"
-ROWS_PER_FILE = 4000
+KEYS_PER_FILE = 10_000
 
 DROP_CELLS = {
     "contract_award_unique_key": "contract_award_unique_key",
@@ -656,6 +657,7 @@ DROP_SCHEMA = """{"fields": [
  {"name": "naics_code", "type": "uint32"},
  {"name": "naics_description", "type": "string"},
  {"name": "award_type", "type": {"type": "dictionary", "valueType": "string"}},
+ {"name": "recipient_name", "type": "string"},
  {"name": "woman_owned_business", "type": "bool"},
  {"name": "period_of_performance_current_end_date", "type": "date32[day]"}]}"""
 
@@ -667,7 +669,7 @@ def write_drops(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
     lines = fixtures.awards(spark, sf_dir).select(
         F.col("action_date_fiscal_year").cast("string").alias("year"),
         F.expr(
-            f"lpad(cast(cast(contract_award_unique_key AS bigint) DIV {ROWS_PER_FILE} AS string), 6, '0')"
+            f"lpad(cast(cast(contract_award_unique_key AS bigint) DIV {KEYS_PER_FILE} AS string), 6, '0')"
         ).alias("file"),
         F.expr(
             f"""concat(CASE WHEN {SHORT_ROW} THEN 'short,row' ELSE concat_ws(',', {cells}) END,
@@ -679,7 +681,7 @@ def write_drops(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
 
 
 SQL_DROP_ROWS = f"""WITH k AS (SELECT *, cast(action_date_fiscal_year AS varchar) AS year,
-   lpad(cast(cast(contract_award_unique_key AS bigint) // {ROWS_PER_FILE} AS varchar), 6, '0') AS file,
+   lpad(cast(cast(contract_award_unique_key AS bigint) // {KEYS_PER_FILE} AS varchar), 6, '0') AS file,
    CASE WHEN {QUOTED_ROW} THEN 'as said, "' || naics_description || '"' ELSE naics_description END AS described
    FROM awards WHERE NOT ({LONG_ROW}) AND NOT ({SHORT_ROW}))"""
 

@@ -43,3 +43,14 @@ def measured(df: DataFrame) -> DataFrame:
     kept = df.persist()
     kept.count()
     return kept
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared scratch folder and read it from there.
+
+    For input that several passes read: the passes then scan only the columns they need,
+    do not repeat the joins or parsing behind ``df``, and survive lost executors.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

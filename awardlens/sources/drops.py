@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lineage import file_id
+from ..functions.lineage import uri_file_id, uri_name
 from ..operators.keys import union_widened
 
 log = logging.getLogger(__name__)
@@ -29,16 +29,19 @@ log = logging.getLogger(__name__)
 SPARK_WINDOW = 128 << 20
 MAX_WINDOW = 2 << 30
 LINE_BATCH = 4 << 20
+PACKED_CHUNK = 16 << 10
 
 YEAR, FILE = "year", "file"
 LINEAGE = [YEAR, FILE]
 ROW_BAD, FILE_URI, FILE_SIZE = "_bad_row", "_file_uri", "_file_size"
 
 PROBE_SCHEMA = (
-    "path string, uri string, length long, window_bytes long, header array<string>, error string"
+    "year string, path string, uri string, length long,"
+    "window_bytes long, header array<string>, error string"
 )
 PROBE_ARROW = pa.schema(
     [
+        ("year", pa.string()),
         ("path", pa.string()),
         ("uri", pa.string()),
         ("length", pa.int64()),
@@ -67,7 +70,7 @@ def year_directories(
 
 
 def list_drop(spark: SparkSession, directory: str, pattern: str = "*.zst") -> DataFrame | None:
-    """(path, uri, length) of the directory's files; None when there are none."""
+    """(path, uri, length) of the directory's files; None when it does not exist."""
     try:
         # Only names and lengths are selected, so no content is read.
         files = (
@@ -81,32 +84,54 @@ def list_drop(spark: SparkSession, directory: str, pattern: str = "*.zst") -> Da
             raise
         log.warning("directory %s does not exist, skipped", directory)
         return None
-    if files.isEmpty():
-        log.warning("no %s files in %s, skipped", pattern, directory)
-        return None
     return files
 
 
 class _Decompressed(io.RawIOBase):
-    """The decompressed bytes of a file on any file system Arrow knows."""
+    """The decompressed bytes of a file on any file system Arrow knows.
+
+    All frames are read, and a file that ends inside a frame is an error.
+    """
 
     def __init__(self, uri: str):
         import zstandard
         from pyarrow import fs
 
-        system, self.name = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-        self.size = system.get_file_info(self.name).size
-        with system.open_input_stream(self.name, compression=None) as start:
+        system, name = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+        self.size = system.get_file_info(name).size
+        with system.open_input_stream(name, compression=None) as start:
             self.window = zstandard.get_frame_parameters(start.read(18)).window_size
-        self._reader = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW).stream_reader(
-            system.open_input_stream(self.name, compression=None), read_across_frames=True
-        )
+        self._source = system.open_input_stream(name, compression=None)
+        self._decompressor = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW)
+        self._frame = None
+        self._pending = b""
 
     def readable(self):
         return True
 
     def readinto(self, buffer):
-        return self._reader.readinto(buffer)
+        while not self._pending:
+            packed = self._source.read(PACKED_CHUNK)
+            if not packed:
+                if self._frame is not None:
+                    raise EOFError("file ends inside a compressed frame")
+                return 0
+            self._pending = self._unpack(packed)
+        n = min(len(buffer), len(self._pending))
+        buffer[:n] = self._pending[:n]
+        self._pending = self._pending[n:]
+        return n
+
+    def _unpack(self, packed: bytes) -> memoryview:
+        parts = []
+        while packed:
+            if self._frame is None:
+                self._frame = self._decompressor.decompressobj()
+            parts.append(self._frame.decompress(packed))
+            packed = b""
+            if self._frame.eof:
+                packed, self._frame = self._frame.unused_data, None
+        return memoryview(b"".join(parts))
 
 
 def _look_at(uri: str, verify: bool) -> dict:
@@ -162,17 +187,16 @@ def read_drops(
     """
     if on_corrupt not in ("skip", "fail"):
         raise ValueError(f"on_corrupt must be 'skip' or 'fail', got {on_corrupt!r}")
-    probes = []
+    listings = []
     for year, directory in years_dirs:
-        files = list_drop(spark, directory)
-        if files is not None:
-            found = probe(files, verify=on_corrupt == "skip")
-            probes.append(found.withColumn(YEAR, F.lit(year)))
-    if not probes:
-        return Drop(spark.createDataFrame([], f"{PROBE_SCHEMA}, year string"), None)
+        listed = list_drop(spark, directory)
+        if listed is not None:
+            listings.append(listed.withColumn(YEAR, F.lit(year)))
+    if not listings:
+        return Drop(spark.createDataFrame([], PROBE_SCHEMA), None)
 
+    files = probe(union_widened(listings), verify=on_corrupt == "skip")
     lacking = F.array_except(F.array(*map(F.lit, required)), F.col("header")) if required else None
-    files = union_widened(probes)
     if lacking is not None:
         files = files.withColumn(
             "error",
@@ -192,13 +216,18 @@ def read_drops(
         raise ValueError(f"{len(broken)} unreadable files, first: {broken[0]['path']}")
 
     # File and directory names: what any scan must be given, not data.
-    good = files.filter(F.col("error").isNull())
     layouts = (
-        good.groupBy("header", (F.col("window_bytes") > SPARK_WINDOW).alias("wide"))
-        .agg(F.sort_array(F.collect_list(F.struct("path", "uri"))).alias("names"))
+        files.filter(F.col("error").isNull())
+        .groupBy("header", (F.col("window_bytes") > SPARK_WINDOW).alias("wide"))
+        .agg(F.sort_array(F.collect_list(F.struct("path", "uri", YEAR))).alias("names"))
         .collect()
     )
-    folders = good.select(_folder(F.col("uri")), YEAR).distinct().collect()
+    folders = {
+        (name["uri"].rpartition("/")[0], name[YEAR]) for layout in layouts for name in layout["names"]
+    }
+    for year, directory in years_dirs:
+        if year not in {found for _, found in folders}:
+            log.warning("no readable files for year %s in %s", year, directory)
     scans = [
         _scan_wide(spark, [name["uri"] for name in layout["names"]], layout["header"])
         if layout["wide"]
@@ -208,25 +237,18 @@ def read_drops(
     if not scans:
         return Drop(files, None)
     rows = union_widened(scans, fill_missing=True)
-    year_of = F.create_map(*[F.lit(text) for folder in folders for text in folder])
+    year_of = F.create_map(*[F.lit(text) for folder in sorted(folders) for text in folder])
     data = [name for name in rows.columns if name not in (FILE_URI, FILE_SIZE)]
-    rows = rows.select(
+    rows = rows.withColumn("_name", uri_name(F.col(FILE_URI))).select(
         *(F.col(f"`{name}`") for name in data),
-        F.element_at(year_of, _folder(F.col(FILE_URI))).alias(YEAR),
-        file_id(_base_name(F.col(FILE_URI))).alias(FILE),
+        F.element_at(year_of, F.expr(f"left({FILE_URI}, length({FILE_URI}) - length(_name) - 1)"))
+        .alias(YEAR),
+        uri_file_id(F.col("_name")).alias(FILE),
         FILE_SIZE,
     )
     return Drop(files, rows)
 
 
-def _folder(uri: Column) -> Column:
-    return F.regexp_replace(uri, "/[^/]*$", "")
-
-
-def _base_name(uri: Column) -> Column:
-    return F.url_decode(F.replace(F.regexp_extract(uri, "([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
-
-
 CSV_OPTIONS = {
     "mode": "PERMISSIVE",
     "escape": '"',

@@ -19,11 +19,21 @@ TEXT_COLUMNS = [
 
 
 def read_awards(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    """A ``year=/file=`` dataset, lazily. Partition values stay text, so ``01`` is kept."""
+    """A ``year=/file=`` dataset, lazily. Partition values stay text, so ``01`` is kept.
+
+    Drops may differ in columns, so the schema is merged from the footers of all files by
+    a distributed job; pass the schema to skip that.
+    """
+    reader = spark.read.option("mergeSchema", schema is None)
+    if schema is not None:
+        reader = reader.schema(schema)
     with session_conf(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}):
-        rows = spark.read.parquet(path)
+        rows = reader.parquet(path)
     return rows if columns is None else rows.select(*(f"`{name}`" for name in columns))
 
 

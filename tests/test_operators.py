@@ -1,0 +1,207 @@
+import hashlib
+import math
+import random
+from collections import Counter, defaultdict
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from awardlens.operators.keys import (
+    attach_by_key,
+    distinct_values,
+    restrict_to_keys,
+    union_widened,
+)
+from awardlens.operators.quantiles import quantiles
+from awardlens.operators.ranking import top_n_with_share, with_share
+from awardlens.operators.sampling import exact_sample, fast_sample
+
+# ---- quantiles -------------------------------------------------------------------------
+
+
+def brute_quantile(values, p, method):
+    ordered = sorted(v for v in values if v is not None)
+    n = len(ordered)
+    rank = math.floor(p * (n - 1) + 0.5) if method == "nearest" else max(math.ceil(p * n) - 1, 0)
+    return ordered[rank]
+
+
+SHAPES = {
+    "uniform": lambda r: r.uniform(-1e6, 1e6),
+    "one value holds a third": lambda r: 7.0 if r.random() < 0.34 else r.uniform(0, 100),
+    "few values": lambda r: float(r.choice([1, 2, 3])),
+    "constant": lambda r: 5.0,
+    "with nulls": lambda r: None if r.random() < 0.3 else r.gauss(0, 1),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("method", ["nearest", "disc"])
+def test_quantiles_are_exact_through_narrowing(spark, shape, method):
+    rng = random.Random(shape)
+    values = [SHAPES[shape](rng) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(8)
+    probabilities = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = quantiles(df, "v", probabilities, method, pick_limit=10, accuracy=50)
+    assert got == [brute_quantile(values, p, method) for p in probabilities]
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    for method in ("nearest", "disc", "approx"):
+        assert quantiles(df, "v", [0.05, 0.95], method) == [None, None]
+    with pytest.raises(ValueError):
+        quantiles(df, "v", [0.5], "linear")
+
+
+def test_approximate_quantiles_are_close(spark):
+    df = spark.range(10_001).select(F.col("id").cast("double").alias("v"))
+    low, high = quantiles(df, "v", [0.05, 0.95], "approx")
+    assert abs(low - 500) <= 5 and abs(high - 9500) <= 5
+
+
+# ---- samples ---------------------------------------------------------------------------
+
+
+def draw(row, seed):
+    def text(value):
+        if value is None:
+            return "~"
+        return f"{Decimal(repr(value)):.6f}" if isinstance(value, float) else str(value)
+
+    return hashlib.md5("|".join([str(seed), *map(text, row)]).encode()).hexdigest()
+
+
+def brute_sample(rows, fraction, seed, stratum=None):
+    strata = defaultdict(list)
+    for row in rows:
+        strata[None if stratum is None else (row[stratum],)].append(row)
+    picked = Counter()
+    for members in strata.values():
+        order = lambda r: (draw(r, seed), [(v is not None, v) for v in r])
+        picked.update(sorted(members, key=order)[: math.floor(fraction * len(members))])
+    return picked
+
+
+def award_rows(n, rng):
+    """A stratum of a third, a row whose copies are another third, small strata, nulls."""
+    rows = []
+    for i in range(n):
+        where = rng.random()
+        if where < 0.33:
+            rows.append((f"k{i}", "hot", float(i)))
+        elif where < 0.66:
+            rows.append(("copy", "copies", 1.5))
+        else:
+            value = None if i % 7 == 0 else i / 4
+            rows.append((f"k{i % 50}", rng.choice(["a", "b", None, f"rare{i}"]), value))
+    return rows
+
+
+@pytest.mark.parametrize("fraction", [0.2, 0.05, 1.0, 0.001])
+def test_stratified_sample_is_exact(spark, fraction):
+    rows = award_rows(3000, random.Random(4))
+    df = spark.createDataFrame(rows, "k string, s string, v double").repartition(8)
+    got = Counter(tuple(r) for r in exact_sample(df, fraction, 69, ["s"]).collect())
+    assert got == brute_sample(rows, fraction, 69, stratum=1)
+
+
+@pytest.mark.parametrize("fraction", [0.37, 1.0])
+def test_plain_sample_is_exact(spark, fraction):
+    rows = award_rows(2000, random.Random(5))
+    df = spark.createDataFrame(rows, "k string, s string, v double").repartition(8)
+    got = Counter(tuple(r) for r in exact_sample(df, fraction, 7).collect())
+    assert got == brute_sample(rows, fraction, 7)
+    assert sum(got.values()) == math.floor(fraction * len(rows))
+
+
+def test_small_strata_and_empty_input(spark):
+    rows = [("a", s, float(i)) for s, n in [("1", 1), ("4", 4), ("5", 5), ("100", 100)] for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, s string, v double")
+    sizes = {r["s"]: r["count"] for r in exact_sample(df, 0.2, 69, ["s"]).groupBy("s").count().collect()}
+    assert sizes == {"5": 1, "100": 20}
+    assert exact_sample(df.limit(0), 0.2, 69, ["s"]).count() == 0
+    assert exact_sample(df.limit(0), 0.2, 69).count() == 0
+
+
+def test_sample_repeats_and_depends_on_seed(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 3).alias("s"))
+    first = set(exact_sample(df, 0.1, 1, ["s"]).collect())
+    assert first == set(exact_sample(df.repartition(5), 0.1, 1, ["s"]).collect())
+    assert first != set(exact_sample(df, 0.1, 2, ["s"]).collect())
+
+
+@pytest.mark.parametrize("fraction", [0, -0.1, 1.1, None])
+def test_fraction_is_checked_before_any_work(spark, fraction):
+    df = spark.range(1)
+    with pytest.raises(ValueError):
+        exact_sample(df, fraction, 1)
+    with pytest.raises(ValueError):
+        fast_sample(df, fraction, 1)
+
+
+def test_fast_sample_is_about_the_fraction(spark):
+    assert 800 < fast_sample(spark.range(10_000), 0.1, 3).count() < 1200
+
+
+# ---- ranking ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("lanes", [1, 4, 64])
+def test_top_n_equals_a_plain_ranking(spark, lanes):
+    rng = random.Random(6)
+    rows = [
+        (rng.choice([2020, 2021, None]) if rng.random() < 0.5 else 2022, f"g{i}", float(rng.randint(-5, 30)))
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(rows, "y long, g string, v double").repartition(6)
+    got = {tuple(r) for r in top_n_with_share(df, "y", "v", ["g"], 4, "share", lanes).collect()}
+    expected = set()
+    for year in {r[0] for r in rows}:
+        group = [r for r in rows if r[0] == year]
+        total = sum(r[2] for r in group)
+        top = sorted(group, key=lambda r: (-r[2], r[1]))[:4]
+        expected |= {(*r, r[2] / total) for r in top}
+    assert got == expected
+
+
+def test_share_of_a_zero_total(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, -5.0), (2, 0.0)], "y int, v double")
+    got = {(r["y"], r["v"]): r["share"] for r in with_share(df, "y", "v", "share").collect()}
+    assert got[(1, 5.0)] == math.inf and got[(1, -5.0)] == -math.inf
+    assert math.isnan(got[(2, 0.0)])
+
+
+# ---- keys ------------------------------------------------------------------------------
+
+
+def test_distinct_values_put_null_first(spark):
+    df = spark.createDataFrame([(2,), (None,), (1,), (2,)], "v long")
+    assert [r[0] for r in distinct_values(df, "v").collect()] == [None, 1, 2]
+
+
+def test_key_filter_does_not_multiply_rows(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, v int")
+    keys = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert sorted(r["v"] for r in restrict_to_keys(rows, keys, "k").collect()) == [1, 2]
+
+
+def test_attach_by_key(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("z", 4)], "k string, v int")
+    rows = spark.createDataFrame([("a", "x", 9), ("a", "y", 9), (None, "n", 9)], "k string, w string, v int")
+    got = sorted(map(tuple, attach_by_key(left, rows, "k").collect()), key=str)
+    assert got == sorted(
+        [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "x"), ("a", 2, "y"), (None, 3, None), ("z", 4, None)],
+        key=str,
+    )
+
+
+def test_union_widens_types(spark):
+    ints = spark.createDataFrame([(1, 1)], "a int, b int")
+    mixed = spark.createDataFrame([(2.5, "x")], "a double, b string")
+    union = union_widened([ints, mixed])
+    assert union.dtypes == [("a", "double"), ("b", "string")]
+    assert sorted(map(tuple, union.collect())) == [(1.0, "1"), (2.5, "x")]
+    extra = spark.createDataFrame([(3,)], "a int")
+    assert union_widened([ints, extra], fill_missing=True).filter("b is null").count() == 1
