@@ -14,7 +14,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def restrict_to_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in ``keys``; each row once, however often its key occurs."""
-    return rows.join(keys.select(key), key, "left_semi")
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def attach_by_key(left: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,5 @@
 """Yearly drops of compressed CSV into one typed, partitioned Parquet dataset."""
 
-import math
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -10,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.lineage import uri_file_id, uri_name
 from ..sources.cells import BAD_VALUES, infer_fields, normalise_nulls, type_cells
-from ..sources.drops import FILE_SIZE, LINEAGE, Drop, read_drops, year_directories
+from ..sources.drops import LINEAGE, Drop, read_drops, year_directories
 from ..sources.schema_json import load_schema
 from ..sources.tables import write_awards
 from ..sources.vocabulary import Vocabulary, bool_vocabulary
@@ -18,9 +17,6 @@ from .outlays import OUTLAY_COLUMNS, outlay_rows
 
 ON_BAD_VALUE = ("fail", "null", "skip_file")
 
-# Compressed input per output task. A larger file is split after the scan.
-TASK_BYTES = 256 << 20
-
 
 def ingest(
     spark: SparkSession,
@@ -53,7 +49,7 @@ def ingest(
         spoiled = spoiled.filter("spoiled").select(*LINEAGE).persist()
         rows = rows.join(spoiled, LINEAGE, "left_anti").drop(BAD_VALUES)
         files = _report_spoiled(files, spoiled)
-    write_awards(_spread(rows, drop.files).drop(FILE_SIZE), output, overwrite)
+    write_awards(rows, output, overwrite)
     return files
 
 
@@ -61,8 +57,7 @@ def typed_rows(
     text: DataFrame, declared: T.StructType, words: Vocabulary, on_bad_value: str
 ) -> DataFrame:
     """Nulls normalised and cells typed: declared columns as declared, others inferred."""
-    hidden = (*LINEAGE, FILE_SIZE)
-    data = [name for name in text.columns if name not in hidden]
+    data = [name for name in text.columns if name not in LINEAGE]
     known = set(declared.fieldNames())
     clean = normalise_nulls(text, data)
     extra = infer_fields(clean, [name for name in data if name not in known], words)
@@ -78,24 +73,6 @@ def _report_spoiled(files: DataFrame, spoiled: DataFrame) -> DataFrame:
     ).select(*files.columns)
 
 
-def _spread(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Split files above the task size over several tasks; leave others where they are.
-
-    A compressed file is read by one task and normally written by that task, without any
-    shuffle. Only when some file is much larger than a task should be are the rows
-    shuffled, each large file salted into as many parts as its size asks for.
-    """
-    total, largest, count = files.agg(
-        F.sum("length"), F.max("length"), F.count(F.lit(1))
-    ).first()
-    if largest <= 4 * TASK_BYTES:
-        return rows
-    parts = F.ceil(F.col(FILE_SIZE) / F.lit(TASK_BYTES))
-    salted = rows.withColumn("_part", F.monotonically_increasing_id() % parts)
-    tasks = math.ceil(total / TASK_BYTES) + count
-    return salted.repartition(tasks, *LINEAGE, "_part").drop("_part")
-
-
 def read_outlay_drops(
     spark: SparkSession, years_dirs: Sequence[tuple[str, str]], on_corrupt: str = "skip"
 ) -> tuple[Drop, DataFrame | None]:

@@ -2,7 +2,8 @@
 
 A query takes (spark, sf_dir). The SQL runs on the plain tables in another engine and
 must give the same rows. Sums are rounded in both, since the order of floating-point
-addition is free: four digits where cells have four decimals, two where they have six.
+addition is free: to the decimals the exact sum has, or for large sums to two, and
+quotients to so many that no exact value lies half-way.
 """
 
 from collections.abc import Callable
@@ -225,12 +226,12 @@ def sql_sectors(top_n: int, where: str = "") -> str:
            naics_code NULLS FIRST, naics_description NULLS FIRST) AS k FROM g)
      SELECT action_date_fiscal_year, sector_name, naics_code, naics_description,
        round(t, 4) AS total_funding, n AS number_of_awards,
-       round(t / n, 6) AS average_funding_per_award, round(s, 10) AS funding_share
+       round(t / n, 9) AS average_funding_per_award, round(s, 10) AS funding_share
      FROM r WHERE k <= {top_n}"""
 
 
 def round_sectors(sectors: DataFrame) -> DataFrame:
-    return rounded(sectors, total_funding=4, average_funding_per_award=6, funding_share=10)
+    return rounded(sectors, total_funding=4, average_funding_per_award=9, funding_share=10)
 
 
 @query("sector_funding_top5", sql_sectors(5))
@@ -603,21 +604,27 @@ def sql_stacked(report: str, column: str, panels: dict[str, tuple[str, int]]) ->
 @query(
     "sector_series",
     sql_stacked(
-        sql_sectors(5), "sector_name", {k: (v, 6) for k, v in series.SECTOR_PANELS.items()}
+        sql_sectors(5),
+        "sector_name",
+        {k: (v, 9 if k.startswith("average") else 4) for k, v in series.SECTOR_PANELS.items()},
     ),
 )
 def _(awards):
-    return rounded(series.sector_series(round_sectors(funding.sector_funding(awards))), value=6)
+    stacked = series.sector_series(round_sectors(funding.sector_funding(awards)))
+    averages = F.col("panel").startswith("Average")
+    return stacked.withColumn(
+        "value", F.when(averages, F.round("value", 9)).otherwise(F.round("value", 4))
+    )
 
 
 @query(
     "award_type_series",
     sql_stacked(
-        sql_types(), "award_type", {k: (v, 6) for k, v in series.AWARD_TYPE_PANELS.items()}
+        sql_types(), "award_type", {k: (v, 4) for k, v in series.AWARD_TYPE_PANELS.items()}
     ),
 )
 def _(awards):
-    return rounded(series.award_type_series(round_types(funding.award_types(awards))), value=6)
+    return rounded(series.award_type_series(round_types(funding.award_types(awards))), value=4)
 
 
 # ---- files: drops, ingest, plain CSV ---------------------------------------------------

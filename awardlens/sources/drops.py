@@ -4,11 +4,16 @@ A drop is a directory of ``*.zst`` files. A small probe job looks at each file o
 the tasks: it reads the header line, the size of the compression window and, on request,
 decompresses the whole file to see that it is intact. Files with equal headers are then
 read by one scan as text columns *by name*, so drops may differ in columns and order.
+
+A compressed file cannot be split, so it is one task of that scan. Very large files, and
+those whose window Spark's reader does not take, go another way: a task only unpacks the
+file into lines, and the lines of a large file are shuffled to many tasks for parsing.
 """
 
 import csv
 import io
 import logging
+import math
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -16,7 +21,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +33,17 @@ log = logging.getLogger(__name__)
 # The largest window of Spark's own zstd reader and of ours.
 SPARK_WINDOW = 128 << 20
 MAX_WINDOW = 2 << 30
+
 LINE_BATCH = 4 << 20
 PACKED_CHUNK = 16 << 10
 
+# A compressed file above LARGE_FILE is parsed by one task per TASK_BYTES of it.
+LARGE_FILE = 1 << 30
+TASK_BYTES = 256 << 20
+
 YEAR, FILE = "year", "file"
 LINEAGE = [YEAR, FILE]
-ROW_BAD, FILE_URI, FILE_SIZE = "_bad_row", "_file_uri", "_file_size"
+ROW_BAD, FILE_URI = "_bad_row", "_file_uri"
 
 PROBE_SCHEMA = (
     "year string, path string, uri string, length long,"
@@ -218,8 +228,11 @@ def read_drops(
     # File and directory names: what any scan must be given, not data.
     layouts = (
         files.filter(F.col("error").isNull())
-        .groupBy("header", (F.col("window_bytes") > SPARK_WINDOW).alias("wide"))
-        .agg(F.sort_array(F.collect_list(F.struct("path", "uri", YEAR))).alias("names"))
+        .groupBy(
+            "header",
+            ((F.col("window_bytes") > SPARK_WINDOW) | (F.col("length") > LARGE_FILE)).alias("lines"),
+        )
+        .agg(F.sort_array(F.collect_list(F.struct("path", "uri", YEAR, "length"))).alias("names"))
         .collect()
     )
     folders = {
@@ -229,22 +242,19 @@ def read_drops(
         if year not in {found for _, found in folders}:
             log.warning("no readable files for year %s in %s", year, directory)
     scans = [
-        _scan_wide(spark, [name["uri"] for name in layout["names"]], layout["header"])
-        if layout["wide"]
-        else _scan(spark, [name["path"] for name in layout["names"]], layout["header"])
+        (_scan_lines if layout["lines"] else _scan)(spark, layout["names"], layout["header"])
         for layout in sorted(layouts, key=lambda row: row["names"])
     ]
     if not scans:
         return Drop(files, None)
     rows = union_widened(scans, fill_missing=True)
     year_of = F.create_map(*[F.lit(text) for folder in sorted(folders) for text in folder])
-    data = [name for name in rows.columns if name not in (FILE_URI, FILE_SIZE)]
+    data = [name for name in rows.columns if name != FILE_URI]
     rows = rows.withColumn("_name", uri_name(F.col(FILE_URI))).select(
         *(F.col(f"`{name}`") for name in data),
         F.element_at(year_of, F.expr(f"left({FILE_URI}, length({FILE_URI}) - length(_name) - 1)"))
         .alias(YEAR),
         uri_file_id(F.col("_name")).alias(FILE),
-        FILE_SIZE,
     )
     return Drop(files, rows)
 
@@ -260,7 +270,7 @@ def _text_schema(header: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in [*header, ROW_BAD]])
 
 
-def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str]) -> DataFrame:
+def _scan(spark: SparkSession, names: Sequence[Row], header: Sequence[str]) -> DataFrame:
     """Spark's CSV reader over files with one header. Each file is one task."""
     rows = (
         spark.read.schema(_text_schema(header))
@@ -268,7 +278,7 @@ def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str]) -> D
         .option("header", True)
         # A row's cell count is only known when all cells are parsed.
         .option("columnPruning", False)
-        .csv(list(paths))
+        .csv([name["path"] for name in names])
     )
     first = F.length(F.col(f"`{header[0]}`"))
     # The second test is never true. It keeps a data column in the scan, without which
@@ -277,40 +287,46 @@ def _scan(spark: SparkSession, paths: Sequence[str], header: Sequence[str]) -> D
     return rows.filter(whole).select(
         *(F.col(f"`{name}`") for name in header),
         F.col("_metadata.file_path").alias(FILE_URI),
-        F.col("_metadata.file_size").alias(FILE_SIZE),
     )
 
 
-def _scan_wide(spark: SparkSession, uris: Sequence[str], header: Sequence[str]) -> DataFrame:
-    """Files whose window is beyond Spark's reader: lines from Python, cells from Spark."""
+def _scan_lines(spark: SparkSession, names: Sequence[Row], header: Sequence[str]) -> DataFrame:
+    """Lines unpacked by Python, cells parsed by Spark."""
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri in batch.column(FILE_URI).to_pylist():
-                source = _Decompressed(uri)
-                buffered = io.BufferedReader(source, LINE_BATCH)
-                buffered.readline()
-                while chunk := buffered.readlines(LINE_BATCH):
+            for file in batch.to_pylist():
+                lines = io.BufferedReader(_Decompressed(file[FILE_URI]), LINE_BATCH)
+                lines.readline()
+                part = 0
+                while chunk := lines.readlines(LINE_BATCH):
                     text = [line.decode("utf-8").rstrip("\r\n") for line in chunk]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            FILE_URI: [uri] * len(text),
-                            FILE_SIZE: pa.array([source.size] * len(text), pa.int64()),
+                            FILE_URI: [file[FILE_URI]] * len(text),
+                            "part": pa.array([part % file["parts"]] * len(text), pa.int32()),
                             "line": text,
                         }
                     )
+                    part += 1
 
-    listing = spark.createDataFrame([(uri,) for uri in uris], f"{FILE_URI} string")
-    text = listing.repartitionByRange(len(uris), FILE_URI).mapInArrow(
-        lines, f"{FILE_URI} string, {FILE_SIZE} long, line string"
+    parts = [
+        (name["uri"], math.ceil(name["length"] / TASK_BYTES) if name["length"] > LARGE_FILE else 1)
+        for name in names
+    ]
+    listing = spark.createDataFrame(parts, f"{FILE_URI} string, parts int")
+    text = listing.repartitionByRange(len(parts), FILE_URI).mapInArrow(
+        unpack, f"{FILE_URI} string, part int, line string"
     )
+    if any(count > 1 for _, count in parts):
+        text = text.repartition(sum(count for _, count in parts), FILE_URI, "part")
     parsed = F.from_csv("line", _text_schema(header).toDDL(), CSV_OPTIONS)
     # A generator parses each line once and drops bad rows in the same step.
     whole = F.filter(F.array(parsed), lambda row: row[ROW_BAD].isNull())
     return (
         text.filter(F.length(F.trim("line")) > 0)
-        .select(FILE_URI, FILE_SIZE, F.inline(whole))
-        .select(*(F.col(f"`{name}`") for name in header), FILE_URI, FILE_SIZE)
+        .select(FILE_URI, F.inline(whole))
+        .select(*(F.col(f"`{name}`") for name in header), FILE_URI)
     )
 
 

@@ -4,8 +4,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from awardlens.plans.ingest import ingest, read_outlay_drops, _spread
-from awardlens.plans import ingest as ingest_module
+from awardlens.plans.ingest import ingest, read_outlay_drops
 from awardlens.plans.outlays import outlay_report
 from awardlens.sources import drops
 from awardlens.sources.cells import infer_fields, normalise_nulls, type_cells
@@ -168,18 +167,20 @@ def test_lineage_columns_are_required(spark, tmp_path):
         write_awards(spark.range(1).withColumn("year", F.lit("1")), str(tmp_path / "o"))
 
 
-def test_large_files_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+def test_large_files_are_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
     root = tmp_path / "raw"
-    lines = "".join(f"k{i},{i},1,t,,\n" for i in range(5000))
-    put(root / "2020_awards" / "big_1.csv.zst", HEADER + "\n" + lines)
+    text = HEADER + "\n" + "".join(f'"k ""{i}""",{i},1,t,,\n\n' for i in range(5000)) + "short,row\n"
+    put(root / "2020_awards" / "big_1.csv.zst", text)
     put(root / "2020_awards" / "tiny_2.csv.zst", HEADER + "\nz,1,1,t,,\n")
-    drop = scan(spark, root, ["2020"])
-    assert _spread(drop.rows, drop.files) is drop.rows
+    plain = sorted(map(str, scan(spark, root, ["2020"]).rows.collect()))
     size = (root / "2020_awards" / "big_1.csv.zst").stat().st_size
-    monkeypatch.setattr(ingest_module, "TASK_BYTES", size // 6)
-    spread = _spread(drop.rows, drop.files)
-    per_task = spread.filter("file = '1'").groupBy(F.spark_partition_id()).count().collect()
-    assert len(per_task) > 2 and spread.count() == 5001
+    monkeypatch.setattr(drops, "LARGE_FILE", size - 1)
+    monkeypatch.setattr(drops, "TASK_BYTES", size // 6)
+    monkeypatch.setattr(drops, "LINE_BATCH", 4096)
+    rows = scan(spark, root, ["2020"]).rows
+    assert sorted(map(str, rows.collect())) == plain and len(plain) == 5001
+    per_task = rows.filter("file = '1'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 2
     ingest(spark, ["2020"], str(tmp_path / "o"), SCHEMA, root=str(root))
     assert read_awards(spark, str(tmp_path / "o")).agg(F.sum("amount")).first()[0] == sum(range(5000)) + 1
 
