@@ -39,9 +39,9 @@ def outlay_rows(rows: DataFrame) -> DataFrame:
         if name == "period_of_performance_current_end_date":
             if kinds[name] == "date":
                 return column
-            return iso_date(column) if kinds[name] == "string" else column.try_cast("date")
+            return iso_date(name) if kinds[name] == "string" else column.try_cast("date")
         if kinds[name] == "string":
-            column = null_tokens_to_null(column)
+            column = null_tokens_to_null(name)
         return column if kinds[name] == "double" else column.try_cast("double")
 
     return rows.select(*(typed(name).alias(name) for name in OUTLAY_COLUMNS)).withColumnsRenamed(

@@ -115,7 +115,7 @@ def _(awards):
 def _(awards):
     return awards.select(
         "contract_award_unique_key",
-        bool_from_words(F.col("woman_owned_business"), *bool_vocabulary()).alias("woman_owned"),
+        bool_from_words("woman_owned_business", *bool_vocabulary()).alias("woman_owned"),
     )
 
 
@@ -131,7 +131,7 @@ TOKEN_CELL = """CASE awarding_agency_code % 8 WHEN 0 THEN '' WHEN 1 THEN 'N/A' W
 )
 def _(awards):
     return awards.select(
-        "contract_award_unique_key", null_tokens_to_null(F.expr(TOKEN_CELL)).alias("cell")
+        "contract_award_unique_key", null_tokens_to_null(f"({TOKEN_CELL})").alias("cell")
     )
 
 

@@ -2,11 +2,11 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import bool_from_words, iso_date, null_tokens_to_null
+from ..functions.cleaning import bool_words_sql, iso_date_sql, null_tokens_sql, sql_text
 from .schema_json import DECLARED, UNSIGNED_MAX
 from .vocabulary import Vocabulary
 
@@ -15,34 +15,36 @@ ON_BAD_VALUE = ("fail", "null", "flag")
 
 
 def _quoted(name: str) -> str:
-    return f"`{name}`"
+    return "`" + name.replace("`", "``") + "`"
 
 
 def normalise_nulls(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace every spelling of a missing cell by null."""
-    return rows.withColumns({c: null_tokens_to_null(F.col(_quoted(c))) for c in columns})
+    chosen = set(columns)
+    cells = {name: _quoted(name) for name in rows.columns}
+    return rows.selectExpr(
+        *(f"{null_tokens_sql(c)} AS {c}" if name in chosen else c for name, c in cells.items())
+    )
 
 
-def typed_cell(text: Column, field: T.StructField, words: Vocabulary) -> Column:
+def typed_sql(cell: str, field: T.StructField, words: Vocabulary) -> str:
     """The cell as the field's type; null where the text is not such a value."""
     kind = field.dataType
     if isinstance(kind, (T.ArrayType, T.StructType)):
         raise ValueError(f"column {field.name!r}: CSV cells cannot hold {kind.simpleString()}")
     if isinstance(kind, T.StringType):
-        return text
+        return cell
     if isinstance(kind, T.BooleanType):
-        return bool_from_words(text, *words)
+        return bool_words_sql(cell, *words)
     if isinstance(kind, T.DateType):
-        return iso_date(text)
+        return iso_date_sql(cell)
+    value = f"try_cast({cell} AS {kind.simpleString()})"
     if isinstance(kind, T.DecimalType):
-        value = F.when(text.rlike(r"^\s*\d+\s*$"), text.try_cast(kind))
-    else:
-        value = text.try_cast(kind)
+        value = rf"CASE WHEN {cell} RLIKE r'^\s*\d+\s*$' THEN {value} END"
     top = UNSIGNED_MAX.get(field.metadata.get(DECLARED))
-    if top is not None:
-        limit = F.lit(str(top)).cast("decimal(20,0)")
-        value = F.when((value >= 0) & (value.cast("decimal(20,0)") <= limit), value)
-    return value
+    if top is None:
+        return value
+    return f"CASE WHEN {value} BETWEEN 0 AND {top} THEN {value} END"
 
 
 def type_cells(
@@ -55,30 +57,41 @@ def type_cells(
     """
     if on_bad_value not in ON_BAD_VALUE:
         raise ValueError(f"on_bad_value must be one of {ON_BAD_VALUE}, got {on_bad_value!r}")
-    fields = {field.name: field for field in schema.fields}
-    columns: list[Column] = []
-    bad: list[Column] = []
+    declared = {field.name: field for field in schema.fields}
+    columns: list[str] = []
+    bad: list[str] = []
+    fields: list[T.StructField] = []
     for name in rows.columns:
-        text = F.col(_quoted(name))
-        field = fields.get(name)
-        if field is None or isinstance(field.dataType, T.StringType):
-            columns.append(text)
-            continue
-        value = typed_cell(text, field, words)
-        if on_bad_value == "fail":
-            message = F.concat(F.lit(f"column {name}: not a {field.dataType.simpleString()}: "), text)
-            value = F.coalesce(value, F.when(text.isNotNull(), F.raise_error(message)))
-        elif on_bad_value == "flag":
-            bad.append(text.isNotNull() & value.isNull())
-        columns.append(value.alias(name, metadata=field.metadata))
+        cell = _quoted(name)
+        field = declared.get(name, T.StructField(name, T.StringType()))
+        value = typed_sql(cell, field, words)
+        if not isinstance(field.dataType, T.StringType):
+            if on_bad_value == "fail":
+                message = sql_text(f"column {name}: not a {field.dataType.simpleString()}: ")
+                value = (
+                    f"coalesce({value}, CASE WHEN {cell} IS NOT NULL"
+                    f" THEN raise_error(concat({message}, {cell})) END)"
+                )
+            elif on_bad_value == "flag":
+                bad.append(f"({cell} IS NOT NULL AND ({value}) IS NULL)")
+        columns.append(f"{value} AS {cell}")
+        fields.append(T.StructField(name, field.dataType, True, field.metadata))
     if on_bad_value == "flag":
-        flag = F.exists(F.array(*bad), lambda b: b) if bad else F.lit(False)
-        columns.append(flag.alias(BAD_VALUES))
-    return rows.select(*columns)
+        flag = f"exists(array({', '.join(bad)}), b -> b)" if bad else "false"
+        columns.append(f"{flag} AS {BAD_VALUES}")
+        fields.append(T.StructField(BAD_VALUES, T.BooleanType()))
+    # The types are right already; this carries the fields' metadata over.
+    return rows.selectExpr(*columns).to(T.StructType(fields))
 
 
 # Types tried for an undeclared column, narrowest first.
-INFERRED_KINDS = ["bigint", "boolean", "date", "timestamp_ntz", "double"]
+INFERRED_KINDS = {
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "double": T.DoubleType(),
+}
 
 
 def infer_fields(
@@ -90,21 +103,20 @@ def infer_fields(
     """
     if not columns:
         return []
-    kinds = {kind: T._parse_datatype_string(kind) for kind in INFERRED_KINDS}
 
-    def fits(name: str, kind: str) -> Column:
-        text = F.col(_quoted(name))
-        value = typed_cell(text, T.StructField(name, kinds[kind]), words)
-        return F.bool_and(F.when(text.isNotNull(), value.isNotNull()))
+    def fits(name: str, kind: T.DataType) -> str:
+        cell = _quoted(name)
+        value = typed_sql(cell, T.StructField(name, kind), words)
+        return f"bool_and(CASE WHEN {cell} IS NOT NULL THEN ({value}) IS NOT NULL END)"
 
     found = rows.agg(
         *(
-            F.array(*(fits(name, kind) for kind in INFERRED_KINDS)).alias(f"c{i}")
-            for i, name in enumerate(columns)
+            F.expr(f"array({', '.join(fits(name, kind) for kind in INFERRED_KINDS.values())})")
+            for name in columns
         )
     ).first()
     fields = []
-    for i, name in enumerate(columns):
-        kind = next((k for k, fit in zip(INFERRED_KINDS, found[f"c{i}"]) if fit), "string")
-        fields.append(T.StructField(name, kinds.get(kind, T.StringType())))
+    for name, fitting in zip(columns, found):
+        kind = next((k for k, fit in zip(INFERRED_KINDS.values(), fitting) if fit), T.StringType())
+        fields.append(T.StructField(name, kind))
     return fields
