@@ -41,8 +41,13 @@ def _sql_list(values: Iterable[str]) -> str:
     return ", ".join(map(sql_text, values))
 
 
+def present_sql(cell: str) -> str:
+    """True for a cell that does not spell a missing value, null for null."""
+    return f"{cell} NOT IN ({_sql_list(NULL_TOKENS)})"
+
+
 def null_tokens_sql(cell: str) -> str:
-    return f"CASE WHEN {cell} NOT IN ({_sql_list(NULL_TOKENS)}) THEN {cell} END"
+    return f"CASE WHEN {present_sql(cell)} THEN {cell} END"
 
 
 def bool_words_sql(cell: str, true_words: Iterable[str], false_words: Iterable[str]) -> str:

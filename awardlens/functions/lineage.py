@@ -9,8 +9,8 @@ PART_NUMBER = r"_(\d+)\.csv.zst$"
 
 def file_id(file_name: Column) -> Column:
     """The part number in the name, else the name without its last suffix."""
-    number = F.nullif(F.regexp_extract(file_name, PART_NUMBER, 1), F.lit(""))
-    return F.coalesce(number, F.regexp_replace(file_name, r"(?<=.)\.[^.]+$", ""))
+    stem = F.regexp_replace(file_name, r"(?<=.)\.[^.]+$", "")
+    return _part_number(file_name).otherwise(stem)
 
 
 def uri_name(uri: Column) -> Column:
@@ -20,7 +20,10 @@ def uri_name(uri: Column) -> Column:
 
 def uri_file_id(encoded_name: Column) -> Column:
     """``file_id`` of a percent-encoded name; decodes only where the name itself is the id."""
-    number = F.nullif(F.regexp_extract(encoded_name, PART_NUMBER, 1), F.lit(""))
     # A plus sign in a path is itself, unlike in a form.
     name = F.url_decode(F.replace(encoded_name, F.lit("+"), F.lit("%2B")))
-    return F.coalesce(number, file_id(name))
+    return _part_number(encoded_name).otherwise(file_id(name))
+
+
+def _part_number(name: Column) -> Column:
+    return F.when(name.rlike(PART_NUMBER), F.regexp_extract(name, PART_NUMBER, 1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage import uri_file_id, uri_name
-from ..sources.cells import BAD_VALUES, infer_fields, normalise_nulls, type_cells
+from ..sources.cells import BAD_VALUES, infer_fields, type_cells
 from ..sources.drops import LINEAGE, Drop, read_drops, year_directories
 from ..sources.schema_json import load_schema
 from ..sources.tables import write_awards
@@ -56,13 +56,12 @@ def ingest(
 def typed_rows(
     text: DataFrame, declared: T.StructType, words: Vocabulary, on_bad_value: str
 ) -> DataFrame:
-    """Nulls normalised and cells typed: declared columns as declared, others inferred."""
+    """Cells typed, missing ones null: declared columns as declared, others inferred."""
     data = [name for name in text.columns if name not in LINEAGE]
     known = set(declared.fieldNames())
-    clean = normalise_nulls(text, data)
-    extra = infer_fields(clean, [name for name in data if name not in known], words)
-    wanted = [f for f in declared.fields if f.name in data] + extra
-    return type_cells(clean, T.StructType(wanted), words, on_bad_value)
+    extra = infer_fields(text, [name for name in data if name not in known], words)
+    wanted = [field for field in declared.fields if field.name in data] + extra
+    return type_cells(text, T.StructType(wanted), words, on_bad_value)
 
 
 def _report_spoiled(files: DataFrame, spoiled: DataFrame) -> DataFrame:

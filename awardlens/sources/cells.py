@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import bool_words_sql, iso_date_sql, null_tokens_sql, sql_text
+from ..functions.cleaning import (
+    NULL_TOKENS,
+    bool_words_sql,
+    iso_date_sql,
+    null_tokens_sql,
+    present_sql,
+    sql_text,
+)
 from .schema_json import DECLARED, UNSIGNED_MAX
 from .vocabulary import Vocabulary
 
@@ -18,26 +25,24 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def normalise_nulls(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace every spelling of a missing cell by null."""
-    chosen = set(columns)
-    cells = {name: _quoted(name) for name in rows.columns}
-    return rows.selectExpr(
-        *(f"{null_tokens_sql(c)} AS {c}" if name in chosen else c for name, c in cells.items())
-    )
-
-
 def typed_sql(cell: str, field: T.StructField, words: Vocabulary) -> str:
-    """The cell as the field's type; null where the text is not such a value."""
+    """The cell as the field's type; null where it is missing or not such a value.
+
+    Most spellings of a missing cell are no value of any type but text, so only text,
+    floating-point numbers (``nan``) and flags have to look at them.
+    """
     kind = field.dataType
     if isinstance(kind, (T.ArrayType, T.StructType)):
         raise ValueError(f"column {field.name!r}: CSV cells cannot hold {kind.simpleString()}")
     if isinstance(kind, T.StringType):
-        return cell
+        return null_tokens_sql(cell)
     if isinstance(kind, T.BooleanType):
-        return bool_words_sql(cell, *words)
+        known = [[word for word in side if word not in NULL_TOKENS] for side in words]
+        return bool_words_sql(cell, *known)
     if isinstance(kind, T.DateType):
         return iso_date_sql(cell)
+    if isinstance(kind, (T.BinaryType, T.FloatType, T.DoubleType)):
+        return f"try_cast({null_tokens_sql(cell)} AS {kind.simpleString()})"
     value = f"try_cast({cell} AS {kind.simpleString()})"
     if isinstance(kind, T.DecimalType):
         value = rf"CASE WHEN {cell} RLIKE r'^\s*\d+\s*$' THEN {value} END"
@@ -52,8 +57,11 @@ def type_cells(
 ) -> DataFrame:
     """Convert the text columns named in ``schema``; other columns pass through.
 
-    A non-null cell that is not a value of its type raises an error (``fail``), becomes
-    null (``null``), or becomes null and sets the row's ``_bad_values`` (``flag``).
+    A cell that is not missing and not a value of its type raises an error (``fail``),
+    becomes null (``null``), or becomes null and sets the row's ``_bad_values`` (``flag``).
+
+    All of it is one projection over the raw cells: with hundreds of columns every
+    further projection costs about as much as parsing.
     """
     if on_bad_value not in ON_BAD_VALUE:
         raise ValueError(f"on_bad_value must be one of {ON_BAD_VALUE}, got {on_bad_value!r}")
@@ -63,21 +71,25 @@ def type_cells(
     fields: list[T.StructField] = []
     for name in rows.columns:
         cell = _quoted(name)
-        field = declared.get(name, T.StructField(name, T.StringType()))
+        field = declared.get(name)
+        if field is None:
+            columns.append(cell)
+            fields.append(T.StructField(name, T.StringType()))
+            continue
         value = typed_sql(cell, field, words)
         if not isinstance(field.dataType, T.StringType):
             if on_bad_value == "fail":
                 message = sql_text(f"column {name}: not a {field.dataType.simpleString()}: ")
                 value = (
-                    f"coalesce({value}, CASE WHEN {cell} IS NOT NULL"
+                    f"coalesce({value}, CASE WHEN {present_sql(cell)}"
                     f" THEN raise_error(concat({message}, {cell})) END)"
                 )
             elif on_bad_value == "flag":
-                bad.append(f"({cell} IS NOT NULL AND ({value}) IS NULL)")
+                bad.append(f"CASE WHEN ({value}) IS NULL THEN {present_sql(cell)} END")
         columns.append(f"{value} AS {cell}")
         fields.append(T.StructField(name, field.dataType, True, field.metadata))
     if on_bad_value == "flag":
-        flag = f"exists(array({', '.join(bad)}), b -> b)" if bad else "false"
+        flag = f"exists(array({', '.join(bad)}), b -> b IS TRUE)" if bad else "false"
         columns.append(f"{flag} AS {BAD_VALUES}")
         fields.append(T.StructField(BAD_VALUES, T.BooleanType()))
     # The types are right already; this carries the fields' metadata over.
@@ -107,7 +119,7 @@ def infer_fields(
     def fits(name: str, kind: T.DataType) -> str:
         cell = _quoted(name)
         value = typed_sql(cell, T.StructField(name, kind), words)
-        return f"bool_and(CASE WHEN {cell} IS NOT NULL THEN ({value}) IS NOT NULL END)"
+        return f"bool_and(CASE WHEN {present_sql(cell)} THEN ({value}) IS NOT NULL END)"
 
     found = rows.agg(
         *(

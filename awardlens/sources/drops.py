@@ -87,7 +87,7 @@ def list_drop(spark: SparkSession, directory: str, pattern: str = "*.zst") -> Da
             spark.read.format("binaryFile")
             .option("pathGlobFilter", pattern)
             .load(directory)
-            .select("path", F.col("_metadata.file_path").alias("uri"), "length")
+            .select("path", F.input_file_name().alias("uri"), "length")
         )
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
@@ -250,11 +250,12 @@ def read_drops(
     rows = union_widened(scans, fill_missing=True)
     year_of = F.create_map(*[F.lit(text) for folder in sorted(folders) for text in folder])
     data = [name for name in rows.columns if name != FILE_URI]
-    rows = rows.withColumn("_name", uri_name(F.col(FILE_URI))).select(
-        *(F.col(f"`{name}`") for name in data),
-        F.element_at(year_of, F.expr(f"left({FILE_URI}, length({FILE_URI}) - length(_name) - 1)"))
-        .alias(YEAR),
-        uri_file_id(F.col("_name")).alias(FILE),
+    name = uri_name(F.col(FILE_URI))
+    folder = F.left(F.col(FILE_URI), F.length(FILE_URI) - F.length(name) - 1)
+    rows = rows.select(
+        *(f"`{column}`" for column in data),
+        F.element_at(year_of, folder).alias(YEAR),
+        uri_file_id(name).alias(FILE),
     )
     return Drop(files, rows)
 
@@ -286,7 +287,8 @@ def _scan(spark: SparkSession, names: Sequence[Row], header: Sequence[str]) -> D
     whole = F.col(ROW_BAD).isNull() | (first < 0)
     return rows.filter(whole).select(
         *(F.col(f"`{name}`") for name in header),
-        F.col("_metadata.file_path").alias(FILE_URI),
+        # Unlike _metadata.file_path this adds no projection over all columns of its own.
+        F.input_file_name().alias(FILE_URI),
     )
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from awardlens.plans.ingest import ingest, read_outlay_drops
 from awardlens.plans.outlays import outlay_report
 from awardlens.sources import drops
-from awardlens.sources.cells import infer_fields, normalise_nulls, type_cells
+from awardlens.functions.cleaning import NULL_TOKENS
+from awardlens.sources.cells import infer_fields, type_cells
 from awardlens.sources.drops import read_drops, rows_per_file, year_directories
 from awardlens.sources.schema_json import schema_from_text
 from awardlens.sources.tables import read_awards, write_awards
-from awardlens.sources.vocabulary import bool_vocabulary
+from awardlens.sources.vocabulary import Vocabulary, bool_vocabulary
 
 SCHEMA = schema_from_text(
     """{"fields": [
@@ -230,10 +231,19 @@ def test_a_row_as_wide_as_the_real_schema(spark, tmp_path):
     assert rows.count() == 400 and len(rows.columns) == 299
 
 
-def test_normalise_nulls_only_touches_whole_cells(spark):
-    df = spark.createDataFrame([("NA", "a NA"), ("", "nan")], "a string, b string")
-    got = [tuple(r) for r in normalise_nulls(df, ["a", "b"]).collect()]
-    assert got == [(None, "a NA"), (None, None)]
+def test_missing_cells_are_null_in_every_type(spark):
+    kinds = ["string", "double", "int64", "bool", "date32[day]", "binary", "uint64"]
+    entries = ", ".join(f'{{"name": "{k}", "type": "{k}"}}' for k in kinds)
+    schema = schema_from_text('{"fields": [' + entries + "]}")
+    # A dictionary may use a missing-cell spelling as a label; the cell is missing all the same.
+    words = Vocabulary(["t"], ["f", "N/A"])
+    text = spark.createDataFrame([(token,) * len(kinds) for token in NULL_TOKENS], kinds)
+    for mode in ("fail", "null", "flag"):
+        got = type_cells(text, schema, words, mode).drop("_bad_values").distinct().collect()
+        assert [tuple(r) for r in got] == [(None,) * len(kinds)]
+    assert type_cells(text, schema, words, "flag").filter("_bad_values").count() == 0
+    passing = spark.createDataFrame([("a NA", "NA")], "string string, other string")
+    assert tuple(type_cells(passing, schema, words).first()) == ("a NA", "NA")
 
 
 def test_outlay_drops(spark, tmp_path):
