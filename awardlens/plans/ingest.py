@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage import uri_file_id, uri_name
+from ..session import measured
 from ..sources.cells import BAD_VALUES, infer_fields, type_cells
 from ..sources.drops import LINEAGE, Drop, read_drops, year_directories
 from ..sources.schema_json import load_schema
@@ -46,7 +47,7 @@ def ingest(
     files = drop.files
     if mode == "flag":
         spoiled = rows.groupBy(*LINEAGE).agg(F.bool_or(BAD_VALUES).alias("spoiled"))
-        spoiled = spoiled.filter("spoiled").select(*LINEAGE).persist()
+        spoiled = measured(spoiled.filter("spoiled").select(*LINEAGE))
         rows = rows.join(spoiled, LINEAGE, "left_anti").drop(BAD_VALUES)
         files = _report_spoiled(files, spoiled)
     write_awards(rows, output, overwrite)

@@ -61,11 +61,11 @@ def remaining_columns(rows: DataFrame) -> list[str]:
 
 def as_uint32(code: Column) -> Column:
     """The code as an integer; an error for text or a value outside unsigned 32 bits."""
-    whole = code.cast("long")
-    return F.when(
-        (whole < 0) | (whole > UINT32_MAX),
-        F.raise_error(F.concat(F.lit("outside unsigned 32 bits: "), whole.cast("string"))),
-    ).otherwise(whole)
+    whole = code.try_cast("long")
+    message = F.concat(F.lit("not an unsigned 32-bit number: "), code.cast("string"))
+    return F.when(whole.between(0, UINT32_MAX), whole).otherwise(
+        F.when(code.isNotNull(), F.raise_error(message))
+    )
 
 
 def value_thresholds(

@@ -20,7 +20,7 @@ from .operators.keys import attach_by_key, restrict_to_keys, union_widened
 from .plans import funding, options, outlays, series, subset
 from .plans.ingest import ingest, read_outlay_drops
 from .session import scratch_dir, staged
-from .sources.drops import year_directories
+from .sources.drops import read_drops, rows_per_file, year_directories
 from .sources.schema_json import schema_from_text
 from .sources.tables import csv_columns, read_awards, read_plain_csv, write_csv
 from .sources.vocabulary import bool_vocabulary
@@ -33,7 +33,6 @@ GAP_YEARS = [1996, 1998, 2001]
 FILTER_YEARS = [1997, 1998, 1999]
 FILTER_SECTORS = ["Manufacturing", "Utilities", "Construction", UNKNOWN_SECTOR]
 END_YEAR, MIN_OUTLAY, SAMPLE = 2000, 50_000, 0.1
-FLAG_WORDS = {"t": True, "F": False}
 
 
 def query(name: str, sql: str | None = None):
@@ -734,6 +733,17 @@ ORACLES["ingest_roundtrip"] = with_awards(
 )
 
 
+def drop_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, years = write_drops(spark, sf_dir)
+    return rows_per_file(read_drops(spark, year_directories(years, root=root)).rows)
+
+
+QUERIES["drop_row_counts"] = drop_row_counts
+ORACLES["drop_row_counts"] = with_awards(
+    f"{SQL_DROP_ROWS} SELECT year, file, count(*) AS rows FROM k GROUP BY 1, 2"
+)
+
+
 def outlay_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, years = write_drops(spark, sf_dir)
     _, awards = read_outlay_drops(spark, year_directories(years, root=root))
