@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import measured, staged
 
 PREFIX_DIGITS = 4
+COPY_CHUNK = 1 << 16
 
 
 def check_fraction(fraction: float) -> float:
@@ -144,10 +145,21 @@ def exact_sample(
         .withColumn("_before", upto - F.col("_n"))
         .withColumn("_due", F.least(F.col("_n"), F.col("_at_cut") - F.col("_before")))
         .filter(F.col("_due") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_due"))))
-        .select(*(f"`{name}`" for name in columns))
     )
-    return whole.unionByName(due)
+    return whole.unionByName(_repeated(due, "_due").select(*(f"`{name}`" for name in columns)))
+
+
+def _repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row ``times`` times. A large number is dealt out to all tasks in chunks."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.floor((F.col(times) - 1) / F.lit(COPY_CHUNK))
+    chunked = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    size = F.least(F.lit(COPY_CHUNK).cast("long"), F.col(times) - F.col("_chunk") * COPY_CHUNK)
+    return (
+        chunked.withColumn("_size", size)
+        .repartition(tasks, "_chunk")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size"))))
+    )
 
 
 def fast_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:

@@ -108,7 +108,6 @@ class _Decompressed(io.RawIOBase):
         from pyarrow import fs
 
         system, name = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-        self.size = system.get_file_info(name).size
         with system.open_input_stream(name, compression=None) as start:
             self.window = zstandard.get_frame_parameters(start.read(18)).window_size
         self._source = system.open_input_stream(name, compression=None)

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from awardlens.operators import sampling
 from awardlens.operators.keys import (
     attach_by_key,
     distinct_values,
@@ -99,8 +100,9 @@ def award_rows(n, rng):
     return rows
 
 
-@pytest.mark.parametrize("fraction", [0.2, 0.05, 1.0, 0.001])
-def test_stratified_sample_is_exact(spark, fraction):
+@pytest.mark.parametrize("fraction, chunk", [(0.2, 7), (0.2, 1 << 16), (0.05, 1), (1.0, 7), (0.001, 7)])
+def test_stratified_sample_is_exact(spark, monkeypatch, fraction, chunk):
+    monkeypatch.setattr(sampling, "COPY_CHUNK", chunk)
     rows = award_rows(3000, random.Random(4))
     df = spark.createDataFrame(rows, "k string, s string, v double").repartition(8)
     got = Counter(tuple(r) for r in exact_sample(df, fraction, 69, ["s"]).collect())
