@@ -30,8 +30,12 @@ class _Span:
     def holds(self) -> Column:
         return F.col("v").between(F.lit(self.low), F.lit(self.high))
 
+    def is_one_value(self) -> bool:
+        both_nan = self.low != self.low and self.high != self.high
+        return both_nan or self.low == self.high
+
     def is_wide(self, pick_limit: int) -> bool:
-        return self.rows > pick_limit and self.low != self.high
+        return self.rows > pick_limit and not self.is_one_value()
 
 
 def quantiles(
@@ -143,7 +147,7 @@ def _narrow(
 
 def _pick(values: DataFrame, spans: list[_Span]) -> list[float]:
     """Read the sought rows out of spans of at most ``pick_limit`` rows, in one job."""
-    found = {i: span.low for i, span in enumerate(spans) if span.low == span.high}
+    found = {i: span.low for i, span in enumerate(spans) if span.is_one_value()}
     picks = [
         values.filter(span.holds())
         .orderBy("v")

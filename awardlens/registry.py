@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import fixtures
 from .functions import bool_from_words, file_id, null_tokens_to_null, parse_tf

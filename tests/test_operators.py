@@ -48,6 +48,14 @@ def test_quantiles_are_exact_through_narrowing(spark, shape, method):
     assert got == [brute_quantile(values, p, method) for p in probabilities]
 
 
+def test_quantiles_with_many_nans_end(spark):
+    values = [float("nan")] * 60 + [float(i) for i in range(40)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    low, middle, high = quantiles(df, "v", [0.1, 0.5, 0.95], pick_limit=5, accuracy=20)
+    # NaN sorts above every number.
+    assert low == 10.0 and math.isnan(middle) and math.isnan(high)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     for method in ("nearest", "disc", "approx"):
