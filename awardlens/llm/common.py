@@ -68,7 +68,7 @@ class WordCache(dict):
     When the young generation is full it becomes the old one; words met again come back.
     """
 
-    def __init__(self, compute: Callable, limit: int = 200_000):
+    def __init__(self, compute: Callable, limit: int = 300_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
@@ -76,7 +76,10 @@ class WordCache(dict):
         value = self.old.get(word)
         if value is None:
             value = self.compute(word)
-        self.put(word, value)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = value
         return value
 
     def put(self, word, value) -> None:
@@ -84,3 +87,31 @@ class WordCache(dict):
             self.old = dict(self)
             self.clear()
         self[word] = value
+
+
+def bounded_sample(docs: DataFrame, by: str, per_group: int, seed: int = 7) -> DataFrame:
+    """At most ``per_group`` rows for each value of ``by``, picked by a hash of ``doc_id``.
+
+    Groups are counted first, so that only rows with a low hash, a few times ``per_group``
+    whatever the size of the group, are shuffled and ranked. Rows with a null ``by`` are
+    left out. ``by`` is a label with few values; over 1,000 are refused.
+    """
+    from pyspark.sql import Window
+
+    sizes = docs.where(F.col(by).isNotNull()).groupBy(by).count().limit(1001).collect()
+    if len(sizes) > 1000:
+        raise ValueError(f"{by} has over 1000 values")
+    # Uniform in [0, 1): the share of a group that is looked at is 4 times what is taken.
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    cut = F.lit(-1.0)
+    for value, count in sizes:
+        share = min(1.0, 4 * per_group / count + 64 / count)
+        cut = F.when(F.col(by) == F.lit(value), F.lit(share)).otherwise(cut)
+    order = Window.partitionBy(by).orderBy("sample draw", "doc_id")
+    return (
+        docs.withColumn("sample draw", draw)
+        .where(F.col("sample draw") < cut)
+        .withColumn("sample rank", F.row_number().over(order))
+        .where(F.col("sample rank") <= per_group)
+        .drop("sample draw", "sample rank")
+    )

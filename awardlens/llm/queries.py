@@ -3,10 +3,18 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing
+from . import (
+    byte_bpe,
+    exact_dedup,
+    language,
+    ngram_join,
+    packing,
+    quality_rules,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +78,51 @@ def op6_byte_bpe(spark, sf_dir):
     return byte_bpe.decode(digests, vocabulary).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+def share(divisor: int) -> Column:
+    """Remainder of the CRC-32 of ``doc_id`` as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(share(4) != 2)
+    network = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, network)
+    return scored.select(
+        "doc_id",
+        (share(4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.judge(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "posterior",
+    )
+
+
+@query
+def op9_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    dictionaries = language.fit(docs.where(share(5) != 0))
+    return language.identify(docs, dictionaries).select(
+        "doc_id", (share(5) == 0).alias("held_out"), "lang_pred", "score", "accepted"
+    )
+
+
+@query
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.near_copies(documents(spark, sf_dir))
