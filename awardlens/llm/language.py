@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, texts_of
+from .common import bounded_sample, keep_rows, texts_of
 
 UNKNOWN = "und"
 LEVEL = 5
@@ -151,3 +151,14 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     return texts_of(docs).mapInArrow(
         identified, "doc_id long, lang_pred string, score double, accepted boolean"
     )
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is told with enough margin."""
+    model = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
+    def accept(texts):
+        judge = classifier(model.value)
+        return [judge.classify(text)[2] for text in texts]
+
+    return keep_rows(docs, accept)

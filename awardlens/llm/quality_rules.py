@@ -104,7 +104,7 @@ def rule_votes() -> dict[str, Column]:
     upper = F.col("n_upper") / words
     distinct = F.col("n_distinct_words") / words
     return {
-        "length": _vote(F.col("n_words") >= 50, F.col("n_words") < 5),
+        "length": _vote(F.col("n_words") >= 50, F.col("n_words") < 1),
         "word_length": _vote(length.between(3, 9), (length < 2) | (length > 15)),
         "symbols": _vote(symbols < 0.02, symbols > 0.2),
         "symbol_chars": _vote(symbol_chars < 0.005, symbol_chars > 0.04),
@@ -119,18 +119,19 @@ def rule_votes() -> dict[str, Column]:
 class VoteModel:
     """How rules vote on good and on bad documents, by expectation-maximisation.
 
-    Given the hidden quality the rules vote independently: each has, for either quality, a
-    chance to vote good, to vote bad and to abstain. Its accuracy is the share of right ones
-    among its votes. The data are the counts of the vote patterns, at most 3 to the power of
-    the number of rules, however many documents there are.
+    Given the hidden quality, rules that don't abstain vote independently, each with a
+    chance of its own to be right on good and on bad documents; who abstains says nothing.
+    The data are the counts of the vote patterns, at most 3 to the power of the number of
+    rules, however many documents there are.
     """
 
+    #: Chance of a right vote on a bad and on a good document, before any data: each rule
+    #: looks for one fault, which few bad documents have, and hardly any good one.
+    START = (0.3, 0.98)
+
     def __init__(self, rules: int, prior: float = 0.9, rounds: int = 200):
         self.prior, self.rounds = prior, rounds
-        # Chance of each vote (bad, good, none) by quality (bad, good), before any data: a
-        # rule that speaks up is right four times in five.
-        self.start = np.array([[0.4, 0.1, 0.5], [0.1, 0.4, 0.5]])
-        self.chance = np.repeat(self.start[:, None, :], rules, axis=1)
+        self.right = np.repeat(np.array(self.START)[:, None], rules, axis=1)
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> "VoteModel":
         """``patterns``: a row per pattern of 0, 1 and -1 (abstains)."""
@@ -139,22 +140,21 @@ class VoteModel:
         for _ in range(self.rounds):
             good = self.posterior(patterns)
             for quality, weight in ((0, (1 - good) * counts), (1, good * counts)):
-                for vote in (0, 1, -1):
-                    # As if ten votes of the start had been seen before.
-                    seen = weight @ (patterns == vote) + 10 * self.start[quality, vote]
-                    self.chance[quality, :, vote] = seen / (weight.sum() + 10)
+                # As if ten votes had been seen before.
+                right = weight @ (patterns == quality) + 10 * self.START[quality]
+                self.right[quality] = right / (weight @ (patterns >= 0) + 10)
             self.prior = float(np.clip((good @ counts + 9) / (counts.sum() + 10), 0.5, 0.999))
         return self
 
     def accuracy(self) -> np.ndarray:
         """Share of right ones among the votes of each rule."""
-        right = self.prior * self.chance[1, :, 1] + (1 - self.prior) * self.chance[0, :, 0]
-        wrong = self.prior * self.chance[1, :, 0] + (1 - self.prior) * self.chance[0, :, 1]
-        return right / (right + wrong)
+        return self.prior * self.right[1] + (1 - self.prior) * self.right[0]
 
     def evidence(self) -> np.ndarray:
         """Log odds for good quality of each rule's votes, (rule, vote): bad, good, none."""
-        return np.log(self.chance[1] / self.chance[0])
+        bad, good = self.right
+        votes = [np.log((1 - good) / bad), np.log(good / (1 - bad)), np.zeros_like(good)]
+        return np.stack(votes, axis=1)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability of good quality for each pattern."""

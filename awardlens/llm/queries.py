@@ -10,9 +10,12 @@ from . import (
     byte_bpe,
     exact_dedup,
     language,
+    licenses,
     ngram_join,
     packing,
+    quality_classifier,
     quality_rules,
+    token_counts,
     toxicity,
 )
 
@@ -126,3 +129,31 @@ def op9_language(spark, sf_dir):
 @query
 def op3_ngram_join(spark, sf_dir):
     return ngram_join.near_copies(documents(spark, sf_dir))
+
+
+@query
+def op4_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(documents(spark, sf_dir)).withColumn(
+        "predicted", F.col("kept").cast("int")
+    )
+
+
+@query
+def op8_licenses(spark, sf_dir):
+    found = licenses.scan_licenses(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",").alias("licenses"),
+        F.array_max("licenses.score").alias("best_score"),
+        F.array_min("licenses.start").alias("first_start"),
+    )
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(
+        documents(spark, sf_dir),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
