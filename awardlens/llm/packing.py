@@ -36,26 +36,34 @@ class WordTokenizer:
         self.merges = self.full.model
         self.words = regex.compile(WORDS)
         spare = iter(range(256, 512))
+        self.known = WordCache(self._word)
         self.alphabet = {b: chr(b if b in PRINTABLE else next(spare)) for b in range(256)}
         self.chunks = WordCache(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            ids = [
-                token.id
-                for word in self.words.findall(chunk.lower())
-                for token in self.merges.tokenize("".join(map(self.alphabet.get, word.encode())))
-            ]
-        else:
-            ids = self.full.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            return b"".join(map(self.known.__getitem__, self.words.findall(chunk.lower())))
+        return np.array(self.full.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else "".join(map(self.alphabet.get, word.encode()))
+        return b"".join([token.id.to_bytes(4, "little") for token in self.merges.tokenize(spelled)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if SEPARATORS.search(text) or not unicodedata.is_normalized("NFC", text):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        try:
+            text.encode("latin-1")
+            text = text if "<|" in text else text.lower()  # so that fewer chunks differ
+        except UnicodeEncodeError:
+            if not unicodedata.is_normalized("NFC", text):
+                return self._all(text)
+        if SEPARATORS.search(text):
+            return self._all(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
+    def _all(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 class SumOfSquares:
     """Windows being filled online: the level array counts the open windows by fill.
