@@ -88,4 +88,37 @@ def write_drop_files(lines: DataFrame, header: str, root: str) -> list[str]:
     return [row["year"] for row in years.collect()]
 
 
+def add_bad_files(
+    spark: SparkSession, root: str, years: list[str], header: list[str], column: str, file: str
+) -> None:
+    """For each year a file that ends in the middle and one with a bad cell in ``column``.
+
+    Both have the id of the clean file ``file``.
+    """
+    good = ["1" if name == column else "spoiled" for name in header]
+    bad = ["no number" if name == column else "spoiled" for name in header]
+    text = "\n".join(",".join(row) for row in (header, *[good] * 50, bad, *[good] * 50)) + "\n"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        import zstandard
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for batch in batches:
+            for year in batch.column(0).to_pylist():
+                noise = os.urandom(100_000).hex()  # so that half of it is missing for good
+                packed = zstandard.ZstdCompressor().compress(f"{text}{noise}\n".encode())
+                whole = zstandard.ZstdCompressor().compress(text.encode())
+                for name, content in (("cut", packed[: len(packed) // 2]), ("cell", whole)):
+                    path = f"{base}/{year}_awards/{name}_{file}.csv.zst"
+                    with system.open_output_stream(path, compression=None) as out:
+                        out.write(content)
+            yield batch
+
+    listing = spark.createDataFrame([(year,) for year in years], "year string")
+    listing.mapInArrow(write, "year string").count()
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

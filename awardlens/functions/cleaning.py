@@ -61,6 +61,36 @@ def iso_date_sql(cell: str) -> str:
     return rf"CASE WHEN {cell} RLIKE r'^\d{{4}}-\d{{2}}-\d{{2}}$' THEN try_cast({cell} AS date) END"
 
 
+# What a number or a time may look like, blanks around it aside. Spark's own
+# casts also take suffixes (12d), hexadecimal floats, plus signs, years and time zones.
+INTEGER = r"^[ \t]*-?[0-9]+[ \t]*$"
+HEXADECIMAL = r"^[ \t]*0[xX][0-9a-fA-F]+[ \t]*$"
+NUMBER = r"^[ \t]*-?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?[ \t]*$|^[ \t]*-?(?i:inf|infinity|nan)[ \t]*$"
+TIME = r"^[ \t]*[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?[ \t]*$"
+
+
+def integer_sql(cell: str, kind: str) -> str:
+    """Decimal digits, or hexadecimal ones after ``0x``."""
+    digits = f"conv(substring(trim(BOTH ' \t' FROM {cell}), 3), 16, 10)"
+    return (
+        f"CASE WHEN {cell} RLIKE r'{INTEGER}' THEN try_cast({cell} AS {kind})"
+        f" WHEN {cell} RLIKE r'{HEXADECIMAL}' THEN try_cast({digits} AS {kind}) END"
+    )
+
+
+def number_sql(cell: str, kind: str) -> str:
+    """A floating-point number; spellings of a missing cell are none."""
+    return (
+        f"CASE WHEN {cell} RLIKE r'{NUMBER}' AND {present_sql(cell)}"
+        f" THEN try_cast({cell} AS {kind}) END"
+    )
+
+
+def time_sql(cell: str, kind: str) -> str:
+    """Date, or date and time of day; no bare year, no time zone."""
+    return f"CASE WHEN {cell} RLIKE r'{TIME}' THEN try_cast({cell} AS {kind}) END"
+
+
 def null_tokens_to_null(cell: str) -> Column:
     """The cell, or null where it spells a missing value."""
     return F.expr(null_tokens_sql(cell))

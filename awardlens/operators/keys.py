@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,17 @@ def restrict_to_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key).distinct(), key, "left_semi")
 
 
+def attach_totals(
+    left: DataFrame, rows: DataFrame, key: str, totals: Sequence[Column]
+) -> DataFrame:
+    """Left join with one row per key: ``totals`` over all rows of the key.
+
+    The rows are summed up before the join, on the map side first, so each left row stays
+    one row however often its key repeats on the right.
+    """
+    return left.join(rows.groupBy(key).agg(*totals), key, "left")
+
+
 def attach_by_key(left: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Left join on the key with every column of ``rows`` that ``left`` lacks."""
     missing = [name for name in rows.columns if name not in left.columns]

@@ -6,11 +6,12 @@ all in one task, so the last draw that is still in (the *cut*) is searched for i
 
 1. count rows per stratum and draw prefix (at most 65,536 counters per stratum);
 2. the running count tells the prefix in which the cut lies;
-3. only rows with that prefix are counted per draw, which gives the cut itself.
+3. while many rows share that prefix it is made longer in the same way; then only rows
+   with that prefix are counted per draw, which gives the cut itself.
 
 After that, membership is a comparison of a row's draw with its stratum's cut. Copies of
 one row share a draw; they are counted, never ranked, so any number of copies is fine.
-The draws are staged first, so the passes read a table and not the input again.
+Strata and draws are staged first: the passes read those, and the input once more at last.
 """
 
 from collections.abc import Sequence
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 from ..session import measured, staged
 
 PREFIX_DIGITS = 4
+# Rows of a stratum with one prefix that may be ordered in one task.
+EDGE_ROWS = 500_000
 COPY_CHUNK = 1 << 16
+DRAW_DIGITS = 32
 
 
 def check_fraction(fraction: float) -> float:
@@ -60,7 +64,7 @@ def sample_cuts(drawn: DataFrame, fraction: float, strata: Sequence[str] = ()) -
     names = [f"_of_{name}" for name in strata]
     draws = drawn.select(
         *(F.col(f"`{name}`").alias(alias) for name, alias in zip(strata, names)), "_draw"
-    ).withColumn("_prefix", F.substring("_draw", 1, PREFIX_DIGITS))
+    )
 
     stratum = Window.partitionBy(*names)
 
@@ -76,29 +80,44 @@ def sample_cuts(drawn: DataFrame, fraction: float, strata: Sequence[str] = ()) -
             .withColumn("_left", F.col("_take") - F.col("_before"))
         )
 
-    per_prefix = (
-        draws.groupBy(*names, "_prefix")
+    def at_edge(edges: DataFrame, digits: int) -> DataFrame:
+        """The draws that begin with their stratum's edge prefix."""
+        return draws.join(
+            edges,
+            reduce(
+                lambda a, b: a & b,
+                [F.col(name).eqNullSafe(F.col(f"_edge{name}")) for name in names],
+                F.substring("_draw", 1, digits) == F.col("_edge_prefix"),
+            ),
+        )
+
+    def edges_of(counted: DataFrame) -> DataFrame:
+        return measured(
+            crossing(counted, "_prefix").select(
+                *(F.col(name).alias(f"_edge{name}") for name in names),
+                F.col("_prefix").alias("_edge_prefix"),
+                F.col("_left").alias("_take"),
+                F.col("_n").alias("_rows"),
+            )
+        )
+
+    digits = PREFIX_DIGITS
+    edges = edges_of(
+        draws.groupBy(*names, F.substring("_draw", 1, digits).alias("_prefix"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(
             "_take", F.floor(F.lit(fraction) * F.sum("_n").over(stratum)).cast("long")
         )
     )
-    edges = measured(
-        crossing(per_prefix, "_prefix").select(
-            *(F.col(name).alias(f"_edge{name}") for name in names),
-            F.col("_prefix").alias("_edge_prefix"),
-            F.col("_left").alias("_take"),
+    while digits < DRAW_DIGITS and (edges.agg(F.max("_rows")).first()[0] or 0) > EDGE_ROWS:
+        longer = at_edge(edges, digits)
+        digits += PREFIX_DIGITS
+        prefix = F.substring("_draw", 1, digits).alias("_prefix")
+        wider, edges = edges, edges_of(
+            longer.groupBy(*names, prefix, "_take").agg(F.count(F.lit(1)).alias("_n"))
         )
-    )
-    at_edge = draws.join(
-        edges,
-        reduce(
-            lambda a, b: a & b,
-            [F.col(name).eqNullSafe(F.col(f"_edge{name}")) for name in names],
-            F.col("_prefix") == F.col("_edge_prefix"),
-        ),
-    )
-    per_draw = at_edge.groupBy(*names, "_draw", "_take").agg(F.count(F.lit(1)).alias("_n"))
+        wider.unpersist()
+    per_draw = at_edge(edges, digits).groupBy(*names, "_draw", "_take").agg(F.count(F.lit(1)).alias("_n"))
     return measured(
         crossing(per_draw, "_draw").select(
             *names,
@@ -115,8 +134,9 @@ def exact_sample(
     """Exactly ``floor(fraction * n)`` rows of every stratum, without replacement."""
     fraction = check_fraction(fraction)
     columns = df.columns
-    drawn = staged(df.withColumn("_draw", draw_of(df, columns, seed)), "draws")
-    cuts = sample_cuts(drawn, fraction, strata)
+    drawn = df.withColumn("_draw", draw_of(df, columns, seed))
+    facts = staged(drawn.select(*(f"`{name}`" for name in strata), "_draw"), "draws")
+    cuts = sample_cuts(facts, fraction, strata)
     if strata:
         met = drawn.join(cuts, same_stratum(drawn, cuts, strata))
     else:

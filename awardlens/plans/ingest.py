@@ -7,10 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lineage import uri_file_id, uri_name
-from ..session import measured
+from ..session import scratch_dir, scratch_scope, staged
 from ..sources.cells import BAD_VALUES, infer_fields, type_cells
-from ..sources.drops import LINEAGE, Drop, read_drops, year_directories
+from ..sources.drops import FILE_URI, LINEAGE, Drop, read_drops, year_directories
 from ..sources.schema_json import load_schema
 from ..sources.tables import write_awards
 from ..sources.vocabulary import Vocabulary, bool_vocabulary
@@ -28,37 +27,43 @@ def ingest(
     root: str = "data/raw",
     data_dict: str | Path | None = None,
     overwrite: bool = True,
-    on_bad_value: str = "fail",
+    on_bad_value: str = "skip_file",
     on_corrupt: str = "skip",
 ) -> DataFrame:
     """Read, clean, type and write the drops; returns the files with their errors.
 
-    A cell that is not of its column's type fails the job (``fail``), becomes null
-    (``null``), or keeps its whole file out (``skip_file``, which parses twice).
+    A cell that is not of its column's type keeps its whole file out and the other files
+    in (``skip_file``), becomes null (``null``), or fails the job (``fail``). To keep files
+    apart their rows are typed once into the shared scratch folder, with a flag that is
+    then all that decides which of them are written.
     """
     if on_bad_value not in ON_BAD_VALUE:
         raise ValueError(f"on_bad_value must be one of {ON_BAD_VALUE}, got {on_bad_value!r}")
     declared = schema if isinstance(schema, T.StructType) else load_schema(schema)
-    drop = read_drops(spark, year_directories(years, dirs, root), on_corrupt)
-    if drop.rows is None:
-        return drop.files
-    mode = "flag" if on_bad_value == "skip_file" else on_bad_value
-    rows = typed_rows(drop.rows, declared, bool_vocabulary(data_dict), mode)
-    files = drop.files
-    if mode == "flag":
-        spoiled = rows.groupBy(*LINEAGE).agg(F.bool_or(BAD_VALUES).alias("spoiled"))
-        spoiled = measured(spoiled.filter("spoiled").select(*LINEAGE))
-        rows = rows.join(spoiled, LINEAGE, "left_anti").drop(BAD_VALUES)
-        files = _report_spoiled(files, spoiled)
-    write_awards(rows, output, overwrite)
-    return files
+    with scratch_scope(spark):
+        drop = read_drops(spark, year_directories(years, dirs, root), on_corrupt)
+        files = drop.files
+        if drop.located is not None:
+            mode = "flag" if on_bad_value == "skip_file" else on_bad_value
+            rows = typed_rows(drop.located, declared, bool_vocabulary(data_dict), mode)
+            if mode == "flag":
+                rows = staged(rows, "typed")
+                spoiled = staged(rows.filter(BAD_VALUES).select(FILE_URI).distinct(), "spoiled")
+                if not spoiled.isEmpty():
+                    rows = rows.join(spoiled, FILE_URI, "left_anti")
+                    files = _report_spoiled(files, spoiled)
+                rows = rows.drop(BAD_VALUES)
+            write_awards(rows.drop(FILE_URI), output, overwrite)
+        report = scratch_dir(spark, "files", keep=True)
+        files.write.parquet(report)
+    return spark.read.schema(files.schema).parquet(report)
 
 
 def typed_rows(
     text: DataFrame, declared: T.StructType, words: Vocabulary, on_bad_value: str
 ) -> DataFrame:
     """Cells typed, missing ones null: declared columns as declared, others inferred."""
-    data = [name for name in text.columns if name not in LINEAGE]
+    data = [name for name in text.columns if name not in (*LINEAGE, FILE_URI)]
     known = set(declared.fieldNames())
     extra = infer_fields(text, [name for name in data if name not in known], words)
     wanted = [field for field in declared.fields if field.name in data] + extra
@@ -66,8 +71,9 @@ def typed_rows(
 
 
 def _report_spoiled(files: DataFrame, spoiled: DataFrame) -> DataFrame:
-    names = files.withColumn("file", uri_file_id(uri_name(F.col("uri"))))
-    marked = names.join(spoiled.withColumn("_spoiled", F.lit(True)), LINEAGE, "left")
+    marked = files.join(
+        spoiled.select(F.col(FILE_URI).alias("uri"), F.lit(True).alias("_spoiled")), "uri", "left"
+    )
     return marked.withColumn(
         "error", F.coalesce("error", F.when(F.col("_spoiled"), F.lit("has a bad value")))
     ).select(*files.columns)

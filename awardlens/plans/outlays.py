@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import iso_date, null_tokens_to_null
+from ..functions.cleaning import iso_date, number_sql
 from ..functions.compare import EQUAL, GREATER, LESS, compare3
 from ..functions.numbers import null_as_zero, sum0
 from ..operators.sampling import check_fraction, exact_sample, fast_sample
@@ -41,7 +41,7 @@ def outlay_rows(rows: DataFrame) -> DataFrame:
                 return column
             return iso_date(name) if kinds[name] == "string" else column.try_cast("date")
         if kinds[name] == "string":
-            column = null_tokens_to_null(name)
+            return F.expr(number_sql(name, "double"))
         return column if kinds[name] == "double" else column.try_cast("double")
 
     return rows.select(*(typed(name).alias(name) for name in OUTLAY_COLUMNS)).withColumnsRenamed(

@@ -7,11 +7,11 @@ sampled into lists, unioned, deduplicated and re-joined.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import parse_tf
-from ..operators.keys import attach_by_key
+from ..operators.keys import attach_by_key, attach_totals
 from ..operators.quantiles import quantiles
 from ..operators.sampling import (
     check_fraction,
@@ -20,7 +20,8 @@ from ..operators.sampling import (
     same_stratum,
     sample_cuts,
 )
-from ..session import staged
+from ..session import scratch_scope, staged
+from ..sources.tables import read_plain_csv, write_csv
 
 KEY = "contract_award_unique_key"
 VALUE = "current_total_value_of_award"
@@ -127,10 +128,35 @@ def subset_rows(rows: DataFrame, **options) -> DataFrame:
     return build_subset(rows.select(*INITIAL_COLUMNS), **options).distinct()
 
 
+def award_totals() -> list[Column]:
+    """What is known of a whole award, over all its transactions."""
+    return [
+        F.count(F.lit(1)).alias("transactions"),
+        F.sum("total_dollars_obligated").alias("award_obligated"),
+        F.min("action_date_fiscal_year").alias("first_year"),
+        F.max("action_date_fiscal_year").alias("last_year"),
+    ]
+
+
 def subset_by_key(rows: DataFrame, **options) -> DataFrame:
-    """Subset rows extended by the award key: one line per transaction of the same award.
+    """Subset rows times the transactions of their award: one line per pair.
 
-    Where keys repeat this pairs each subset row with every transaction of its award.
-    ``build_subset`` gives each row its own columns and needs no join.
+    Where keys repeat this grows with the product of both; ``subset_with_totals`` does not.
     """
     return attach_by_key(subset_rows(rows, **options), rows, KEY)
+
+
+def subset_with_totals(rows: DataFrame, **options) -> DataFrame:
+    """The distinct subset rows, each with the totals of its award; one line per subset row."""
+    return attach_totals(subset_rows(rows, **options), rows, KEY, award_totals())
+
+
+def subset_job(spark: SparkSession, csv_in: str, csv_out: str, **options) -> None:
+    """From a CSV file of transactions to a CSV file of their subset.
+
+    The input is parsed once into the shared scratch folder, which the passes read; the
+    folder is removed when the subset is written.
+    """
+    with scratch_scope(spark):
+        rows = staged(read_plain_csv(spark, csv_in), "transactions")
+        write_csv(build_subset(rows, **options), csv_out)

@@ -6,22 +6,25 @@ addition is free: to the decimals the exact sum has, or for large sums to two, a
 quotients to so many that no exact value lies half-way.
 """
 
+import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions import bool_from_words, file_id, null_tokens_to_null, parse_tf
-from .functions.cleaning import NULL_TOKENS
-from .functions.sectors import SECTOR_NAMES, UNKNOWN_SECTOR
+from .functions.sectors import UNKNOWN_SECTOR
 from .operators.keys import attach_by_key, restrict_to_keys, union_widened
+from .operators.quantiles import quantiles
 from .plans import funding, options, outlays, series, subset
 from .plans.ingest import ingest, read_outlay_drops
 from .session import scratch_dir, staged
+from .sources.cells import type_cells
 from .sources.drops import read_drops, rows_per_file, year_directories
 from .sources.schema_json import schema_from_text
-from .sources.tables import csv_columns, read_awards, read_plain_csv, write_csv
+from .sources.tables import csv_columns, read_awards, read_plain_csv, write_awards, write_csv
 from .sources.vocabulary import bool_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,9 +64,25 @@ def text_list(values) -> str:
 
 
 def sql_sector(naics: str) -> str:
-    cases = " ".join(f"WHEN '{code}' THEN '{name}'" for code, name in SECTOR_NAMES.items())
-    code = f"substr(cast({naics} AS varchar), 1, 2)"
-    return f"CASE WHEN {naics} IS NULL THEN NULL ELSE CASE {code} {cases} ELSE '{UNKNOWN_SECTOR}' END END"
+    """Written out here, not taken from the table that the queries use."""
+    return f"""CASE substr(cast({naics} AS varchar), 1, 2)
+       WHEN '11' THEN 'Agriculture, Forestry, Fishing and Hunting'
+       WHEN '21' THEN 'Mining, Quarrying, and Oil and Gas Extraction'
+       WHEN '22' THEN 'Utilities' WHEN '23' THEN 'Construction'
+       WHEN '31' THEN 'Manufacturing' WHEN '32' THEN 'Manufacturing' WHEN '33' THEN 'Manufacturing'
+       WHEN '42' THEN 'Wholesale Trade' WHEN '44' THEN 'Retail Trade' WHEN '45' THEN 'Retail Trade'
+       WHEN '48' THEN 'Transportation and Warehousing' WHEN '49' THEN 'Transportation and Warehousing'
+       WHEN '51' THEN 'Information' WHEN '52' THEN 'Finance and Insurance'
+       WHEN '53' THEN 'Real Estate and Rental and Leasing'
+       WHEN '54' THEN 'Professional, Scientific, and Technical Services'
+       WHEN '55' THEN 'Management of Companies and Enterprises'
+       WHEN '56' THEN 'Administrative and Support and Waste Management'
+       WHEN '61' THEN 'Educational Services' WHEN '62' THEN 'Health Care and Social Assistance'
+       WHEN '71' THEN 'Arts, Entertainment, and Recreation'
+       WHEN '72' THEN 'Accommodation and Food Services'
+       WHEN '81' THEN 'Other Services (except Public Administration)'
+       WHEN '92' THEN 'Public Administration'
+       ELSE CASE WHEN {naics} IS NOT NULL THEN 'Unknown Sector' END END"""
 
 
 # ---- scans and cell functions ----------------------------------------------------------
@@ -105,9 +124,11 @@ def _(awards):
 
 @query(
     "bool_vocab",
-    f"""SELECT contract_award_unique_key,
-       CASE WHEN woman_owned_business IN ({text_list(bool_vocabulary().true_words)}) THEN true
-            WHEN woman_owned_business IN ({text_list(bool_vocabulary().false_words)}) THEN false
+    """SELECT contract_award_unique_key,
+       CASE WHEN woman_owned_business IN ('true', 'TRUE', 'True', 'yes', 'YES', 'Yes', 't', 'T', 'y', 'Y',
+              'on', 'ON', 'On') THEN true
+            WHEN woman_owned_business IN ('false', 'FALSE', 'False', 'no', 'NO', 'No', 'f', 'F', 'n', 'N',
+              'off', 'OFF', 'Off') THEN false
        END AS woman_owned FROM awards""",
 )
 def _(awards):
@@ -124,7 +145,9 @@ TOKEN_CELL = """CASE awarding_agency_code % 8 WHEN 0 THEN '' WHEN 1 THEN 'N/A' W
 
 @query(
     "null_tokens",
-    f"""SELECT contract_award_unique_key, CASE WHEN cell NOT IN ({text_list(NULL_TOKENS)}) THEN cell END AS cell
+    f"""SELECT contract_award_unique_key, CASE WHEN cell NOT IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND',
+         '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', 'N/A', 'NA', 'NULL', 'NaN', 'n/a', 'nan', 'null')
+         THEN cell END AS cell
        FROM (SELECT contract_award_unique_key, {TOKEN_CELL} AS cell FROM awards)""",
 )
 def _(awards):
@@ -783,3 +806,210 @@ ORACLES["csv_roundtrip"] = with_awards(
      max(period_of_performance_current_end_date) AS last_end
    FROM awards GROUP BY 1, 2"""
 )
+
+
+# ---- SUBSET as a job, awards with totals -------------------------------------------------
+
+
+def subset_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = scratch_dir(spark, "transactions-csv"), scratch_dir(spark, "subset-csv")
+    write_csv(fixtures.awards(spark, sf_dir), source)
+    subset.subset_job(spark, source, target)
+    rows = read_plain_csv(spark, target)
+    return rounded(
+        rows.groupBy("award_type").agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.countDistinct("contract_award_unique_key").alias("award_count"),
+            F.sum("current_total_value_of_award").alias("total_value"),
+            F.sum("naics_code").alias("code_sum"),
+            F.count_if(F.col("woman_owned_business")).alias("women_owned"),
+            F.max("period_of_performance_current_end_date").alias("last_end"),
+        ),
+        total_value=4,
+    )
+
+
+QUERIES["subset_from_csv"] = subset_from_csv
+ORACLES["subset_from_csv"] = with_awards(
+    f"""{SQL_SUBSET} SELECT c.award_type, count(*) AS row_count,
+     count(DISTINCT c.contract_award_unique_key) AS award_count,
+     round(sum(c.current_total_value_of_award), 4) AS total_value,
+     cast(sum(c.naics_code) AS bigint) AS code_sum,
+     count(*) FILTER (WHERE c.woman_owned_business) AS women_owned,
+     max(c.period_of_performance_current_end_date) AS last_end
+   FROM c JOIN u ON {' AND '.join(f'c.{name} IS NOT DISTINCT FROM u.{name}' for name in subset.INITIAL_COLUMNS)}
+   GROUP BY 1"""
+)
+
+
+@query(
+    "award_totals_left_join",
+    f"""{SQL_SUBSET}, t AS (SELECT contract_award_unique_key, count(*) AS transactions,
+         round(sum(total_dollars_obligated), 4) AS award_obligated,
+         min(action_date_fiscal_year) AS first_year, max(action_date_fiscal_year) AS last_year
+       FROM awards GROUP BY 1)
+       SELECT u.*, t.transactions, t.award_obligated, t.first_year, t.last_year
+       FROM u LEFT JOIN t ON u.contract_award_unique_key = t.contract_award_unique_key""",
+)
+def _(awards):
+    return rounded(subset.subset_with_totals(awards), award_obligated=4)
+
+
+@query("value_quantiles_narrowed", f"{SQL_CLEAN} SELECT low, high FROM q")
+def _(awards):
+    values = staged(awards.select(subset.VALUE), "values")
+    tails = [subset.LOW_TAIL, subset.HIGH_TAIL]
+    low, high = quantiles(values, subset.VALUE, tails, pick_limit=500, accuracy=100)
+    return awards.sparkSession.createDataFrame([(low, high)], "low double, high double")
+
+
+@query(
+    "outlay_labels",
+    f"""WITH b AS ({with_awards(sql_breakdown("outlay_amount"))})
+       SELECT *, CASE comparison WHEN 'less_than' THEN 'Outlays < Potential'
+         WHEN 'equal' THEN 'Outlays = Potential' ELSE 'Outlays > Potential' END AS label FROM b""",
+)
+def _(awards):
+    breakdown = rounded(outlays.outlay_vs_potential(_report_of(awards)), percentage=8)
+    return outlays.labelled(breakdown, "Outlays")
+
+
+# ---- vocabulary of a dictionary, typed cells ---------------------------------------------
+
+LABELS_JSON = """{"size": {"T": "Small Business", "F": "other than small"},
+ "kind": {"A": "one", "B": "two"}, "set": {"Y": " Set Aside ", "N": "open"}}"""
+LABEL_CELL = """CASE awarding_agency_code % 8 WHEN 0 THEN 'Small business' WHEN 1 THEN 'SMALL BUSINESS'
+ WHEN 2 THEN 'Small Business' WHEN 3 THEN 'Other than small' WHEN 4 THEN 'set aside' WHEN 5 THEN 'OPEN'
+ WHEN 6 THEN 'one' ELSE 'Yes' END"""
+
+
+@query(
+    "dictionary_labels",
+    f"""SELECT contract_award_unique_key, CASE
+         WHEN cell IN ('Small business', 'SMALL BUSINESS', 'small business', 'set aside', 'Set aside', 'SET ASIDE',
+           'Yes') THEN true
+         WHEN cell IN ('Other than small', 'OTHER THAN SMALL', 'other than small', 'open', 'Open', 'OPEN')
+           THEN false END AS flag
+       FROM (SELECT contract_award_unique_key, {LABEL_CELL} AS cell FROM awards)""",
+)
+def _(awards):
+    words = bool_vocabulary(json.loads(LABELS_JSON))
+    cells = awards.select("contract_award_unique_key", F.expr(LABEL_CELL).alias("cell"))
+    return cells.select("contract_award_unique_key", bool_from_words("cell", *words).alias("flag"))
+
+
+CELL_TEXTS = [" 12 ", "+7", "12d", "0x10", "1e5", "0x1p3", "Infinity", "2020", "2020-01-02", "2020-01-02 03:04:05Z"]
+CELL_OF_ROW = (
+    "element_at(array(" + ", ".join(f"'{text}'" for text in CELL_TEXTS) + "), cast(awarding_agency_code % 10 + 1 AS int))"
+)
+
+
+@query(
+    "typed_cells",
+    """SELECT contract_award_unique_key, t.whole, t.number, t.moment FROM awards JOIN (VALUES
+         (0, 12, cast(12 AS double), NULL), (1, NULL, NULL, NULL), (2, NULL, NULL, NULL), (3, 16, NULL, NULL),
+         (4, NULL, cast(100000 AS double), NULL), (5, NULL, NULL, NULL), (6, NULL, cast('inf' AS double), NULL),
+         (7, 2020, cast(2020 AS double), NULL), (8, NULL, NULL, TIMESTAMP '2020-01-02 00:00:00'),
+         (9, NULL, NULL, NULL)) t(k, whole, number, moment) ON t.k = awarding_agency_code % 10""",
+)
+def _(awards):
+    cell = F.expr(CELL_OF_ROW)
+    kinds = {"whole": "int32", "number": "double", "moment": "timestamp[us]"}
+    fields = ", ".join(f'{{"name": "{name}", "type": "{kind}"}}' for name, kind in kinds.items())
+    text = awards.select("contract_award_unique_key", *(cell.alias(name) for name in kinds))
+    schema = schema_from_text('{"fields": [' + fields + "]}")
+    return type_cells(text, schema, bool_vocabulary(), "null")
+
+
+# ---- INGEST: isolation, refusals, reports over the dataset --------------------------------
+
+
+def ingest_bad_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each year also has a cut-off file and one with a bad cell, under the id of a clean one."""
+    root, years = write_drops(spark, sf_dir)
+    fixtures.add_bad_files(spark, root, years, list(DROP_CELLS), "naics_code", "0" * 6)
+    output = scratch_dir(spark, "awards")
+    # All other columns as text: their spellings of nothing are no bad cells.
+    report = ingest(spark, years, output, schema_from_text(LENIENT_SCHEMA), root=root)
+    found = report.groupBy("year").agg(
+        F.count_if(F.col("error") == "has a bad value").alias("spoiled"),
+        F.count_if((F.col("error") != "has a bad value")).alias("broken"),
+    )
+    rows = read_awards(spark, output, ["year", "file", "naics_code"]).groupBy("year").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.countDistinct("file").alias("file_count"),
+        F.sum("naics_code").cast("long").alias("code_sum"),
+    )
+    return rows.join(found, "year")
+
+
+LENIENT_SCHEMA = """{"fields": [""" + ", ".join(
+    f'{{"name": "{name}", "type": "{"uint32" if name == "naics_code" else "string"}"}}'
+    for name in DROP_CELLS
+) + "]}"
+QUERIES["ingest_bad_files"] = ingest_bad_files
+ORACLES["ingest_bad_files"] = with_awards(
+    f"""{SQL_DROP_ROWS}, y AS (SELECT year, count(*) AS row_count, count(DISTINCT file) AS file_count,
+       cast(sum(naics_code) AS bigint) AS code_sum FROM k GROUP BY 1)
+     SELECT *, 1 AS spoiled, 1 AS broken FROM y"""
+)
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    root, years = write_drops(spark, sf_dir)
+    output = scratch_dir(spark, "awards")
+    ingest(spark, years, output, schema_from_text(DROP_SCHEMA), root=root, on_bad_value="null")
+    return output
+
+
+def _from_dataset(report: Callable[[DataFrame], DataFrame]) -> Query:
+    """A report over the ingested dataset: seven columns of it, by its stored schema."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(read_awards(spark, _ingested(spark, sf_dir), funding.REPORT_COLUMNS))
+
+    return build
+
+
+def _over_drops(sql: str) -> str:
+    """A report's SQL over the rows that the drops hold."""
+    body = sql.strip()[len("WITH ") :].replace("FROM awards", "FROM dropped")
+    # ``k`` also names a rank in some reports.
+    return with_awards(f"{SQL_DROP_ROWS}, dropped AS (SELECT * REPLACE (described AS naics_description) FROM k), {body}")
+
+
+QUERIES["trends_from_dataset"] = _from_dataset(lambda rows: round_trends(funding.funding_trends(rows)))
+ORACLES["trends_from_dataset"] = _over_drops(sql_trends())
+QUERIES["sectors_from_dataset"] = _from_dataset(lambda rows: round_sectors(funding.sector_funding(rows)))
+ORACLES["sectors_from_dataset"] = _over_drops(sql_sectors(5))
+QUERIES["award_types_from_dataset"] = _from_dataset(lambda rows: round_types(funding.award_types(rows)))
+ORACLES["award_types_from_dataset"] = _over_drops(sql_types())
+
+
+def write_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the writer refuses: rows without lineage, and an output that is there already."""
+    rows = fixtures.awards(spark, sf_dir).select(
+        "contract_award_unique_key", F.col("action_date_fiscal_year").cast("string").alias("year")
+    )
+    output, refused = scratch_dir(spark, "awards"), []
+    try:
+        write_awards(rows, output)
+    except ValueError:
+        refused.append("no lineage")
+    whole = rows.withColumn("file", F.right("contract_award_unique_key", F.lit(1)))
+    write_awards(whole, output, overwrite=False)
+    try:
+        write_awards(whole, output, overwrite=False)
+    except AnalysisException:
+        refused.append("exists")
+    written = read_awards(spark, output)
+    return written.groupBy("year", "file").agg(F.count(F.lit(1)).alias("row_count")).withColumn(
+        "refused", F.lit(", ".join(refused))
+    )
+
+
+QUERIES["write_refusals"] = write_refusals
+ORACLES["write_refusals"] = with_awards(
+    """SELECT cast(action_date_fiscal_year AS varchar) AS year, right(contract_award_unique_key, 1) AS file,
+     count(*) AS row_count, 'no lineage, exists' AS refused FROM awards GROUP BY 1, 2"""
+)

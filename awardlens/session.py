@@ -2,19 +2,45 @@
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN_SCOPES: list[list[str]] = []
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for one run, inside the shared folder in ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove at the end what is staged inside the ``with`` block.
+
+    Results that are still lazy on it must be written or collected inside.
+    """
+    _OPEN_SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN_SCOPES.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def scratch_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder for one run, inside the shared folder in ``spark.checkpoint.dir``.
+
+    ``keep``: it outlives an open ``scratch_scope``.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
+    )
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="awardlens-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN_SCOPES and not keep:
+        _OPEN_SCOPES[-1].append(path)
+    return path
 
 
 @contextmanager
@@ -45,12 +71,12 @@ def measured(df: DataFrame) -> DataFrame:
     return kept
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as Parquet in the shared scratch folder and read it from there.
 
     For input that several passes read: the passes then scan only the columns they need,
     do not repeat the joins or parsing behind ``df``, and survive lost executors.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

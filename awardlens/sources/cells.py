@@ -9,10 +9,13 @@ from pyspark.sql import types as T
 from ..functions.cleaning import (
     NULL_TOKENS,
     bool_words_sql,
+    integer_sql,
     iso_date_sql,
     null_tokens_sql,
+    number_sql,
     present_sql,
     sql_text,
+    time_sql,
 )
 from .schema_json import DECLARED, UNSIGNED_MAX
 from .vocabulary import Vocabulary
@@ -41,15 +44,17 @@ def typed_sql(cell: str, field: T.StructField, words: Vocabulary) -> str:
         return bool_words_sql(cell, *known)
     if isinstance(kind, T.DateType):
         return iso_date_sql(cell)
-    if isinstance(kind, (T.BinaryType, T.FloatType, T.DoubleType)):
-        return f"try_cast({null_tokens_sql(cell)} AS {kind.simpleString()})"
-    value = f"try_cast({cell} AS {kind.simpleString()})"
-    if isinstance(kind, T.DecimalType):
-        value = rf"CASE WHEN {cell} RLIKE r'^\s*\d+\s*$' THEN {value} END"
+    if isinstance(kind, T.BinaryType):
+        return f"try_cast({null_tokens_sql(cell)} AS binary)"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return number_sql(cell, kind.simpleString())
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return time_sql(cell, kind.simpleString())
+    value = integer_sql(cell, kind.simpleString())
     top = UNSIGNED_MAX.get(field.metadata.get(DECLARED))
     if top is None:
         return value
-    return f"CASE WHEN {value} BETWEEN 0 AND {top} THEN {value} END"
+    return f"CASE WHEN ({value}) BETWEEN 0 AND {top} THEN {value} END"
 
 
 def type_cells(

@@ -1,19 +1,21 @@
 """Yearly drops of zstd-compressed CSV files.
 
-A drop is a directory of ``*.zst`` files. A small probe job looks at each file once, in
-the tasks: it reads the header line, the size of the compression window and, on request,
-decompresses the whole file to see that it is intact. Files with equal headers are then
-read by one scan as text columns *by name*, so drops may differ in columns and order.
-
-A compressed file cannot be split, so it is one task of that scan. Very large files, and
-those whose window Spark's reader does not take, go another way: a task only unpacks the
-file into lines, and the lines of a large file are shuffled to many tasks for parsing.
+A drop is a directory of ``*.zst`` files. One job unpacks every file once, in the task that
+has it: it checks the header, that the file is intact and that it is UTF-8, and writes the
+text to the shared scratch folder in chunks that end at a line end. What is left of a
+compressed file's shape ends there: however large it is, its chunks are dealt to tasks in
+proportion to their length, and split into lines and cells by Spark. All files go this way,
+so equal bytes give equal rows.
+
+Files with equal headers are parsed together, by name, so drops may differ in columns and
+order. A file that turns out broken takes its chunks with it, whatever was written before.
 """
 
 import csv
+import hashlib
 import io
 import logging
-import math
+import re
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -21,36 +23,37 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage import uri_file_id, uri_name
 from ..operators.keys import union_widened
+from ..session import staged
 
 log = logging.getLogger(__name__)
 
-# The largest window of Spark's own zstd reader and of ours.
-SPARK_WINDOW = 128 << 20
+# Fixed value: the largest compression window that is accepted.
 MAX_WINDOW = 2 << 30
 
-LINE_BATCH = 4 << 20
 PACKED_CHUNK = 16 << 10
-
-# A compressed file above LARGE_FILE is parsed by one task per TASK_BYTES of it.
-LARGE_FILE = 1 << 30
-TASK_BYTES = 256 << 20
+# Unpacked text is handed on in chunks of about this many bytes, cut at line ends.
+TEXT_CHUNK = 1 << 20
 
 YEAR, FILE = "year", "file"
 LINEAGE = [YEAR, FILE]
 ROW_BAD, FILE_URI = "_bad_row", "_file_uri"
 
-PROBE_SCHEMA = (
+FILES_SCHEMA = (
     "year string, path string, uri string, length long,"
     "window_bytes long, header array<string>, error string"
 )
-PROBE_ARROW = pa.schema(
+# One table for both results of unpacking: a row per file in the layout "files", and the
+# text of a file in the layout of its header.
+FILES_LAYOUT = "files"
+UNPACKED_ARROW = pa.schema(
     [
+        ("layout", pa.string()),
         ("year", pa.string()),
         ("path", pa.string()),
         ("uri", pa.string()),
@@ -58,6 +61,7 @@ PROBE_ARROW = pa.schema(
         ("window_bytes", pa.int64()),
         ("header", pa.list_(pa.string())),
         ("error", pa.string()),
+        ("text", pa.string()),
     ]
 )
 
@@ -143,42 +147,91 @@ class _Decompressed(io.RawIOBase):
         return memoryview(b"".join(parts))
 
 
-def _look_at(uri: str, verify: bool) -> dict:
+def layout_of(header: Sequence[str]) -> str:
+    """Name of the folder that holds the text of the files with this header."""
+    return hashlib.sha1("\0".join(header).encode()).hexdigest()
+
+
+_LINE_END = re.compile(b"[\r\n]")
+
+
+def _first_line(source: io.RawIOBase) -> tuple[bytes, bytes]:
+    """The bytes up to the first line end, and those read beyond it."""
+    data = b""
+    while True:
+        more = source.read(PACKED_CHUNK)
+        data += more or b""
+        end = _LINE_END.search(data)
+        if end:
+            return data[: end.start()], data[end.end() :]
+        if not more:
+            return data, b""
+
+
+def _header(line: bytes, required: Sequence[str]) -> tuple[list[str], str | None]:
+    header = next(csv.reader([line.decode("utf-8-sig")]), [])
+    lacking = [name for name in required if name not in header]
+    if not header:
+        return header, "no header line"
+    if len(set(header)) < len(header):
+        return header, "repeated column name"
+    if lacking:
+        return header, f"lacks {', '.join(lacking)}"
+    if set(header) & set(LINEAGE):
+        return header, "has its own year or file column"
+    return header, None
+
+
+def _unpack(file: dict, required: Sequence[str]) -> Iterator[dict]:
+    """Rows of the unpacked table: chunks of text, and at the end the file itself."""
     found = {"window_bytes": None, "header": None, "error": None}
     try:
-        source = _Decompressed(uri)
-        lines = io.BufferedReader(source, LINE_BATCH)
-        first = lines.readline().decode("utf-8-sig").rstrip("\r\n")
+        source = _Decompressed(file["uri"])
+        offset = 0
         found["window_bytes"] = source.window
-        found["header"] = header = next(csv.reader([first]), [])
-        if not header:
-            found["error"] = "no header line"
-        elif len(set(header)) < len(header):
-            found["error"] = "repeated column name"
-        while verify and not found["error"] and lines.read(LINE_BATCH):
-            pass
+        line, held = _first_line(source)
+        offset = len(line) + 1
+        found["header"], found["error"] = _header(line, required)
+        here = {"layout": layout_of(found["header"]), "year": file["year"], "uri": file["uri"]}
+        more = not found["error"]
+        while more:
+            more = source.read(TEXT_CHUNK)
+            held += more or b""
+            # A line end of two bytes may be cut: that makes an empty line, which is none.
+            end = max(held.rfind(b"\n"), held.rfind(b"\r")) + 1 if more else len(held)
+            if end and (not more or end >= TEXT_CHUNK // 2):
+                yield here | {"text": held[:end].decode("utf-8")}
+                held, offset = held[end:], offset + end
+    except UnicodeDecodeError as error:
+        found["error"] = f"not UTF-8 at byte {offset + error.start}"
     except Exception as error:  # reported with the file; the caller decides what follows
         found["error"] = f"{type(error).__name__}: {error}"
-    return found
+    yield file | found | {"layout": FILES_LAYOUT}
 
 
-def probe(files: DataFrame, verify: bool) -> DataFrame:
-    """One row per file: header, window size, and what is wrong with it, if anything."""
+def unpack(files: DataFrame, required: Sequence[str] = ()) -> DataFrame:
+    """The files' text in chunks by layout, and a row per file, staged in the scratch folder."""
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{**row, **_look_at(row["uri"], verify)} for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, PROBE_ARROW)
+            for file in batch.to_pylist():
+                for row in _unpack(file, required):
+                    yield pa.RecordBatch.from_pylist([row], UNPACKED_ARROW)
 
-    return files.mapInArrow(look, PROBE_SCHEMA)
+    rows = files.mapInArrow(unpacked, f"layout string, {FILES_SCHEMA}, text string")
+    return staged(rows, "drops", partition_by=["layout"])
 
 
 @dataclass(frozen=True)
 class Drop:
-    """The files of one year and their rows as text."""
+    """The files of all years and their rows as text, with and without the file's URI."""
 
     files: DataFrame
-    rows: DataFrame | None
+    located: DataFrame | None
+
+    @property
+    def rows(self) -> DataFrame | None:
+        return None if self.located is None else self.located.drop(FILE_URI)
 
 
 def read_drops(
@@ -189,10 +242,10 @@ def read_drops(
 ) -> Drop:
     """All readable files of all years: text columns by name, then ``year`` and ``file``.
 
-    Rows with too few or too many cells are left out. With ``on_corrupt="skip"`` every
-    file is first decompressed in full, and a broken one contributes no row at all;
-    with ``"fail"`` only headers are read and a broken file fails the job. Files that
-    lack a ``required`` column are skipped. ``files`` lists each file with its error.
+    Lines end with CR, LF or both; empty lines are none. Rows with too few or too many cells
+    are left out. A broken file (not intact, not UTF-8, no usable header, or lacking a
+    ``required`` column) contributes no row, or fails the job with ``on_corrupt="fail"``.
+    ``files`` lists each file with its error.
     """
     if on_corrupt not in ("skip", "fail"):
         raise ValueError(f"on_corrupt must be 'skip' or 'fail', got {on_corrupt!r}")
@@ -202,61 +255,51 @@ def read_drops(
         if listed is not None:
             listings.append(listed.withColumn(YEAR, F.lit(year)))
     if not listings:
-        return Drop(spark.createDataFrame([], PROBE_SCHEMA), None)
-
-    files = probe(union_widened(listings), verify=on_corrupt == "skip")
-    lacking = F.array_except(F.array(*map(F.lit, required)), F.col("header")) if required else None
-    if lacking is not None:
-        files = files.withColumn(
-            "error",
-            F.coalesce(
-                "error",
-                F.when(F.size(lacking) > 0, F.concat(F.lit("lacks "), F.array_join(lacking, ", "))),
-            ),
-        )
-    clash = F.arrays_overlap(F.col("header"), F.array(*map(F.lit, LINEAGE)))
-    files = files.withColumn(
-        "error", F.coalesce("error", F.when(clash, F.lit("has its own year or file column")))
-    ).persist()
-    broken = files.filter(F.col("error").isNotNull()).select("path", "error").collect()
-    for path, error in broken:
-        log.error("%s: %s", path, error)
-    if broken and on_corrupt == "fail":
-        raise ValueError(f"{len(broken)} unreadable files, first: {broken[0]['path']}")
-
-    # File and directory names: what any scan must be given, not data.
-    layouts = (
-        files.filter(F.col("error").isNull())
-        .groupBy(
-            "header",
-            ((F.col("window_bytes") > SPARK_WINDOW) | (F.col("length") > LARGE_FILE)).alias("lines"),
+        return Drop(spark.createDataFrame([], FILES_SCHEMA), None)
+
+    unpacked = unpack(union_widened(listings), required)
+    names = [part.split()[0] for part in FILES_SCHEMA.replace(",", ", ").split(", ")]
+    files = unpacked.filter(F.col("layout") == FILES_LAYOUT).select(*names)
+    counts = {
+        row[YEAR]: row
+        for row in files.groupBy(YEAR)
+        .agg(
+            F.count("error").alias("broken"),
+            F.count_if(F.col("error").isNull()).alias("good"),
+            F.min(F.when(F.col("error").isNotNull(), F.concat_ws(": ", "path", "error"))).alias("first"),
         )
-        .agg(F.sort_array(F.collect_list(F.struct("path", "uri", YEAR, "length"))).alias("names"))
         .collect()
-    )
-    folders = {
-        (name["uri"].rpartition("/")[0], name[YEAR]) for layout in layouts for name in layout["names"]
     }
+    broken = sum(row["broken"] for row in counts.values())
+    if broken:
+        first = min(row["first"] for row in counts.values() if row["first"])
+        log.error("%d unreadable files, first: %s", broken, first)
+        if on_corrupt == "fail":
+            raise ValueError(f"{broken} unreadable files, first: {first}")
     for year, directory in years_dirs:
-        if year not in {found for _, found in folders}:
+        if year not in counts or not counts[year]["good"]:
             log.warning("no readable files for year %s in %s", year, directory)
-    scans = [
-        (_scan_lines if layout["lines"] else _scan)(spark, layout["names"], layout["header"])
-        for layout in sorted(layouts, key=lambda row: row["names"])
-    ]
-    if not scans:
+
+    good = files.filter(F.col("error").isNull())
+    headers = [row["header"] for row in good.groupBy("header").count().collect()]
+    if not headers:
         return Drop(files, None)
-    rows = union_widened(scans, fill_missing=True)
-    year_of = F.create_map(*[F.lit(text) for folder in sorted(folders) for text in folder])
-    data = [name for name in rows.columns if name != FILE_URI]
-    name = uri_name(F.col(FILE_URI))
-    folder = F.left(F.col(FILE_URI), F.length(FILE_URI) - F.length(name) - 1)
-    rows = rows.select(
-        *(f"`{column}`" for column in data),
-        F.element_at(year_of, folder).alias(YEAR),
-        uri_file_id(name).alias(FILE),
+    chunks = unpacked
+    if broken:
+        bad = files.filter(F.col("error").isNotNull()).select("uri")
+        chunks = chunks.join(bad, "uri", "left_anti")
+    parsed = [_parse(chunks, header) for header in sorted(headers)]
+    rows = union_widened(parsed, fill_missing=True)
+    data = [name for name in rows.columns if name not in (YEAR, FILE_URI)]
+    return Drop(
+        files,
+        rows.select(
+            *(f"`{name}`" for name in data),
+            YEAR,
+            uri_file_id(uri_name(F.col(FILE_URI))).alias(FILE),
+            FILE_URI,
+        ),
     )
-    return Drop(files, rows)
 
 
 CSV_OPTIONS = {
@@ -270,68 +313,20 @@ def _text_schema(header: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in [*header, ROW_BAD]])
 
 
-def _scan(spark: SparkSession, names: Sequence[Row], header: Sequence[str]) -> DataFrame:
-    """Spark's CSV reader over files with one header. Each file is one task."""
-    rows = (
-        spark.read.schema(_text_schema(header))
-        .options(**CSV_OPTIONS)
-        .option("header", True)
-        # A row's cell count is only known when all cells are parsed.
-        .option("columnPruning", False)
-        .csv([name["path"] for name in names])
-    )
-    first = F.length(F.col(f"`{header[0]}`"))
-    # The second test is never true. It keeps a data column in the scan, without which
-    # Spark refuses to read the bad-row column (as in a bare count).
-    whole = F.col(ROW_BAD).isNull() | (first < 0)
-    return rows.filter(whole).select(
-        *(F.col(f"`{name}`") for name in header),
-        # Unlike _metadata.file_path this adds no projection over all columns of its own.
-        F.input_file_name().alias(FILE_URI),
-    )
-
-
-def _scan_lines(spark: SparkSession, names: Sequence[Row], header: Sequence[str]) -> DataFrame:
-    """Lines unpacked by Python, cells parsed by Spark."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file in batch.to_pylist():
-                lines = io.BufferedReader(_Decompressed(file[FILE_URI]), LINE_BATCH)
-                lines.readline()
-                part = 0
-                while chunk := lines.readlines(LINE_BATCH):
-                    text = [line.decode("utf-8").rstrip("\r\n") for line in chunk]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            FILE_URI: [file[FILE_URI]] * len(text),
-                            "part": pa.array([part % file["parts"]] * len(text), pa.int32()),
-                            "line": text,
-                        }
-                    )
-                    part += 1
-
-    parts = [
-        (name["uri"], math.ceil(name["length"] / TASK_BYTES) if name["length"] > LARGE_FILE else 1)
-        for name in names
-    ]
-    listing = spark.createDataFrame(parts, f"{FILE_URI} string, parts int")
-    text = listing.repartitionByRange(len(parts), FILE_URI).mapInArrow(
-        unpack, f"{FILE_URI} string, part int, line string"
-    )
-    if any(count > 1 for _, count in parts):
-        text = text.repartition(sum(count for _, count in parts), FILE_URI, "part")
+def _parse(chunks: DataFrame, header: Sequence[str]) -> DataFrame:
+    """Lines and cells of the files with one header."""
+    line = F.explode(F.split("text", "\r\n|\r|\n")).alias("line")
+    lines = chunks.filter(F.col("layout") == layout_of(header)).select("uri", YEAR, line)
     parsed = F.from_csv("line", _text_schema(header).toDDL(), CSV_OPTIONS)
     # A generator parses each line once and drops bad rows in the same step.
     whole = F.filter(F.array(parsed), lambda row: row[ROW_BAD].isNull())
     return (
-        text.filter(F.length(F.trim("line")) > 0)
-        .select(FILE_URI, F.inline(whole))
-        .select(*(F.col(f"`{name}`") for name in header), FILE_URI)
+        lines.filter(F.length("line") > 0)
+        .select(F.col("uri").alias(FILE_URI), YEAR, F.inline(whole))
+        .select(*(F.col(f"`{name}`") for name in header), YEAR, FILE_URI)
     )
 
 
 def rows_per_file(rows: DataFrame) -> DataFrame:
     """Rows parsed from each file, before any filter."""
     return rows.groupBy(*LINEAGE).agg(F.count(F.lit(1)).alias("rows"))
-

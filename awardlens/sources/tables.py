@@ -1,8 +1,11 @@
 """Parquet datasets and plain CSV files."""
 
+import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import session_conf
@@ -18,22 +21,53 @@ TEXT_COLUMNS = [
 ]
 
 
+# Folder inside a dataset that holds its schema; readers of the data pass it over.
+STORED_SCHEMA = "_schema"
+
+
+def stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema that ``write_awards`` left with the dataset, if it did."""
+    try:
+        row = spark.read.text(f"{path.rstrip('/')}/{STORED_SCHEMA}", wholetext=True).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row and T.StructType.fromJson(json.loads(row[0]))
+
+
+def _store_schema(spark: SparkSession, path: str, written: T.StructType) -> None:
+    """Columns keep their places, new ones follow, a changed type counts from now on."""
+    fields = {field.name: field for field in stored_schema(spark, path) or ()}
+    fields |= {field.name: field for field in written.fields}
+    text = T.StructType(list(fields.values())).json()
+    folder = f"{path.rstrip('/')}/{STORED_SCHEMA}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
 def read_awards(
     spark: SparkSession,
     path: str,
     columns: Sequence[str] | None = None,
     schema: T.StructType | None = None,
+    drop_years: Sequence[str] | None = None,
 ) -> DataFrame:
     """A ``year=/file=`` dataset, lazily. Partition values stay text, so ``01`` is kept.
 
-    Drops may differ in columns, so the schema is merged from the footers of all files by
-    a distributed job; pass the schema to skip that.
+    Drops may differ in columns: the schema is the one stored with the dataset, or given.
+    Only for a dataset without one it is merged from the footers of all files.
+    ``drop_years`` leaves out the folders of other drops before anything is listed in a
+    task; a drop's year need not be the fiscal year of all its rows.
     """
+    if schema is None:
+        schema = stored_schema(spark, path)
     reader = spark.read.option("mergeSchema", schema is None)
     if schema is not None:
         reader = reader.schema(schema)
     with session_conf(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}):
         rows = reader.parquet(path)
+    if drop_years is not None:
+        rows = rows.filter(F.col("year").isin(*map(str, drop_years)))
     return rows if columns is None else rows.select(*(f"`{name}`" for name in columns))
 
 
@@ -94,3 +128,5 @@ def write_awards(df: DataFrame, path: str, overwrite: bool = True) -> None:
             .partitionBy(*LINEAGE)
             .parquet(path)
         )
+    data = [field for field in df.schema.fields if field.name not in LINEAGE]
+    _store_schema(df.sparkSession, path, T.StructType(data + [df.schema[name] for name in LINEAGE]))

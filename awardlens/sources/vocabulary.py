@@ -27,10 +27,10 @@ def _spellings(words) -> list[str]:
     return sorted(set().union(*map(case_variations, words)))
 
 
-def bool_vocabulary(data_dict: str | Path | None = None) -> Vocabulary:
+def bool_vocabulary(data_dict: str | Path | dict | None = None) -> Vocabulary:
     """Base words plus the labels of every dictionary field whose keys are T/F or Y/N.
 
-    A dictionary that cannot be read is logged, and the base words are used alone.
+    A dictionary (a file, or its content) that cannot be read is logged, and the base words are used alone.
     """
     yes, no = list(TRUE_WORDS), list(FALSE_WORDS)
     for labels in _fields(data_dict).values():
@@ -41,11 +41,14 @@ def bool_vocabulary(data_dict: str | Path | None = None) -> Vocabulary:
     return Vocabulary(_spellings(yes), _spellings(no))
 
 
-def _fields(data_dict: str | Path | None) -> dict:
-    if data_dict is None:
-        return {}
+def _fields(data_dict: str | Path | dict | None) -> dict:
+    if data_dict is None or isinstance(data_dict, dict):
+        return data_dict or {}
     try:
-        return json.loads(Path(data_dict).read_text(encoding="utf-8"))
-    except (json.JSONDecodeError, FileNotFoundError, PermissionError):
+        found = json.loads(Path(data_dict).read_text(encoding="utf-8"))
+        if not isinstance(found, dict):
+            raise ValueError("not a JSON object")
+        return found
+    except (OSError, ValueError):  # also text that is not UTF-8 or not JSON
         log.exception("cannot read data dictionary %s; using the base words only", data_dict)
         return {}

@@ -1,9 +1,12 @@
 import io
+from pathlib import Path
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from awardlens import session
+from awardlens.plans import ingest as plans_ingest
 from awardlens.plans.ingest import ingest, read_outlay_drops
 from awardlens.plans.outlays import outlay_report
 from awardlens.sources import drops
@@ -140,7 +143,7 @@ def test_bad_values(spark, raw, tmp_path):
     put(raw / "2023_awards" / "bad_4.csv.zst", HEADER + "\nz,1,7,maybe,,\n")
     put(raw / "2023_awards" / "bad_5.csv.zst", HEADER + "\nz,1x,7,t,2023-1-1,\n")
     with pytest.raises(Exception, match="column (code|small|amount|day): not a"):
-        ingest(spark, ["2023"], str(tmp_path / "a"), SCHEMA, root=str(raw))
+        ingest(spark, ["2023"], str(tmp_path / "a"), SCHEMA, root=str(raw), on_bad_value="fail")
 
     ingest(spark, ["2023"], str(tmp_path / "b"), SCHEMA, root=str(raw), on_bad_value="null")
     rows = {r["file"]: r for r in read_awards(spark, str(tmp_path / "b")).filter("key = 'z'").collect()}
@@ -168,24 +171,80 @@ def test_lineage_columns_are_required(spark, tmp_path):
         write_awards(spark.range(1).withColumn("year", F.lit("1")), str(tmp_path / "o"))
 
 
-def test_large_files_are_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
+def test_a_file_is_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
     root = tmp_path / "raw"
     text = HEADER + "\n" + "".join(f'"k ""{i}""",{i},1,t,,\n\n' for i in range(5000)) + "short,row\n"
     put(root / "2020_awards" / "big_1.csv.zst", text)
     put(root / "2020_awards" / "tiny_2.csv.zst", HEADER + "\nz,1,1,t,,\n")
     plain = sorted(map(str, scan(spark, root, ["2020"]).rows.collect()))
-    size = (root / "2020_awards" / "big_1.csv.zst").stat().st_size
-    monkeypatch.setattr(drops, "LARGE_FILE", size - 1)
-    monkeypatch.setattr(drops, "TASK_BYTES", size // 6)
-    monkeypatch.setattr(drops, "LINE_BATCH", 4096)
+    monkeypatch.setattr(drops, "TEXT_CHUNK", 4096)
     rows = scan(spark, root, ["2020"]).rows
     assert sorted(map(str, rows.collect())) == plain and len(plain) == 5001
-    per_task = rows.filter("file = '1'").groupBy(F.spark_partition_id()).count().collect()
-    assert len(per_task) > 2
     ingest(spark, ["2020"], str(tmp_path / "o"), SCHEMA, root=str(root))
     assert read_awards(spark, str(tmp_path / "o")).agg(F.sum("amount")).first()[0] == sum(range(5000)) + 1
 
 
+def test_equal_bytes_give_equal_rows_in_one_chunk_and_in_many(spark, tmp_path, monkeypatch):
+    lines = ["a,1", "x\ry,2", "\t", "", " ", "caf\u00e9,3", '"q, ""z""",4', "b,5\r", "c,6\r\n", "last,7"]
+    put(tmp_path / "d" / "x_1.csv.zst", "\ufeffkey,amount\r\n" + "\n".join(lines))
+    put(tmp_path / "d" / "one_3.csv.zst", "key\ra\r \r\r\nb\n\n")
+    put_wide_window(tmp_path / "d" / "w_2.csv.zst", "key,amount\n" + "\n".join(lines) + "\n")
+    latin = zstandard.ZstdCompressor().compress(b"key,amount\n" + b"x,1\n" * 5000 + b"caf\xe9,1\n")
+    (tmp_path / "d" / "latin_4.csv.zst").write_bytes(latin)
+
+    def read():
+        drop = read_drops(spark, [("2001", str(tmp_path / "d"))])
+        errors = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in drop.files.collect() if r["error"]}
+        return sorted((r["file"], r["key"], r["amount"]) for r in drop.rows.fillna("").collect()), errors
+
+    once, errors = read()
+    assert errors == {"latin_4.csv.zst": "not UTF-8 at byte 20014"}
+    two = [("a", "1"), ("b", "5"), ("c", "6"), ("caf\u00e9", "3"), ("last", "7"), ('q, "z"', "4"), ("y", "2")]
+    assert [row[1:] for row in once if row[0] == "1"] == two == [row[1:] for row in once if row[0] == "2"]
+    assert [row[1] for row in once if row[0] == "3"] == [" ", "a", "b"]
+    for size in (2, 7, 64, 1000):
+        monkeypatch.setattr(drops, "TEXT_CHUNK", size)
+        monkeypatch.setattr(drops, "PACKED_CHUNK", size)
+        assert read() == (once, errors)
+
+
+def test_a_bad_file_does_not_take_its_namesake_along(spark, tmp_path):
+    root = tmp_path / "raw"
+    put(root / "2020_awards" / "x_2.csv.zst", HEADER + "\nclean,1,1,t,,\n")
+    put(root / "2020_awards" / "y_2.csv.zst", HEADER + "\nbad,1,70000,t,,\n")
+    report = ingest(spark, ["2020"], str(tmp_path / "o"), SCHEMA, root=str(root))
+    assert [r["key"] for r in read_awards(spark, str(tmp_path / "o")).collect()] == ["clean"]
+    assert [r["path"].rsplit("/", 1)[-1] for r in report.filter("error is not null").collect()] == ["y_2.csv.zst"]
+
+
+def test_ingest_leaves_nothing_but_its_report(spark, raw, tmp_path, monkeypatch):
+    made = []
+    scratch = session.scratch_dir
+    for module in (session, plans_ingest):
+        monkeypatch.setattr(
+            module, "scratch_dir", lambda *a, **k: made.append(scratch(*a, **k)) or made[-1]
+        )
+    ingest(spark, ["2023", "2024"], str(tmp_path / "o"), SCHEMA, root=str(raw)).collect()
+    left = [Path(path).name.split("-")[0] for path in made if Path(path).exists()]
+    assert left == ["files"] and len(made) > 2
+
+
+def test_cells_of_each_kind(spark):
+    def read(kind, *cells):
+        schema = schema_from_text('{"fields": [{"name": "c", "type": "%s"}]}' % kind)
+        text = spark.createDataFrame([(cell,) for cell in cells], "c string")
+        return [row[0] for row in type_cells(text, schema, bool_vocabulary(), "null").collect()]
+
+    assert read("int32", " 12 ", "-3", "0x10", "+7", "12d", "1.0", "1e2") == [12, -3, 16] + [None] * 4
+    assert read("uint8", "0xff", "-0x1", "256") == [255, None, None]
+    assert read("double", "1e5", "Infinity", "-inf", ".5", "5.", " 2 ")[:5] == [1e5, float("inf"), float("-inf"), 0.5, 5.0]
+    assert read("double", "12d", "0x1p3", "+1", "1f", "1,0", "") == [None] * 6
+    assert [str(t) for t in read("timestamp[us]", "2020-01-02", "2020-01-02 03:04", "2020-01-02T03:04:05.5")] == [
+        "2020-01-02 00:00:00", "2020-01-02 03:04:00", "2020-01-02 03:04:05.500000",
+    ]
+    assert read("timestamp[us]", "2020", "2020-01", "2020-01-02 03:04:05Z", "2020-01-02 03:04:05+01:00") == [None] * 4
+
+
 def test_undeclared_columns_are_inferred(spark):
     rows = spark.createDataFrame(
         [("1", "t", "2024-01-02", "2024-01-02 03:04:05", "1e3", "x", None, "1"), ("2", "no", None, None, "2", "1", None, "a")],

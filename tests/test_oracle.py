@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from awardlens import registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
