@@ -1,5 +1,7 @@
 """Helpers shared by the corpus operators."""
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -15,11 +17,26 @@ WHITE = r"[\x20\x09-\x0D]"
 RUN_CHARS = 4_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, should they lack it."""
+    if getattr(spark.sparkContext, "_awardlens_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="awardlens-code-")
+    copy = shutil.copytree(
+        package, f"{folder}/src/{package.name}", ignore=shutil.ignore_patterns("__pycache__")
+    )
+    archive = shutil.make_archive(f"{folder}/awardlens", "zip", Path(copy).parent)
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._awardlens_sent = True
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only ``doc_id`` and ``text``, null text as the empty text.
 
     Whatever other columns the input has, and whatever their names, they end here.
     """
+    ship(docs.sparkSession)
     return docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
@@ -53,6 +70,8 @@ def keep_rows(docs: DataFrame, accept: Callable, text_col: str = "text") -> Data
     One pass without shuffle or join: the decision needs nothing but the text (null: empty).
     """
 
+    ship(docs.sparkSession)
+
     def kept(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, keep_rows, texts_of
+from .common import bounded_sample, keep_rows, ship, texts_of
 
 UNKNOWN = "und"
 LEVEL = 5
@@ -82,6 +82,7 @@ def fit(
     """
     rows = docs.select("doc_id", F.col(lang_col).cast("string").alias("lang"), "text")
     rows = rows.where(F.col("text").isNotNull())
+    ship(docs.sparkSession)
     sample = bounded_sample(rows, "lang", per_language)
 
     def pieces(batches):
