@@ -5,12 +5,13 @@ import heapq
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUN_CHARS, WordCache, runs, shared_file, texts_of
+from .common import runs, shared_file, texts_of
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -18,21 +19,6 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.split(b"\n")[:-1])}
 
 
-class _PairRanks(dict):
-    """(left id, right id) -> rank of what they make together, -1 if that is no token."""
-
-    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]):
-        super().__init__()
-        self.ranks, self.tokens = ranks, tokens
-
-    def __missing__(self, pair):
-        rank = self.ranks.get(self.tokens[pair[0]] + self.tokens[pair[1]], -1)
-        if len(self) > 500_000:
-            self.clear()
-        self[pair] = rank
-        return rank
-
-
 class MergeReplay:
     """Encodes many words at once by applying the merges in rank order.
 
@@ -42,62 +28,87 @@ class MergeReplay:
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.pairs = _PairRanks(ranks, self.tokens)
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.whole = ranks
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        symbols: list[int] = []
-        starts = []
-        for word in words:
-            starts.append(len(symbols))
-            known = self.whole.get(word)  # a word that is a token needs no merges
-            symbols.extend([known] if known is not None else map(self.single.__getitem__, word))
-            symbols.append(-1)  # words end here: no pair reaches across
+        self.whole = {token: np.array([rank], "<i4").tobytes() for token, rank in ranks.items()}
+        # joins[a][b]: rank of what the tokens a and b make together. The last dictionary
+        # is that of the mark between words, which joins with nothing.
+        self.end = max(ranks.values()) + 1
+        self.joins: list[dict[int, int]] = [{} for _ in range(self.end + 1)]
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                one, other = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if one is not None and other is not None:
+                    self.joins[one][other] = rank
+        # The same for single bytes, as arrays. No UTF-8 text has the byte 255: it is the mark.
+        self.single = np.array([ranks.get(bytes([b]), self.end) for b in range(256)], np.int32)
+        self.single[255] = self.end
+        self.of_bytes = np.full((256, 256), -1, np.int32)
+        for a in range(255):
+            for b in range(255):
+                self.of_bytes[a, b] = ranks.get(bytes([a, b]), -1)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian 32-bit integers; words are UTF-8 and not empty."""
+        found = list(map(self.whole.get, words))  # a word that is a token needs no merges
+        rest = [word for word, ids in zip(words, found, strict=True) if ids is None]
+        if rest:
+            replayed = iter(self._replay(rest))
+            found = [next(replayed) if ids is None else ids for ids in found]
+        return found
+
+    def _replay(self, words: list[bytes]) -> list[bytes]:
+        end, joins = self.end, self.joins
+        data = np.frombuffer(b"\xff".join(words) + b"\xff\xff", np.uint8)[:-1]
+        symbols = self.single[data].tolist()
         size = len(symbols)
         left, right = list(range(-1, size - 1)), list(range(1, size + 1))
-        standing = [-1] * size  # rank of the pair that starts at a place
-        places: dict[int, list[int]] = {}
-        pairs = self.pairs
-        for at in range(size - 1):
-            a, b = symbols[at], symbols[at + 1]
-            if a >= 0 and b >= 0 and (rank := pairs[a, b]) >= 0:
-                standing[at] = rank
-                places.setdefault(rank, []).append(at)
+        pairs = self.of_bytes[data[:-1], data[1:]]
+        standing = [*pairs.tolist(), -1]  # rank of the pair that starts at a place
+        at = np.flatnonzero(pairs >= 0)
+        at = at[np.argsort(pairs[at], kind="stable")]
+        first = np.flatnonzero(np.diff(pairs[at], prepend=-1))
+        stands, bounds = at.tolist(), [*first.tolist(), len(at)]
+        places: dict[int, list[int]] = {
+            rank: stands[a:b]
+            for rank, a, b in zip(pairs[at[first]].tolist(), bounds, bounds[1:], strict=False)
+        }
         queue = list(places)
         heapq.heapify(queue)
         while queue:
             rank = heapq.heappop(queue)
+            here = places.pop(rank)
+            if len(here) > 1:
+                here.sort()
             later: list[int] = []
             stopped = -1  # places before this one belong to a word with an earlier merge to do
-            for at in sorted(places.pop(rank, ())):
+            beyond = joins[rank]
+            for at in here:
                 if standing[at] != rank:
                     continue
                 if at < stopped:
                     later.append(at)
                     continue
-                follow = right[at]
+                follow, before = right[at], left[at]
                 after = right[follow]
-                symbols[at], symbols[follow] = rank, -2
-                right[at], left[after] = after, at
-                standing[follow] = -1
-                earlier = False
-                for here, there in ((left[at], at), (at, after)):
-                    new = -1
-                    if here >= 0 and symbols[here] >= 0 and symbols[there] >= 0:
-                        new = pairs[symbols[here], symbols[there]]
-                    if here >= 0:
-                        standing[here] = new
-                    if new >= 0:
-                        if new not in places:
-                            places[new] = []
-                            heapq.heappush(queue, new)
-                        places[new].append(here)
-                        earlier |= new < rank
-                if earlier:
+                symbols[at], right[at], left[after], standing[follow] = rank, after, at, -1
+                symbols[follow] = -1
+                one = joins[symbols[before]].get(rank, -1)
+                other = beyond.get(symbols[after], -1)
+                standing[before], standing[at] = one, other
+                if one >= 0:
+                    if one in places:
+                        places[one].append(before)
+                    else:
+                        places[one] = [before]
+                        heapq.heappush(queue, one)
+                if other >= 0:
+                    if other in places:
+                        places[other].append(at)
+                    else:
+                        places[other] = [at]
+                        heapq.heappush(queue, other)
+                if 0 <= one < rank or 0 <= other < rank:
                     stopped = at
-                    while symbols[stopped] != -1:
+                    while symbols[stopped] != end:
                         stopped = right[stopped]
             if later:
                 if rank in places:
@@ -105,13 +116,14 @@ class MergeReplay:
                 else:
                     places[rank] = later
                     heapq.heappush(queue, rank)
+        ids = np.array(symbols, "<i4")
+        ids = ids[ids >= 0]
+        ends = np.flatnonzero(ids == end)
+        blob, begin = ids.tobytes(), 0
         out = []
-        for start in starts:
-            ids, at = [], start
-            while symbols[at] != -1:
-                ids.append(symbols[at])
-                at = right[at]
-            out.append(ids)
+        for stop in (4 * ends).tolist():
+            out.append(blob[begin:stop])
+            begin = stop + 4
         return out
 
 
@@ -121,47 +133,68 @@ def _slices(words: Iterable[str], size: int = 300_000) -> Iterator[list[str]]:
         yield part
 
 
+class Memory:
+    """Key -> value for at most two generations of about ``limit`` keys."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def absent(self, keys: set) -> list:
+        """The keys that are not remembered; those that are can be looked up in ``young``."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        out = []
+        for key in keys.difference(self.young):
+            value = self.old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self.young[key] = value
+        return out
+
+
 class CorpusEncoder:
-    """Texts to ids: finds the words, replays the merges over those not met yet."""
+    """Texts to ids: finds the words, replays the merges over those not met yet.
+
+    No word of the pattern has a space that is not its first character, unless spaces
+    follow each other. So texts without double spaces are cut at their spaces, and the
+    pieces, most of them well known, are looked up whole; other texts go word by word.
+    """
 
     def __init__(self, data: bytes, pattern: str):
         self.replay = MergeReplay(read_ranks(data))
         self.find = regex.compile(pattern)
-        self.known = WordCache(lambda word: self._ids([word])[0], 150_000)
+        self.words, self.pieces = Memory(250_000), Memory(250_000)
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        encoded = self.replay.encode([word.encode() for word in words])
-        return [memoryview(pa.array(ids, pa.int32()).buffers()[1])[: 4 * len(ids)].tobytes() for ids in encoded]
-
-    def _words(self, text: str) -> Iterator[list[str]]:
-        if len(text) < RUN_CHARS:
-            yield self.find.findall(text)
-        else:
-            yield from _slices(match.group() for match in self.find.finditer(text))
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids by word, for all of these words at least."""
+        for part in _slices(self.words.absent(words), 50_000):
+            encoded = self.replay.encode([word.encode() for word in part])
+            self.words.young.update(zip(part, encoded, strict=True))
+        return self.words.young
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers; new words of all the texts are replayed at once."""
-        out: list[bytes] = []
-        short = [text for text in texts if len(text) < RUN_CHARS]
-        found = [self.find.findall(text) for text in short]
-        self._learn({word for words in found for word in words})
-        parts = iter(found)
-        for text in texts:
-            if len(text) < RUN_CHARS:
-                out.append(b"".join(map(self.known.__getitem__, next(parts))))
-            else:
-                ids = []
-                for words in _slices(match.group() for match in self.find.finditer(text)):
-                    self._learn(set(words))
-                    ids.append(b"".join(map(self.known.__getitem__, words)))
-                out.append(b"".join(ids))
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        new = [word for word in words if word not in self.known and word not in self.known.old]
-        for part in _slices(new, 50_000):
-            for word, ids in zip(part, self._ids(part), strict=True):
-                self.known.put(word, ids)
+        """Ids of each text as 32-bit integers; the new words of all are replayed at once."""
+        cut = [text.split(" ") if "  " not in text else None for text in texts]
+        met = set().union(*filter(None, cut))
+        new = {piece: self.find.findall(" " + piece) for piece in self.pieces.absent(met)}
+        firsts = [self.find.findall(parts[0]) if parts else () for parts in cut]
+        known, pieces = self._learn(set().union(*new.values(), *firsts)), self.pieces.young
+        for piece, words in new.items():
+            pieces[piece] = known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words))
+        return [
+            self._by_word(text)
+            if parts is None
+            else b"".join(map(known.__getitem__, first)) + b"".join(map(pieces.__getitem__, islice(parts, 1, None)))
+            for text, parts, first in zip(texts, cut, firsts, strict=True)
+        ]
+
+    def _by_word(self, text: str) -> bytes:
+        if len(text) < 1_000_000:
+            found = [self.find.findall(text)]
+        else:
+            found = _slices(match.group() for match in self.find.finditer(text))
+        return b"".join([b"".join(map(self._learn(set(words)).__getitem__, words)) for words in found])
 
 
 _ENCODERS: dict[tuple, CorpusEncoder] = {}
