@@ -1,0 +1,133 @@
+"""Every operator on nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import public_tokenizers
+import pytest
+
+from awardlens.llm import (
+    byte_bpe,
+    exact_dedup,
+    language,
+    licenses,
+    ngram_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+    toxicity,
+)
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, keep_id string, digest string, number string"
+LONG = "the quick brown fox jumps over the lazy dog again and again, " * 20_000
+ROWS = [
+    (1, None, None, None, None, None, None, None, None),
+    (2, "", "en", "a", 0, 0.5, "x", "y", "z"),
+    (3, LONG, "en", "a", None, 0.5, "x", "y", "z"),
+    (4, "a few words of plain text, no more than that", "en", "b", 1, None, None, "y", "z"),
+    (4, "a few words of plain text, no more than that", "en", "b", 1, None, None, "y", "z"),
+    (None, "a few words of plain text, no more than that", None, "b", 1, 0.1, "k", "d", "n"),
+    (5, "1234 5678 !!! ***", "de", "b", 1, 0.1, "k", "d", "n"),
+    (6, "   \t\n ", "de", "b", 1, 0.1, "k", "d", "n"),
+]
+IDS = sorted((row[0] is None, row[0] or 0) for row in ROWS)
+
+
+def model_languages():
+    return {"de": b"der die und das nicht ist", "en": b"the and of that is with words of plain text"}
+
+
+OPERATORS = {
+    "packing": lambda docs: packing.pack(docs, WORDS),
+    "exact": lambda docs: exact_dedup.new_index(docs.sparkSession).deduplicate(docs),
+    "ngram": ngram_join.near_copies,
+    "classifier": quality_classifier.classify,
+    "toxicity": lambda docs: toxicity.score(docs, None),
+    "bpe": lambda docs: byte_bpe.decode(byte_bpe.encode(docs, BYTES, public_tokenizers.PATTERN), BYTES),
+    "rules": quality_rules.judge,
+    "licenses": licenses.scan_licenses,
+    "language": lambda docs: language.identify(docs, model_languages()),
+    "tokens": lambda docs: token_counts.count_tokens(docs, BYTES, public_tokenizers.PATTERN),
+}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_no_rows(spark, name):
+    assert OPERATORS[name](spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_every_row_is_answered(odd, name):
+    found = OPERATORS[name](odd).collect()
+    once = {
+        "packing": lambda row: row.start == 0,
+        "tokens": lambda row: row.section == 0,
+    }.get(name, lambda row: True)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found if once(r)) == IDS
+
+
+def test_exact_dedup_ties(odd):
+    rows = OPERATORS["exact"](odd).collect()
+    few = [row for row in rows if row.group_size == 3]
+    assert [row.keep_id for row in few] == [4, 4, 4] and sum(row.kept for row in few) == 1
+    assert {row.doc_id: row.keep_id for row in rows if row.doc_id in (1, 2)} == {1: 1, 2: 1}
+
+
+def test_drop_copies_keeps_columns_and_one_row_each(odd):
+    kept = exact_dedup.drop_copies(odd, exact_dedup.new_index(odd.sparkSession))
+    assert kept.columns == odd.columns
+    assert sorted(row.doc_id for row in kept.collect()) == [1, 3, 4, 5, 6]
+
+
+def test_same_id_other_text(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, "c")], "doc_id long, text string")
+    kept = exact_dedup.drop_copies(docs, exact_dedup.new_index(spark))
+    assert sorted(tuple(row) for row in kept.collect()) == [(1, "a"), (1, "b"), (3, "c")]
+
+
+def test_near_copies_of_odd_rows(odd):
+    rows = {row.doc_id: row for row in ngram_join.near_copies(odd).collect()}
+    assert (rows[4].class_id, rows[4].class_size, rows[4].n_links, rows[4].n_copies) == (4, 3, 2, 2)
+    assert rows[None].class_id == 4
+    assert rows[1].class_id == rows[2].class_id == rows[6].class_id == 1
+    assert rows[3].n_links == rows[5].n_links == 0
+
+
+def test_languages_of_odd_rows(odd):
+    rows = {row.doc_id: row for row in OPERATORS["language"](odd).collect()}
+    assert {rows[i].lang_pred for i in (1, 2, 5, 6)} == {"und"}
+    assert rows[3].lang_pred == rows[4].lang_pred == "en" and 0 < rows[4].score <= 1
+    assert language.identify(odd, {}).where("lang_pred <> 'und'").count() == 0
+    assert language.keep_identified(odd, model_languages()).columns == odd.columns
+
+
+def test_fitting_on_nothing(spark, odd):
+    assert language.fit(spark.createDataFrame([], SCHEMA)) == {}
+    labels = spark.createDataFrame([(1, None), (None, 1), (4, 0), (9, 1)], "doc_id long, toxic int")
+    assert toxicity.fit(odd, labels) is None
+    assert toxicity.drop_toxic(odd, None).count() == len(ROWS)
+
+
+def test_rules_of_odd_rows(odd):
+    rows = {row.doc_id: row for row in quality_rules.judge(odd).collect()}
+    assert not any(row.kept for row in rows.values()) and all(row.base_failed for row in rows.values())
+    assert rows[1].n_words == rows[6].n_words == 0 and rows[5].n_symbols == 3
+    assert rows[3].n_repeat_words == rows[3].n_words == 240_000
+
+
+def test_packing_of_odd_rows(odd):
+    rows = packing.pack(odd, WORDS).collect()
+    assert sum(row.length for row in rows if row.doc_id == 1) == 1
+    assert sum(row.length for row in rows) == sum(row.doc_tokens for row in rows if row.start == 0)
+
+
+def test_tokens_of_odd_rows(odd):
+    rows = OPERATORS["tokens"](odd).collect()
+    assert [(row.n_tokens, row.end) for row in rows if row.doc_id == 1] == [(0, 0)]
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(odd, BYTES, public_tokenizers.PATTERN, rule="half")
