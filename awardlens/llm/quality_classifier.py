@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import WordCache, bounded_sample, runs, texts_of
+from .common import WordCache, bounded_sample, resident, runs, texts_of
 from .quality_rules import STATISTICS, fit_votes, posterior_column, rule_votes, text_statistics
 
 #: Features are hashed into so many columns.
@@ -29,17 +29,17 @@ def word_features(word: bytes) -> bytes:
 
 
 _REPEATED_LINE = np.array([zlib.crc32(b"repeated line") % COLUMNS], "<u2").tobytes()
-_REPEATED_PAIR = np.array([zlib.crc32(b"repeated pair") % COLUMNS], "<u2").tobytes()
-_FEATURES = WordCache(word_features, 150_000)
+_REPEATED_WORD = np.array([zlib.crc32(b"repeated word") % COLUMNS], "<u2").tobytes()
 
 
 def text_features(text: str) -> tuple[bytes, bytes]:
     """Distinct columns (16 bits) and their counts (32 bits) over the whole text."""
     words = text.encode("utf-8", "surrogatepass").split()
     lines = [line for line in text.split("\n") if line and not line.isspace()]
-    pairs = len(words) - 1 - len(set(zip(words, words[1:], strict=False))) if words else 0
-    data = b"".join(map(_FEATURES.__getitem__, words))
-    data += _REPEATED_LINE * (len(lines) - len(set(lines))) + _REPEATED_PAIR * max(0, pairs)
+    known = resident("quality_classifier", "words", lambda: WordCache(word_features, 150_000))
+    data = b"".join(map(known.__getitem__, words))
+    data += _REPEATED_LINE * (len(lines) - len(set(lines)))
+    data += _REPEATED_WORD * (len(words) - len(set(words)))
     counts = np.bincount(np.frombuffer(data, "<u2"), minlength=COLUMNS)
     columns = np.flatnonzero(counts)
     return columns.astype("<u2").tobytes(), counts[columns].astype("<u4").tobytes()
