@@ -19,6 +19,11 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.split(b"\n")[:-1])}
 
 
+def read_tokens(data: bytes) -> dict[int, bytes]:
+    """Rank -> token bytes."""
+    return {rank: token for token, rank in read_ranks(data).items()}
+
+
 class MergeReplay:
     """Encodes many words at once by applying the merges in rank order.
 
@@ -197,10 +202,6 @@ class CorpusEncoder:
         return b"".join([b"".join(map(self._learn(set(words)).__getitem__, words)) for words in found])
 
 
-_ENCODERS: dict[tuple, CorpusEncoder] = {}
-_TOKENS: dict[int, dict[int, bytes]] = {}
-
-
 def _ids_column(ids: list[bytes]) -> pa.Array:
     values = pa.Array.from_buffers(
         pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))]
@@ -225,12 +226,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     data = shared_file(docs.sparkSession, vocabulary)
 
     def encoded(batches):
-        key = (hash(data.value), pattern)
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = CorpusEncoder(data.value, pattern)
+        encoder = CorpusEncoder(data.value, pattern)
         for batch in runs(batches):
-            ids = _ENCODERS[key].encode(batch.column(1).to_pylist())
+            ids = encoder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), _ids_column(ids)], ["doc_id", "ids"])
 
     return texts_of(docs).mapInArrow(encoded, "doc_id long, ids array<int>")
@@ -246,11 +244,7 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in others)
 
     def decoded(batches):
-        key = hash(data.value)
-        if key not in _TOKENS:
-            _TOKENS.clear()
-            _TOKENS[key] = {rank: token for token, rank in read_ranks(data.value).items()}
-        token = _TOKENS[key].__getitem__
+        token = read_tokens(data.value).__getitem__
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
             texts = [None if not row.is_valid else b"".join(map(token, row.values.to_numpy(zero_copy_only=False).tolist())) for row in ids]

@@ -1,5 +1,6 @@
 """Helpers shared by the corpus operators."""
 
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -81,13 +82,30 @@ def keep_rows(docs: DataFrame, accept: Callable, text_col: str = "text") -> Data
     return docs.mapInArrow(kept, docs.schema)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(family: str, key, make: Callable):
+    """What a worker process keeps from task to task for the operator it works for.
+
+    A worker outlives its tasks and may come to serve other operators: state of another
+    ``family`` is let go, so that vocabularies and memories of words never add up.
+    """
+    if len(_RESIDENT) > 3 or any(kept_family != family for kept_family, _ in _RESIDENT):
+        _RESIDENT.clear()
+        gc.collect()
+    if (family, key) not in _RESIDENT:
+        _RESIDENT[family, key] = make()
+    return _RESIDENT[family, key]
+
+
 class WordCache(dict):
     """Word -> value of ``compute``, two generations of at most ``limit`` words each.
 
     When the young generation is full it becomes the old one; words met again come back.
     """
 
-    def __init__(self, compute: Callable, limit: int = 300_000):
+    def __init__(self, compute: Callable, limit: int = 200_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, keep_rows, ship, texts_of
+from .common import bounded_sample, keep_rows, resident, ship, texts_of
 
 UNKNOWN = "und"
 LEVEL = 5
@@ -108,16 +108,10 @@ def fit(
     }
 
 
-_CLASSIFIERS: dict[int, CompressionClassifier] = {}
-
-
 def classifier(dictionaries: dict[str, bytes]) -> CompressionClassifier:
     """The prepared dictionaries, kept by the worker process."""
-    key = zlib.crc32(repr(sorted((k, zlib.crc32(v)) for k, v in dictionaries.items())).encode())
-    if key not in _CLASSIFIERS:
-        _CLASSIFIERS.clear()
-        _CLASSIFIERS[key] = CompressionClassifier(dictionaries)
-    return _CLASSIFIERS[key]
+    key = repr(sorted((name, zlib.crc32(content)) for name, content in dictionaries.items()))
+    return resident("language", key, lambda: CompressionClassifier(dictionaries))
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:

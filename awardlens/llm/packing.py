@@ -61,6 +61,11 @@ class WordTokenizer:
             return self._all(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
+    def forget(self) -> None:
+        for words in (self.chunks, self.known):
+            words.clear()
+            words.old.clear()
+
     def _all(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -134,7 +139,6 @@ SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long,"
     " token_ids binary"
 )
-_TOKENIZERS: dict[int, WordTokenizer] = {}
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1) -> DataFrame:
@@ -154,11 +158,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1)
     data = shared_file(docs.sparkSession, vocabulary)
 
     def packed(batches):
-        key = hash(data.value)
-        if key not in _TOKENIZERS:
-            _TOKENIZERS.clear()
-            _TOKENIZERS[key] = WordTokenizer(data.value)
-        tokenizer, packer = _TOKENIZERS[key], SumOfSquares(window)
+        tokenizer, packer = WordTokenizer(data.value), SumOfSquares(window)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -192,5 +192,6 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1)
         for pieces in packer.close():
             emit(pieces)
         yield flush()
+        tokenizer.forget()
 
     return texts_of(docs).mapInArrow(packed, SCHEMA)

@@ -2,13 +2,14 @@
 
 import base64
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, shared_file, texts_of
+from .common import resident, runs, shared_file, texts_of
 
 RULES = ("first", "last", "most")
 #: A section is a line with its line end, the default for ``sections``.
@@ -82,7 +83,6 @@ def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: st
     return most, crossing
 
 
-_ENCODERS: dict[tuple, SpanEncoder] = {}
 SCHEMA = (
     "doc_id long, section long, start long, end long, n_tokens long, n_crossing long,"
     " doc_tokens long"
@@ -113,11 +113,9 @@ def count_tokens(
     data = shared_file(docs.sparkSession, vocabulary)
 
     def counted(batches):
-        key = (hash(data.value), pattern)
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = SpanEncoder(data.value, pattern)
-        encoder, find = _ENCODERS[key], re.compile(sections)
+        make = partial(SpanEncoder, data.value, pattern)
+        encoder = resident("token_counts", (hash(data.value), pattern), make)
+        find = re.compile(sections)
         for batch in runs(batches):
             columns: list[list] = [[] for _ in range(7)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
