@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import WordCache, runs, texts_of
+from .common import WordCache, resident, runs, texts_of
 from .components import components
 
 #: Trees of the forest, and hashes along the longest prefix of each.
@@ -46,12 +46,10 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-_HASHES = WordCache(xxhash.xxh64_intdigest)
-
-
 def shingles(words: list[str], n: int) -> np.ndarray:
     """64-bit hashes of the runs of ``n`` words; of all words, if there are fewer."""
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = resident("ngram_join", "words", lambda: WordCache(xxhash.xxh64_intdigest, 150_000))
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
     out = np.zeros(len(words) - width + 1 if width else 0, np.uint64)
     for k in range(width):
@@ -179,14 +177,34 @@ def _grouped(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
     """``work(key values, frame)`` for every group, its tuples as rows of ``schema``.
 
     Groups are bounded by their blocks. They are dealt by a hash of the key and walked in
-    sorted order, many small ones in one call.
+    sorted order, many small ones in one call. The number of tasks is that of the session:
+    comparing takes far longer than the size of the rows lets expect.
     """
     names = [part.split()[0] for part in schema.split(",")]
-
-    def per_group(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(work(key, frame)), columns=names)
-
-    return rows.groupBy(*keys).applyInPandas(per_group, schema)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # rows of the last group, which may go on in the next frame
+        for frame in frames:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            found, held = [], frame
+            if len(frame):
+                columns = [frame[key].to_numpy() for key in keys]
+                new = np.zeros(len(frame), bool)
+                for column in columns:
+                    new[1:] |= column[1:] != column[:-1]
+                bounds = [0, *np.flatnonzero(new).tolist()]
+                for start, stop in zip(bounds, bounds[1:], strict=False):
+                    key = tuple(column[start] for column in columns)
+                    found.extend(work(key, frame.iloc[start:stop]))
+                held = frame.iloc[bounds[-1] :]
+            yield pd.DataFrame(found, columns=names)
+        if held is not None and len(held):
+            key = tuple(held[name].iloc[0] for name in keys)
+            yield pd.DataFrame(list(work(key, held)), columns=names)
+
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(walk, schema)
 
 
 class Forest:
