@@ -2,6 +2,7 @@
 
 import base64
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -158,12 +159,16 @@ class Memory:
         return out
 
 
+#: A space beside other white space, with which it may be one word (``\s+(?!\S)``).
+_SPACE_IN_WORD = re.compile(r" (?:\s|(?<=\s ))")
+
+
 class CorpusEncoder:
     """Texts to ids: finds the words, replays the merges over those not met yet.
 
-    No word of the pattern has a space that is not its first character, unless spaces
-    follow each other. So texts without double spaces are cut at their spaces, and the
-    pieces, most of them well known, are looked up whole; other texts go word by word.
+    Only words of white space have a space that is not their first character. So texts
+    whose spaces have no white space of any kind beside them are cut at their spaces, and
+    the pieces, most of them well known, are looked up whole; other texts go word by word.
     """
 
     def __init__(self, data: bytes, pattern: str):
@@ -180,7 +185,7 @@ class CorpusEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers; the new words of all are replayed at once."""
-        cut = [text.split(" ") if "  " not in text else None for text in texts]
+        cut = [None if _SPACE_IN_WORD.search(text) else text.split(" ") for text in texts]
         met = set().union(*filter(None, cut))
         new = {piece: self.find.findall(" " + piece) for piece in self.pieces.absent(met)}
         firsts = [self.find.findall(parts[0]) if parts else () for parts in cut]

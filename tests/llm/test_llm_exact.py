@@ -319,6 +319,15 @@ def test_bpe_of_odd_texts(spark):
     assert {r.doc_id: bytes(r.decoded) for r in back} == {k: t.encode() for k, t in enumerate(ODD)}
 
 
+def test_bpe_of_mixed_white_space_equals_tiktoken(spark):
+    encoding, rng = tiktoken_encoding(), random.Random(8)
+    mixed = ["a \xa0 \xa0 b", " \xa0 \xa0 ", "a\xa0 b", "a \u2003 b", "a \n \n b", "\t a \r\n "]
+    mixed += ["".join(rng.choices("ab1.  \xa0\xa0\n\t\u3000\x1c", k=12)) for _ in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
+    rows = byte_bpe.encode(docs, BYTES, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: r.ids for r in rows} == {k: encoding.encode_ordinary(t) for k, t in enumerate(mixed)}
+
+
 def test_replay_of_random_bytes_equals_tiktoken():
     rng, encoding = random.Random(6), tiktoken_encoding()
     replay = byte_bpe.MergeReplay(byte_bpe.read_ranks(open(BYTES, "rb").read()))
