@@ -1,10 +1,13 @@
-"""License scans: passages of a text compared to licence templates by their word bigrams."""
+"""License scans: windows of a text's words compared to licence templates by their word bigrams."""
 
+import bisect
+import heapq
 import math
 import re
 from collections import Counter
+from itertools import repeat
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -70,6 +73,13 @@ TEMPLATES = {
 _WORDS = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
 #: A sentence ends at a full stop or the like that a space or the line's end follows.
 _SENTENCES = re.compile(r".+?(?:[.!?]+(?=\s|$)|$)")
+_STOP = re.compile(r"[.!?]+(?=\s|$)")
+_WHITE = re.compile(r"\s")
+#: Words that tell licences apart: a notice has none that its template lacks.
+NAMES = frozenset(
+    "apache mit isc bsd endorse gpl lgpl agpl lesser library affero mozilla mpl"
+    " sharealike sa noncommercial nc noderivatives nd cc0".split()
+)
 
 
 def bigrams(text: str) -> Counter:
@@ -84,90 +94,154 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * sum((a & b).values()) / total if total else 0.0
 
 
+class _Template:
+    """What the scan needs of one template, its words as numbers of ``vocabulary``."""
+
+    def __init__(self, license: str, text: str, vocabulary: dict[str, int], threshold: float):
+        words = _WORDS.findall(text.lower())
+        ids = [vocabulary[word] for word in words]
+        self.license, self.size = license, len(ids) + 1
+        self.first, self.last = ids[0], ids[-1]
+        self.pairs = Counter(zip(ids, ids[1:], strict=False))
+        # Of s shared bigrams and a in the window, 2 s >= t (a + b) and s <= a give
+        # s >= t b / (2 - t) and a <= b (2 - t) / t. All but two of them lie inside.
+        t = threshold
+        self.inside = math.ceil(t * self.size / (2 - t) - 1e-9) - 2
+        self.most = math.floor(self.size * (2 - t) / t + 1e-9) - 1
+        self.versions = {word.removesuffix(".0") for word in words if word[0].isdigit()}
+        self.others = {vocabulary[name] for name in NAMES.difference(words)}
+
+
 class LicenseScanner:
-    """Templates by size. A template can only reach ``threshold`` if the sizes are close.
+    """Finds the windows of words that are near a template.
 
-    With a and b bigrams the coefficient is at most ``2 min(a, b) / (a + b)``, so b must lie
-    between ``t / (2 - t)`` and ``(2 - t) / t`` times a. Of the templates within these
-    bounds only those that share a bigram with the passage are compared.
+    Bigrams of the text that some template has are looked up for all words at once. Only
+    around places with as many of a template's bigrams, as close together, as a window near
+    it must have, windows are compared; the bounds change no result.
     """
 
     def __init__(self, templates: dict[str, list[str]], threshold: float):
         if not 0 < threshold <= 1:
             raise ValueError("threshold must lie above 0 and not above 1")
         self.threshold = threshold
-        self.templates = [(name, bigrams(text)) for name, texts in templates.items() for text in texts]
-        self.sizes = [sum(grams.values()) for _, grams in self.templates]
-        bound = (2 - threshold) / threshold
-        self.least = min((size / bound for size in self.sizes), default=1)
-        self.most = max((size * bound for size in self.sizes), default=0)
-        self.with_word: dict[str, set[int]] = {}
-        for at, (_, grams) in enumerate(self.templates):
-            for pair in grams:
-                for word in filter(None, pair):
-                    self.with_word.setdefault(word, set()).add(at)
-        # Words that every comparison above the threshold must have one of: the rarest ones
-        # of each template, as many as it may lack and one more.
-        self.signal = {word for words in map(self._needed, range(len(self.templates))) for word in words}
-        self.find = ahocorasick.Automaton()
-        for word in sorted(self.signal):
-            self.find.add_word(word, len(word))
-        self.find.make_automaton()
-
-    def _needed(self, at: int) -> list[str]:
-        words = Counter(pair[0] for pair in self.templates[at][1].elements() if pair[0])
-        size, t = self.sizes[at], self.threshold
-        # The s shared bigrams reach t (a + b) / 2, and a >= s, so s >= t b / (2 - t). Each
-        # word that is lacking costs one bigram at least.
-        may_lack = size - math.ceil(t * size / (2 - t) - 1e-9)
-        taken, lacking = [], 0
-        for word in sorted(words, key=lambda w: (len(self.with_word[w]), -len(w), w)):
-            taken.append(word)
-            lacking += words[word]
-            if lacking > may_lack:
+        texts = [(name, text) for name, texts in templates.items() for text in texts if bigrams(text)]
+        words = {word for _, text in texts for word in _WORDS.findall(text.lower())}
+        words |= NAMES | {word.removesuffix(".0") for word in words if word[0].isdigit()}
+        self.vocabulary = {word: k for k, word in enumerate(sorted(words), 1)}  # 0: any other word
+        self.version = {k: w.removesuffix(".0") for w, k in self.vocabulary.items() if w[0].isdigit()}
+        self.templates = [_Template(name, text, self.vocabulary, threshold) for name, text in texts]
+        pairs = sorted({pair for template in self.templates for pair in template.pairs})
+        self.number = np.zeros((len(words) + 1, len(words) + 1), np.int32)
+        for k, pair in enumerate(pairs, 1):
+            self.number[pair] = k
+        self.has = np.zeros((len(pairs) + 1, len(self.templates)), np.float32)
+        for at, template in enumerate(self.templates):
+            self.has[[self.number[pair] for pair in template.pairs], at] = 1
+        self.inside = np.array([template.inside for template in self.templates])
+
+    def _numbers(self, lower: str) -> np.ndarray:
+        """The numbers of all words; long texts are cut where white space is."""
+        parts, at = [], 0
+        while at < len(lower):
+            cut = _WHITE.search(lower, at + 1_000_000)
+            end = cut.start() if cut else len(lower)
+            found = _WORDS.findall(lower, at, end)
+            parts.append(np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int32, len(found)))
+            at = end
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+    def _best(self, words: np.ndarray, start: int, at: int, limit: int) -> tuple | None:
+        """The best window from ``start`` that ends before ``limit``, as an entry of the queue."""
+        template = self.templates[at]
+        left, versions = dict(template.pairs), set(template.versions)
+        shared, best, before = 0, None, None
+        part = words[start : min(limit, start + template.most)].tolist()
+        for n, word in enumerate(part, 1):
+            if word in template.others:
                 break
-        return taken
+            versions.discard(self.version.get(word))
+            if before is None:
+                shared = int(word == template.first)
+            elif left.get((before, word), 0) > 0:
+                left[before, word] -= 1
+                shared += 1
+            ends = word == template.last
+            if not versions and (ends or (before, word) in left):
+                value = 2 * (shared + ends) / (n + 1 + template.size)
+                if value >= self.threshold:
+                    entry = (-shared - ends, -value, -n, start, at)
+                    best = entry if best is None else min(best, entry)
+            before = word
+        return best
 
-    def passage(self, text: str) -> tuple[str, float] | None:
-        """The best template for a passage: licence and coefficient, if it reaches the threshold."""
-        grams = bigrams(text)
-        size = sum(grams.values())
-        if not self.least <= size <= self.most:
-            return None
-        near = {at for pair in grams for word in pair if word for at in self.with_word.get(word, ())}
-        best = None
-        for at in sorted(near):
-            low, high = sorted((size, self.sizes[at]))
-            if 2 * low < self.threshold * (low + high):
+    def windows(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """First word, end, template and coefficient of the notices, in order.
+
+        Of all windows that reach the threshold the one that shares most bigrams is taken
+        (then the nearest, the longer, the earlier, the template named first), and so on
+        among those that overlap none taken before.
+        """
+        if not len(words):
+            return []
+        numbers = self.number[words[:-1], words[1:]]
+        places = np.flatnonzero(numbers)
+        numbers = numbers[places]
+        counts = np.bincount(numbers, minlength=len(self.has)).astype(np.float32) @ self.has
+        queue = []
+        for at in np.flatnonzero(counts >= self.inside).tolist():
+            template = self.templates[at]
+            own = places[self.has[numbers, at] > 0]
+            starts = np.union1d(own, np.flatnonzero(words == template.first))
+            near = np.searchsorted(own, starts + template.most - 2, "right") - np.searchsorted(own, starts)
+            for start in starts[near >= template.inside].tolist():
+                if best := self._best(words, start, at, len(words)):
+                    queue.append(best)
+        heapq.heapify(queue)
+        begins, taken = [], []
+        while queue:
+            _, value, n, start, at = heapq.heappop(queue)
+            k = bisect.bisect_right(begins, start)
+            if k and taken[k - 1][1] > start:
                 continue
-            value = dice(grams, self.templates[at][1])
-            if value >= self.threshold and (best is None or value > best[1]):
-                best = (self.templates[at][0], value)
-        return best
+            limit = begins[k] if k < len(begins) else len(words)
+            if start - n > limit:
+                if best := self._best(words, start, at, limit):
+                    heapq.heappush(queue, best)
+                continue
+            begins.insert(k, start)
+            taken.insert(k, (start, start - n, at, -value))
+        return taken
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        """Start, end, licence and coefficient of the passages, in order.
+        """Start, end, licence and coefficient of the notices, in order.
 
-        A line is tried as a whole; if no template is near it, its sentences are.
+        Marks beside the words belong to a notice up to the end of its line or sentence.
         """
-        found, lower = [], text.lower()
+        lower = text.lower()
         if len(lower) != len(text):  # a few letters change their length; offsets must not
             lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        done = -1
-        for last, length in self.find.iter(lower) if self.signal else ():
-            first = last + 1 - length
-            inside = first > 0 and lower[first - 1].isalnum() or lower[last + 1 : last + 2].isalnum()
-            if first < done or inside:
-                continue
-            start = lower.rfind("\n", 0, first) + 1
-            end = lower.find("\n", last)
-            done = end = len(lower) if end < 0 else end
-            if best := self.passage(text[start:end]):
-                found.append((start, end, *best))
-                continue
-            for part in _SENTENCES.finditer(text, start, end):
-                if best := self.passage(part.group()):
-                    found.append((part.start(), part.end(), *best))
+        taken = self.windows(self._numbers(lower))
+        if not taken:
+            return []
+        wanted = {k for first, end, *_ in taken for k in (first - 1, first, end - 1, end)}
+        spans = {k: match.span() for k, match in enumerate(_WORDS.finditer(lower)) if k in wanted}
+        found = []
+        for first, end, at, value in taken:
+            start, stop = spans[first][0], spans[end - 1][1]
+            before = spans[first - 1][1] if first else 0
+            after = spans[end][0] if end in spans else len(text)
+            marks = [before if first == 0 else -1, text.rfind("\n", before, start) + 1 or -1]
+            marks += [m.end() for m in _STOP.finditer(text, before, start)]
+            if max(marks) >= 0:
+                start = max(marks)
+            line = text.find("\n", stop, after)
+            line = line if line >= 0 else after if after == len(text) else -1
+            point = _STOP.search(text, stop, after)
+            if point and (line < 0 or point.start() < line):
+                stop = point.end()
+            elif line >= 0:
+                stop = line
+            found.append((start, stop, self.templates[at].license, value))
         return found
 
 
@@ -190,10 +264,10 @@ def scan_licenses(
     """``doc_id`` and ``licenses``, the licence notices in every whole text.
 
     Each notice has ``start`` and ``end`` (characters), ``license`` and ``score``, the Dice
-    coefficient of its word bigrams with the nearest template (ties: the template named
-    first). Passages are lines, and sentences of lines that match nothing as a whole. Lines
-    without any of the words that a match can't do without are passed over, which changes
-    no result; nor do the size bounds, which rule out what could not reach ``threshold``.
+    coefficient of its word bigrams with the nearest template. A notice is any window of
+    words of the whole text, line ends being white space, that begins and ends with a
+    bigram of the template, has the template's version numbers and none of the ``NAMES``
+    it lacks. Notices don't overlap: those that share most bigrams come first.
 
     Texts without notices, null and empty ones have an empty list. Rows are independent:
     nothing is shuffled, repeated rows give a row each, a null ``doc_id`` stays null, an

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -370,6 +371,60 @@ def test_licences_equal_comparing_with_every_template(spark, texts):
     assert [n[2] for n in found[10**6]] == ["MIT", "Apache-2.0"]
 
 
+def brute_windows(words, threshold=0.8):
+    every = []
+    for k, (name, text) in enumerate((n, t) for n, ts in licenses.TEMPLATES.items() for t in ts):
+        grams, own = licenses.bigrams(text), licenses._WORDS.findall(text.lower())
+        versions = {w.removesuffix(".0") for w in own if w[0].isdigit()}
+        for i in range(len(words)):
+            for j in range(i + 1, min(len(words), i + 2 * len(own) + 2) + 1):
+                part = words[i:j]
+                pairs = list(zip(["", *part], [*part, ""], strict=True))
+                value = licenses.dice(Counter(pairs), grams)
+                if (
+                    value >= threshold
+                    and (pairs[0] in grams or pairs[1] in grams)
+                    and (pairs[-1] in grams or pairs[-2] in grams)
+                    and versions <= {w.removesuffix(".0") for w in part}
+                    and not licenses.NAMES.difference(own) & set(part)
+                ):
+                    every.append((-sum((Counter(pairs) & grams).values()), -value, i - j, i, k, name))
+    taken = []
+    for _, value, n, i, _, name in sorted(every):
+        if all(i - n <= a or i >= b for a, b, *_ in taken):
+            taken.append((i, i - n, name, -value))
+    return sorted(taken)
+
+
+def test_windows_of_words_equal_comparing_every_window():
+    rng = random.Random(9)
+    scanner = licenses.LicenseScanner(licenses.TEMPLATES, 0.8)
+    every = [licenses._WORDS.findall(t.lower()) for ts in licenses.TEMPLATES.values() for t in ts]
+    every = [words for words in every if len(words) < 30]
+    some = 0
+    for _ in range(40):
+        words = []
+        for part in rng.sample(every, 3):
+            part = [w for w in part if rng.random() > 0.04]
+            words += [*part, *rng.choices(["the", "license", "version", "x", "2.0", "3"], k=rng.randint(0, 4))]
+        found = scanner.windows(scanner._numbers(" ".join(words)))
+        found = [(a, b, scanner.templates[t].license, v) for a, b, t, v in found]
+        assert found == brute_windows(words)
+        some += len(found)
+    assert some > 60
+
+
+def test_wrapped_and_embedded_notices():
+    scanner = licenses.LicenseScanner(licenses.TEMPLATES, 0.8)
+    for name in ("GPL-3.0", "Apache-2.0", "MPL-2.0", "MIT"):
+        for notice in licenses.TEMPLATES[name]:
+            text = "int x;\n\n# " + "\n# ".join(textwrap.wrap(notice, 60)) + "\n\nint y;"
+            (hit,) = scanner.scan(text)
+            assert hit[2:] == (name, 1.0) and text[: hit[1]].split()[-1] == notice.split()[-1]
+            line = f"here are {'many plain words ' * 20}: {notice[:-1]}, and {'yet more of them ' * 20}"
+            assert [hit[2:] for hit in scanner.scan(line)] == [(name, 1.0)]
+
+
 # ---- 10 token counts ---------------------------------------------------------------------
 
 
