@@ -13,7 +13,50 @@ from pyspark.sql import DataFrame
 
 from .common import runs, texts_of
 
-# Short public licence notices, by SPDX identifier.
+_PERMISSION = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    " and associated documentation files (the Software), to deal in the Software without restriction"
+)
+_BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    " provided that the following conditions are met: Redistributions of source code must retain the"
+    " above copyright notice, this list of conditions and the following disclaimer. Redistributions"
+    " in binary form must reproduce the above copyright notice, this list of conditions and the"
+    " following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to"
+    " endorse or promote products derived from this software without specific prior written permission."
+)
+
+
+def _gnu(kind: str, version: str, thing: str = "This program") -> list[str]:
+    """The notices of a GNU licence, as its appendix has them and without a later version."""
+    told = f"{thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}"
+    told += f" General Public License as published by the Free Software Foundation, either version {version} of the License"
+    only = told.replace("either version", "version")
+    return [
+        f"This work is licensed under the GNU {kind} General Public License, version {version}.",
+        f"Licensed under the GNU {kind} General Public License v{version}.",
+        f"{told}, or (at your option) any later version.",
+        f"{only}.",
+        f"GNU {kind} GENERAL PUBLIC LICENSE Version {version},"
+        + {"2": " June 1991", "2.1": " February 1999"}.get(
+            version, " 19 November 2007" if kind == "Affero" else " 29 June 2007"
+        ),
+    ]
+
+
+def _creative(kind: str, letters: str) -> list[str]:
+    return [
+        f"Licensed under CC {letters} 4.0.",
+        f"This work is licensed under a Creative Commons {kind} 4.0 International License.",
+        f"This work is licensed under the Creative Commons {kind} 4.0 International License. To view a"
+        f" copy of this license, visit http://creativecommons.org/licenses/{letters.lower().replace(' ', '-')}/4.0/",
+    ]
+
+
+# Public licence notices and grants, by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -22,52 +65,51 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the"
         " License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,"
         " either express or implied.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
     ],
     "MIT": [
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this"
-        " software and associated documentation files (the Software), to deal in the Software"
-        " without restriction.",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms"
-        " of the GNU General Public License as published by the Free Software Foundation, either"
-        " version 3 of the License, or (at your option) any later version.",
-    ],
-    "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2.",
-    ],
-    "LGPL-3.0": [
-        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "Licensed under the MIT License.",
+        "The MIT License (MIT)",
+        f"{_PERMISSION}.",
+        f"{_PERMISSION}, including without limitation the rights to use, copy, modify, merge, publish,"
+        " distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom"
+        " the Software is furnished to do so, subject to the following conditions: The above copyright"
+        " notice and this permission notice shall be included in all copies or substantial portions of"
+        " the Software.",
     ],
-    "AGPL-3.0": [
-        "This work is licensed under the GNU Affero General Public License, version 3.",
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
+        " without fee is hereby granted, provided that the above copyright notice and this permission"
+        " notice appear in all copies.",
     ],
+    "GPL-3.0": _gnu("", "3"),
+    "GPL-2.0": _gnu("", "2"),
+    "LGPL-3.0": _gnu("Lesser", "3"),
+    "LGPL-2.1": _gnu("Lesser", "2.1", "This library"),
+    "AGPL-3.0": _gnu("Affero", "3"),
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy"
+        " of the MPL was not distributed with this file, You can obtain one at"
+        " https://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
     ],
-    "BSD-3-Clause": [
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are"
-        " permitted provided that the following conditions are met.",
-    ],
-    "CC-BY-4.0": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ],
-    "CC-BY-SA-4.0": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International"
-        " License.",
-    ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0"
-        " International License.",
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD_CLAUSES],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", _BSD_CLAUSES + _BSD_NAMES],
+    "CC-BY-4.0": _creative("Attribution", "BY"),
+    "CC-BY-SA-4.0": _creative("Attribution-ShareAlike", "BY-SA"),
+    "CC-BY-NC-4.0": _creative("Attribution-NonCommercial", "BY-NC"),
+    "CC0-1.0": [
+        "This work is dedicated to the public domain under CC0 1.0.",
+        "Creative Commons CC0 1.0 Universal",
     ],
-    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0."],
 }
+for _name, _texts in TEMPLATES.items():
+    _texts.append(f"SPDX-License-Identifier: {_name}")
+    if "GPL" in _name:
+        _texts += [f"SPDX-License-Identifier: {_name}-{_more}" for _more in ("only", "or-later")]
 
 #: Words are letters and digits; a version such as 2.0 is one word.
 _WORDS = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")

@@ -402,7 +402,7 @@ def test_windows_of_words_equal_comparing_every_window():
     every = [licenses._WORDS.findall(t.lower()) for ts in licenses.TEMPLATES.values() for t in ts]
     every = [words for words in every if len(words) < 30]
     some = 0
-    for _ in range(40):
+    for _ in range(8):
         words = []
         for part in rng.sample(every, 3):
             part = [w for w in part if rng.random() > 0.04]
@@ -411,7 +411,7 @@ def test_windows_of_words_equal_comparing_every_window():
         found = [(a, b, scanner.templates[t].license, v) for a, b, t, v in found]
         assert found == brute_windows(words)
         some += len(found)
-    assert some > 60
+    assert some > 12
 
 
 def test_wrapped_and_embedded_notices():
@@ -421,10 +421,75 @@ def test_wrapped_and_embedded_notices():
             text = "int x;\n\n# " + "\n# ".join(textwrap.wrap(notice, 60)) + "\n\nint y;"
             (hit,) = scanner.scan(text)
             assert hit[2:] == (name, 1.0) and text[: hit[1]].split()[-1] == notice.split()[-1]
-            line = f"here are {'many plain words ' * 20}: {notice[:-1]}, and {'yet more of them ' * 20}"
+            line = f"here are {'many plain words ' * 20}: {notice.rstrip('.')}, and {'yet more of them ' * 20}"
             assert [hit[2:] for hit in scanner.scan(line)] == [(name, 1.0)]
 
 
+MIT_GRANT = """MIT License
+
+Copyright (c) 2021 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+GPL_2 = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = """3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+@pytest.mark.parametrize(
+    "name, text",
+    [
+        ("MIT", MIT_GRANT),
+        ("MIT", " ".join(MIT_GRANT.split())),
+        ("GPL-2.0", GPL_2),
+        ("GPL-2.0", " ".join(GPL_2.replace("*", "").split())),
+        ("GPL-3.0", GPL_2.replace("version 2", "version 3")),
+        ("LGPL-2.1", GPL_2.replace("program", "library").replace("GNU", "GNU Lesser").replace("version 2", "version 2.1")),
+        ("AGPL-3.0", GPL_2.replace("GNU", "GNU Affero").replace("version 2", "version 3")),
+        ("BSD-2-Clause", BSD_2),
+        ("BSD-3-Clause", BSD_2 + BSD_3),
+        ("ISC", ISC),
+        ("BSD-2-Clause", "# SPDX-License-Identifier: BSD-2-Clause"),
+        ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-only"),
+        ("LGPL-2.1", "// SPDX-License-Identifier: LGPL-2.1-or-later"),
+        ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ],
+)
+def test_usual_notices_name_their_licence_and_version(name, text):
+    scanner = licenses.LicenseScanner(licenses.TEMPLATES, 0.8)
+    assert {hit[2] for hit in scanner.scan(f"/*\n{text}\n*/\nint x;")} == {name}
+
+
+def test_a_version_without_template_is_not_named():
+    scanner = licenses.LicenseScanner(licenses.TEMPLATES, 0.8)
+    assert scanner.scan(GPL_2.replace("version 2", "version 1")) == []
+    assert scanner.scan("Licensed under the Apache License, Version 1.1.") == []
+
+
 # ---- 10 token counts ---------------------------------------------------------------------
 
 
