@@ -9,9 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..session import staged
-from .common import WordCache, resident, runs, texts_of
+from .common import WordCache, resident, runs, ship, texts_of
 from .components import components
 
 #: Trees of the forest, and hashes along the longest prefix of each.
@@ -315,6 +316,20 @@ def near_copies(
     no ``class_id`` as long as its class has another. Repeated rows are copies. An empty
     table gives no rows, other columns are ignored.
     """
+    signed, found = _classes_of(docs, n, threshold, target_recall)
+    names = ["digest", "class_id", "class_size", "n_links", "n_copies"]
+    named = found.select(*names).hint("merge")
+    return signed.select("doc_id", "digest").join(named, "digest").drop("digest")
+
+
+def _classes_of(
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.999
+) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and a row per digest: the columns of ``near_copies``, ``first_id``, ``keeps``.
+
+    ``keeps`` is true for one digest of each class, the one with the smallest ``first_id``
+    (null behind all others; of equals, the smallest digest).
+    """
     signed = staged(_signed(docs, n), "signatures")
     classes = staged(
         signed.groupBy("digest")
@@ -352,7 +367,9 @@ def near_copies(
     )
     placed = staged(placed, "placed")
     named = placed.groupBy("root").agg(
-        F.min("first_id").alias("class_id"), F.sum("size").alias("class_size")
+        F.min("first_id").alias("class_id"),
+        F.sum("size").alias("class_size"),
+        F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest"))["digest"].alias("keeper"),
     )
     found = staged(
         placed.join(named.hint("merge"), "root").select(
@@ -361,10 +378,12 @@ def near_copies(
             "class_size",
             (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
             (F.col("size") - 1).alias("n_copies"),
+            "first_id",
+            (F.col("digest") == F.col("keeper")).alias("keeps"),
         ),
         "found",
     )
-    return signed.select("doc_id", "digest").join(found.hint("merge"), "digest").drop("digest")
+    return signed, found
 
 
 def _texts_of_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -394,10 +413,35 @@ def _texts_of_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, less all but one document of each class.
+    """The rows of ``docs``, all columns, less all but one row of each class.
 
-    The one with the smallest ``doc_id`` stays; rows that share an id stay or go together.
+    A row with the smallest ``doc_id`` of the class stays (null ranks behind all others).
+    Rows are told apart by the digest of their words, and the ``doc_id`` only picks among
+    rows with the same words, so repeated and null ids take no other rows with them.
     """
-    found = near_copies(docs, **options).where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    leave = found.where("class_size > 1").select(F.col("doc_id").alias("leaving id")).distinct()
-    return docs.join(leave, docs["doc_id"].eqNullSafe(leave["leaving id"]), "left_anti")
+    _, found = _classes_of(docs, **options)
+    name = "word digest"
+    while name in docs.columns:
+        name += "'"
+    rows = _with_digest(docs, name)
+    copied = found.where("keeps AND n_copies > 0").select(F.col("digest").alias(name), F.col("first_id").alias(f"{name} id"))
+    some_copied = not copied.isEmpty()
+    apart = found.where("NOT keeps OR n_copies > 0" if some_copied else "NOT keeps")
+    kept = rows.join(apart.select(F.col("digest").alias(name)), name, "left_anti")
+    if some_copied:
+        same = (rows[name] == copied[name]) & rows["doc_id"].eqNullSafe(copied[f"{name} id"])
+        kept = kept.unionByName(rows.join(copied, same, "left_semi").dropDuplicates([name]))
+    return kept.select(*docs.columns)
+
+
+def _with_digest(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the digest of each row's words as the column ``name``."""
+    ship(docs.sparkSession)
+
+    def digested(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            digests = pa.array([_digest(words_of(text or "")) for text in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], [*batch.schema.names, name])
+
+    return docs.mapInArrow(digested, StructType([*docs.schema.fields, StructField(name, BinaryType())]))

@@ -98,6 +98,25 @@ def test_near_copies_of_odd_rows(odd):
     assert rows[3].n_links == rows[5].n_links == 0
 
 
+def test_near_copies_with_repeated_and_null_ids_leave_one_row_each(spark):
+    base = [f"w{k}" for k in range(60)]
+    near, other = " ".join(base), " ".join([*base, "end"])
+    rows = [(5, near), (7, other), (7, "a clean text"), (7, "one more clean text"), (9, near.upper())]
+    rows += [(None, f"null {k}") for k in range(5)] + [(None, near + " tail"), (7, "a clean text")]
+    alike = " ".join(f"v{k}" for k in range(60))
+    rows += [(3, alike), (3, alike + " end"), (3, alike + " tail")]
+    nulls = " ".join(f"u{k}" for k in range(60))
+    rows += [(None, nulls), (None, nulls + " end"), (None, nulls), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(row) for row in ngram_join.keep_one_each(docs).collect()]
+    plain = [row for row in kept if len(row[1] or "") < 50]
+    expected = {(7, "a clean text"), (7, "one more clean text"), (8, ""), *((None, f"null {k}") for k in range(5))}
+    assert set(plain) == expected and len(plain) == len(expected)
+    assert [row for row in kept if "w1 " in (row[1] or "").lower()] == [(5, near)]
+    assert [row[0] for row in kept if "v1 " in (row[1] or "")] == [3]
+    assert [row[0] for row in kept if "u1 " in (row[1] or "")] == [None]
+
+
 def test_languages_of_odd_rows(odd):
     rows = {row.doc_id: row for row in OPERATORS["language"](odd).collect()}
     assert {rows[i].lang_pred for i in (1, 2, 5, 6)} == {"und"}
