@@ -6,8 +6,7 @@ their occurrences are the dictionary; an n-gram inside a chunk counts as often a
 occurs, and belongs to the chunk in which its last word is no overlap, so it counts once.
 """
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,10 @@ OVERLAP = LONGEST - 1
 CHUNK_WORDS = 48
 #: Bits of the filters that tell which words and pairs can be part of a phrase.
 FILTER_BITS = 1 << 25
-#: Different n-grams that a task holds before it hands their counts on.
-HELD = 300_000
+#: Different spans and phrases that a task holds before it hands their counts on.
+HELD_SPANS, HELD_PHRASES = 4_000_000, 500_000
+#: Text whose words are numbered together.
+PASSAGE_BYTES = 8_000_000
 
 #: A piece's end as a word of its own; no other word holds this character.
 STOP = b"."
@@ -109,84 +110,80 @@ def parse(docs: DataFrame, text_col: str, lang_col: str, chunk_words: int) -> Da
 
 
 class Passage:
-    """The chunks of one language in a batch as one row of words."""
+    """Chunks of one language as a row of words, each word a number of its own.
 
-    def __init__(self, lang: str, chunks: list[bytes], times: np.ndarray, hashes: WordCache):
-        parts = [chunk.split() for chunk in chunks]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.lang, self.words = lang, [word for part in parts for word in part]
+    All but the hashing of different words is done on whole arrays.
+    """
+
+    def __init__(self, lang: str, chunks: pa.Array, times: np.ndarray):
+        parts = pa.compute.split_pattern(chunks, pattern=" ")
+        sizes = parts.value_lengths().to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        self.lang, self.vocabulary = lang, coded.dictionary.to_pylist()
+        self.codes = coded.indices.to_numpy().astype(np.int64)
         self.times = np.repeat(times, sizes)
-        place = np.arange(len(self.words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.arange(len(self.codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.inner = place > 0  # has a word of its chunk before it
         self.owned = place >= OVERLAP
-        self.hashes = np.fromiter(
-            map(hashes.__getitem__, self.words), np.uint64, len(self.words)
-        )
-        self.is_word = self.hashes != np.uint64(hash_of(lang.encode() + b"\0" + STOP))
+        self.is_word = np.array([word != STOP for word in self.vocabulary])[self.codes]
+
+    def hashes(self) -> np.ndarray:
+        """A hash of language and word for each number."""
+        salt = self.lang.encode() + b"\0"
+        return np.array([hash_of(salt + word) for word in self.vocabulary], np.uint64)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[Passage]:
-    known: dict[str, WordCache] = {}
+    def passages(held: list[pa.RecordBatch]) -> Iterator[Passage]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        lang = table["lang"].combine_chunks().dictionary_encode()
+        numbers, chunks = lang.indices.to_numpy(), table["text"].combine_chunks()
+        times = table["times"].to_numpy()
+        for number, name in enumerate(lang.dictionary.to_pylist()):
+            own = np.flatnonzero(numbers == number)
+            yield Passage(name, chunks.take(pa.array(own)), times[own])
+
+    held, size = [], 0
     for batch in runs(b.rename_columns(["lang", "text", "times"]) for b in batches):
-        rows: dict[str, list[int]] = {}
-        for row, lang in enumerate(batch.column(0).to_pylist()):
-            rows.setdefault(lang, []).append(row)
-        chunks, times = batch.column(1).to_pylist(), batch.column(2).to_numpy()
-        for lang, own in rows.items():
-            if lang not in known:
-                if len(known) >= 16:
-                    known.clear()
-                salt = lang.encode() + b"\0"
-                known[lang] = WordCache(lambda word, salt=salt: hash_of(salt + word), 100_000)
-            yield Passage(lang, [chunks[k] for k in own], times[own], known[lang])
-
-
-def _counts(dictionary: DataFrame, add: Callable, out: str) -> DataFrame:
-    """Counts that ``add(counter, passage)`` makes of each passage, by task and language."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: dict[str, Counter] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, k, v) for lang, c in counters.items() for k, v in c.items()]
-            counters.clear()
-            langs, keys, counts = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())],
-                ["lang", out, "count"],
-            )
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PASSAGE_BYTES:
+            yield from passages(held)
+            held, size = [], 0
+    if held:
+        yield from passages(held)
 
-        for passage in _passages(batches):
-            add(counters.setdefault(passage.lang, Counter()), passage)
-            if sum(map(len, counters.values())) > HELD:
-                yield flush()
-        yield flush()
 
-    rows = dictionary.mapInArrow(counted, f"lang string, {out} binary, count long")
-    return rows.groupBy("lang", out).agg(F.sum("count").alias("count"))
-
-
-def _weighted(counter: Counter, keys: list[bytes], times: np.ndarray) -> None:
-    """Add each key as often as its chunk occurs."""
-    if (times == 1).all():
-        counter.update(keys)
-        return
-    for key, n in zip(keys, times.tolist(), strict=True):
-        counter[key] += n
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sum of the counts of each."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[order], first)
 
 
 def word_counts(dictionary: DataFrame) -> DataFrame:
     """``lang``, ``word``, ``count`` of all words."""
 
-    def add(counter: Counter, passage: Passage) -> None:
-        at = np.flatnonzero(passage.owned & passage.is_word)
-        once = passage.times[at] == 1
-        words = passage.words
-        counter.update([words[k] for k in at[once].tolist()])
-        rest = at[~once]
-        _weighted(counter, [words[k] for k in rest.tolist()], passage.times[rest])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for passage in _passages(batches):
+            at = passage.owned & passage.is_word
+            counts = np.zeros(len(passage.vocabulary), np.int64)
+            found, times = summed(passage.codes[at], passage.times[at])
+            counts[found] = times
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([passage.lang] * len(found), pa.string()),
+                    pa.array([passage.vocabulary[k] for k in found.tolist()], pa.binary()),
+                    pa.array(counts[found], pa.int64()),
+                ],
+                ["lang", "word", "count"],
+            )
 
-    return _counts(dictionary, add, "word")
+    rows = dictionary.mapInArrow(counted, "lang string, word binary, count long")
+    return rows.groupBy("lang", "word").agg(F.sum("count").alias("count"))
 
 
 # ---- filters of a fixed size -------------------------------------------------------------
@@ -216,32 +213,47 @@ def in_filter(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (filled[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def pair_counts(dictionary: DataFrame, words: np.ndarray) -> DataFrame:
-    """``hash`` and ``count`` of all pairs whose words both pass the filter, by language.
-
-    Pairs with equal hashes are counted together: this only says what can't be frequent.
+def spans_of(passage: Passage, filters: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For one word, two, and so on up to one more than there are filters: by last word, the
+    hash of the span and whether all the shorter ones in it pass the filters."""
+    by_code = passage.hashes()
+    word = by_code[passage.codes]
+    spans = [(word, passage.is_word)]
+    for n, filled in enumerate(filters, 1):
+        last, good = spans[-1]
+        passing = in_filter(filled, by_code)[passage.codes] if n == 1 else in_filter(filled, last)
+        spans[-1] = last, good & passing
+        longer, both = np.zeros(len(word), np.uint64), spans[-1][1] & passage.inner
+        longer[1:] = mixed(last[:-1], word[1:])
+        both[1:] &= spans[-1][1][:-1]
+        spans.append((longer, both))
+    return spans
+
+
+def span_counts(dictionary: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+    """``hash`` and ``count`` of spans of one more word than there are filters, by language,
+    whose shorter spans all pass.
+
+    Spans with equal hashes are counted together: this only says what can't be frequent.
     """
-    shared = dictionary.sparkSession.sparkContext.broadcast(words)
+    shared = dictionary.sparkSession.sparkContext.broadcast(filters)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_times, size = [], [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, counts = _summed(np.concatenate(held), np.concatenate(held_times))
+            keys, counts = summed(*map(np.concatenate, zip(*held, strict=True)))
             held.clear()
-            held_times.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["hash", "count"]
             )
 
         for passage in _passages(batches):
-            pair, good = pairs_of(passage, shared.value)
-            at = good & passage.owned
-            keys, counts = _summed(pair[at], passage.times[at])
-            held.append(keys)
-            held_times.append(counts)
-            size += len(keys)
-            if size > 8 * HELD:
+            span, good = spans_of(passage, shared.value)[-1]
+            at = np.flatnonzero(good & passage.owned)
+            held.append(summed(span[at], passage.times[at]))
+            size += len(held[-1][0])
+            if size > HELD_SPANS:
                 yield flush()
                 size = 0
         if held:
@@ -251,43 +263,60 @@ def pair_counts(dictionary: DataFrame, words: np.ndarray) -> DataFrame:
     return rows.groupBy("hash").agg(F.sum("count").alias("count"))
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts[order], first)
-
+def phrases_of(passage: Passage, filters: list[np.ndarray]) -> Iterator[tuple[bytes, int]]:
+    """The different phrases whose short spans all pass, and how often each is owned.
 
-def pairs_of(passage: Passage, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each word, the hash of it and the one before it, and whether both may count."""
-    good = in_filter(words, passage.hashes) & passage.is_word
-    pair = np.zeros(len(good), np.uint64)
-    pair[1:] = mixed(passage.hashes[:-1], passage.hashes[1:])
-    both = good & passage.inner
-    both[1:] &= good[:-1]
-    return pair, both
+    A phrase's number and the word behind it make the number of the next longer one.
+    """
+    words, codes, vocabulary = len(passage.vocabulary), passage.codes, passage.vocabulary
+    spans = [good for _, good in spans_of(passage, filters)[1:]]
+    spans = spans[: len(filters) - 1]  # the last has not been looked up
+    number, at = codes, np.flatnonzero(spans[0])
+    for n in range(2, LONGEST + 1):
+        if not len(at):
+            return
+        keys, first, inverse = np.unique(
+            number[at - 1] * words + codes[at], return_index=True, return_inverse=True
+        )
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, inverse, np.where(passage.owned[at], passage.times[at], 0))
+        spelled = codes[at[first][:, None] + np.arange(1 - n, 1)].tolist()
+        for numbers, count in zip(spelled, counts.tolist(), strict=True):
+            if count:
+                yield b" ".join([vocabulary[k] for k in numbers]), count
+        number = np.full(len(codes), -1)
+        number[at] = inverse
+        at = at[(at + 1 < len(codes))] + 1
+        at = at[spans[min(n, len(spans)) - 1][at]]
+
+
+def phrase_counts(dictionary: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+    """``lang``, ``phrase``, ``count`` of the 2- to 5-word phrases whose short spans all pass."""
+    shared = dictionary.sparkSession.sparkContext.broadcast(filters)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[str, dict[bytes, int]] = {}
 
-def phrase_counts(dictionary: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """``lang``, ``phrase``, ``count`` of the 2- to 5-word phrases all of whose pairs pass."""
-    shared = dictionary.sparkSession.sparkContext.broadcast((words, pairs))
+        def flush() -> pa.RecordBatch:
+            names = [lang for lang, c in counters.items() for _ in range(len(c))]
+            keys = [key for c in counters.values() for key in c]
+            counts = [count for c in counters.values() for count in c.values()]
+            counters.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())],
+                ["lang", "phrase", "count"],
+            )
 
-    def add(counter: Counter, passage: Passage) -> None:
-        by_word, by_pair = shared.value
-        pair, good = pairs_of(passage, by_word)
-        good &= in_filter(by_pair, pair)
-        whole = good.copy()
-        for n in range(2, LONGEST + 1):
-            if n > 2:
-                whole[n - 2 :] &= good[: len(good) - n + 2]
-                whole[: n - 2] = False
-            at = np.flatnonzero(whole & passage.owned)
-            keys = [b" ".join(passage.words[k - n + 1 : k + 1]) for k in at.tolist()]
-            _weighted(counter, keys, passage.times[at])
+        for passage in _passages(batches):
+            counter = counters.setdefault(passage.lang, {})
+            for phrase, count in phrases_of(passage, shared.value):
+                counter[phrase] = counter.get(phrase, 0) + count
+            if sum(map(len, counters.values())) > HELD_PHRASES:
+                yield flush()
+        yield flush()
 
-    return _counts(dictionary, add, "phrase")
+    rows = dictionary.mapInArrow(counted, "lang string, phrase binary, count long")
+    return rows.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
 
 
 # ---- phrases -----------------------------------------------------------------------------
@@ -315,10 +344,11 @@ def collocations(
     ``floor(1000 * a * n / (l * r))``, ``n`` all words. A phrase of ``least`` or more
     occurrences that stands in a longer one with as many is left out.
 
-    The dictionary of chunks is passed over three times: for words, for hashes of pairs of
-    frequent words, and for phrases made of frequent pairs. In between, filters of
-    ``filter_bits`` bits tell the tasks what can't be frequent. They never grow with the
-    corpus; where they fill up, more phrases are counted in vain and the result is the same.
+    The dictionary of chunks is passed over four times: for words, for hashes of pairs of
+    frequent words and of triples of frequent pairs, and for phrases of frequent triples. In
+    between, filters of ``filter_bits`` bits tell the tasks what can't be frequent. They never
+    grow with the corpus; where they fill up, more is counted in vain and the result is the
+    same.
     Counts are combined in each task before they are shuffled.
 
     Null text is empty, null language ``und``. Repeated rows count each. Texts without words
@@ -330,11 +360,13 @@ def collocations(
     frequent = words.where(F.col("count") >= least)
     salted = F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), F.col("word"))
     by_word = bit_filter(frequent.select(F.xxhash64(salted).alias("hash")), filter_bits)
-    often = pair_counts(dictionary, by_word).where(F.col("count") >= least)
-    by_pair = bit_filter(often.select("hash"), filter_bits)
+    filters = [by_word]
+    for _ in ("pairs", "triples"):
+        often = span_counts(dictionary, filters).where(F.col("count") >= least)
+        filters.append(bit_filter(often.select("hash"), filter_bits))
 
     found = (
-        phrase_counts(dictionary, by_word, by_pair)
+        phrase_counts(dictionary, filters)
         .where(F.col("count") >= least)
         .select("lang", F.col("phrase").cast("string").alias("phrase"), F.col("count").alias("a"))
     )
