@@ -26,6 +26,8 @@ CHUNK_WORDS = 48
 FILTER_BITS = 1 << 25
 #: Different spans and phrases that a task holds before it hands their counts on.
 HELD_SPANS, HELD_PHRASES = 4_000_000, 500_000
+#: Chunks that a task counts the phrases of, about 200 MB.
+TASK_CHUNKS = 500_000
 #: Text whose words are numbered together.
 PASSAGE_BYTES = 8_000_000
 
@@ -291,8 +293,14 @@ def phrases_of(passage: Passage, filters: list[np.ndarray]) -> Iterator[tuple[by
 
 
 def phrase_counts(dictionary: DataFrame, filters: list[np.ndarray]) -> DataFrame:
-    """``lang``, ``phrase``, ``count`` of the 2- to 5-word phrases whose short spans all pass."""
-    shared = dictionary.sparkSession.sparkContext.broadcast(filters)
+    """``lang``, ``phrase``, ``count`` of the 2- to 5-word phrases whose short spans all pass.
+
+    Nearly every task meets nearly every frequent phrase, so each adds as many rows to the
+    shuffle: tasks take ``TASK_CHUNKS`` chunks, unless that leaves cores idle.
+    """
+    context = dictionary.sparkSession.sparkContext
+    shared = context.broadcast(filters)
+    tasks = max(context.defaultParallelism, dictionary.count() // TASK_CHUNKS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[str, dict[bytes, int]] = {}
@@ -315,7 +323,7 @@ def phrase_counts(dictionary: DataFrame, filters: list[np.ndarray]) -> DataFrame
                 yield flush()
         yield flush()
 
-    rows = dictionary.mapInArrow(counted, "lang string, phrase binary, count long")
+    rows = dictionary.coalesce(tasks).mapInArrow(counted, "lang string, phrase binary, count long")
     return rows.groupBy("lang", "phrase").agg(F.sum("count").alias("count"))
 
 
