@@ -47,11 +47,14 @@ def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(AWARDS_SQL, **tables)
 
 
-def write_drop_files(lines: DataFrame, header: str, root: str) -> list[str]:
+def write_drop_files(
+    lines: DataFrame, header: str, root: str, frame_bytes: int | None = None
+) -> list[str]:
     """Write text lines as ``<root>/<year>_awards/contracts_All_<file>.csv.zst``.
 
     ``lines`` has the columns year, file and line. Each task streams its files to the
-    shared folder, one zstd frame per file; returns the years written.
+    shared folder, one zstd frame per file, or one for every ``frame_bytes`` of text, cut
+    where they happen to end; returns the years written.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +82,11 @@ def write_drop_files(lines: DataFrame, header: str, root: str) -> list[str]:
                     out = zstandard.ZstdCompressor(level=3).stream_writer(sink, closefd=False)
                     out.write(f"{header}\n".encode())
                     yield pa.RecordBatch.from_pydict({"year": [key[0]]})
-                out.write(("\n".join(part["line"]) + "\n").encode())
+                text = ("\n".join(part["line"]) + "\n").encode()
+                for at in range(0, len(text), frame_bytes or len(text)):
+                    out.write(text[at : at + (frame_bytes or len(text))])
+                    if frame_bytes:
+                        out.flush(zstandard.FLUSH_FRAME)
         close()
 
     ordered = lines.repartition("year", "file").sortWithinPartitions("year", "file")

@@ -21,6 +21,7 @@ from .operators.quantiles import quantiles
 from .plans import funding, options, outlays, series, subset
 from .plans.ingest import ingest, read_outlay_drops
 from .session import scratch_dir, staged
+from .sources import snapshots
 from .sources.cells import type_cells
 from .sources.drops import read_drops, rows_per_file, year_directories
 from .sources.schema_json import schema_from_text
@@ -690,7 +691,9 @@ DROP_SCHEMA = """{"fields": [
  {"name": "period_of_performance_current_end_date", "type": "date32[day]"}]}"""
 
 
-def write_drops(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+def write_drops(
+    spark: SparkSession, sf_dir: str, frame_bytes: int | None = None
+) -> tuple[str, list[str]]:
     """The contract rows as drops in the shared scratch folder: (root, years)."""
     root = scratch_dir(spark, "drops")
     cells = ", ".join(f"coalesce({cell}, '')" for cell in DROP_CELLS.values())
@@ -705,7 +708,7 @@ def write_drops(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
             CASE WHEN {BLANK_AFTER} THEN '\\n' ELSE '' END)"""
         ).alias("line"),
     )
-    return root, fixtures.write_drop_files(lines, ",".join(DROP_CELLS), root)
+    return root, fixtures.write_drop_files(lines, ",".join(DROP_CELLS), root, frame_bytes)
 
 
 SQL_DROP_ROWS = f"""WITH k AS (SELECT *, cast(action_date_fiscal_year AS varchar) AS year,
@@ -1013,3 +1016,124 @@ ORACLES["write_refusals"] = with_awards(
     """SELECT cast(action_date_fiscal_year AS varchar) AS year, right(contract_award_unique_key, 1) AS file,
      count(*) AS row_count, 'no lineage, exists' AS refused FROM awards GROUP BY 1, 2"""
 )
+
+
+# ---- frames, ledger, manifest --------------------------------------------------------------
+
+
+def drops_by_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of many frames, cut inside lines, unpacked in runs of frames by several tasks."""
+    root, years = write_drops(spark, sf_dir, frame_bytes=20_000)
+    drop = read_drops(spark, year_directories(years, root=root), range_bytes=10_000)
+    found = drop.rows.groupBy("year", "file").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("contract_award_unique_key").alias("awards"),
+        F.min("naics_description").alias("first_description"),
+        F.max("naics_description").alias("last_description"),
+        F.sum(F.col("potential_total_value_of_award").try_cast("double")).alias("potential"),
+    )
+    read = drop.files.select("year", file_id(F.substring_index("path", "/", -1)).alias("file"), "rows_read")
+    return rounded(found.join(read, ["year", "file"]), potential=2)
+
+
+SQL_READ_ROWS = f"""a AS (SELECT cast(action_date_fiscal_year AS varchar) AS year,
+   lpad(cast(cast(contract_award_unique_key AS bigint) // {KEYS_PER_FILE} AS varchar), 6, '0') AS file,
+   count(*) AS rows_read FROM awards GROUP BY 1, 2)"""
+QUERIES["drops_by_frames"] = drops_by_frames
+ORACLES["drops_by_frames"] = with_awards(
+    f"""{SQL_DROP_ROWS}, {SQL_READ_ROWS}, r AS (SELECT year, file, count(*) AS rows,
+      count(DISTINCT contract_award_unique_key) AS awards, min(described) AS first_description,
+      max(described) AS last_description, round(sum(potential_total_value_of_award), 2) AS potential
+      FROM k GROUP BY 1, 2)
+     SELECT * FROM r JOIN a USING (year, file)"""
+)
+
+
+def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read, kept and skipped of each file, the ones with a wrong number of cells planted."""
+    root, years = write_drops(spark, sf_dir)
+    fixtures.add_bad_files(spark, root, years, list(DROP_CELLS), "naics_code", "bad")
+    report = ingest(
+        spark, years, scratch_dir(spark, "awards"), schema_from_text(LENIENT_SCHEMA), root=root
+    )
+    name = file_id(F.substring_index("path", "/", -1))
+    broken = F.col("error").isNotNull() & (F.col("error") != "has a bad value")
+    return report.select(
+        "year",
+        F.when(F.col("path").endswith("cell_bad.csv.zst"), "cell").when(broken, "cut").otherwise(name).alias("file"),
+        "rows_read",
+        "rows_kept",
+        "rows_skipped",
+    )
+
+
+QUERIES["ingest_ledger"] = ingest_ledger
+ORACLES["ingest_ledger"] = with_awards(
+    f"""{SQL_DROP_ROWS}, {SQL_READ_ROWS}, r AS (SELECT year, file, count(*) AS kept FROM k GROUP BY 1, 2)
+     SELECT year, file, rows_read, coalesce(kept, 0) AS rows_kept, rows_read - coalesce(kept, 0) AS rows_skipped
+       FROM a LEFT JOIN r USING (year, file)
+     UNION ALL SELECT DISTINCT year, 'cell', 101, 0, 101 FROM a
+     UNION ALL SELECT DISTINCT year, 'cut', NULL, 0, NULL FROM a"""
+)
+
+
+def _award_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract rows with lineage: the fiscal year, and the award's file."""
+    return fixtures.awards(spark, sf_dir).withColumns(
+        {
+            "year": F.col("action_date_fiscal_year").cast("string"),
+            "file": F.right("contract_award_unique_key", F.lit(1)),
+        }
+    )
+
+
+def awards_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset with a manifest, of which a range of fiscal years is read."""
+    output = scratch_dir(spark, "awards")
+    write_awards(_award_lines(spark, sf_dir), output, atomic=True)
+    rows = read_awards(spark, output, between={"action_date_fiscal_year": (1997, 1998)})
+    read = rows.groupBy("year", "file").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("federal_action_obligation").alias("obligation")
+    )
+    manifest = snapshots.current(spark, output)
+    chosen = snapshots.folders(spark, manifest, between={"action_date_fiscal_year": (1997, 1998)})
+    return rounded(read.join(chosen.select("year", "file", F.col("rows").alias("listed")), ["year", "file"], "full"), obligation=2)
+
+
+QUERIES["awards_by_range"] = awards_by_range
+ORACLES["awards_by_range"] = with_awards(
+    """SELECT cast(action_date_fiscal_year AS varchar) AS year, right(contract_award_unique_key, 1) AS file,
+     count(*) AS row_count, round(sum(federal_action_obligation), 2) AS obligation, count(*) AS listed
+   FROM awards WHERE action_date_fiscal_year BETWEEN 1997 AND 1998 GROUP BY 1, 2"""
+)
+
+
+def atomic_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits, the second replacing the files of one year, and one that dies on its way."""
+    rows, output = _award_lines(spark, sf_dir), scratch_dir(spark, "awards")
+    write_awards(rows, output, atomic=True)
+    again = rows.filter("year = '1997'").withColumn("award_type", F.lit("again"))
+    write_awards(again, output, atomic=True)
+    dying = rows.withColumn(
+        "award_type",
+        F.when(F.col("file") == "7", F.raise_error(F.lit("lost"))).otherwise(F.lit("lost")),
+    )
+    died = False
+    try:
+        write_awards(dying, output, atomic=True)
+    except Exception:
+        died = True
+    return (
+        read_awards(spark, output)
+        .groupBy("year", "file", "award_type")
+        .agg(F.count(F.lit(1)).alias("row_count"))
+        .withColumn("died", F.lit(died))
+    )
+
+
+QUERIES["atomic_commits"] = atomic_commits
+ORACLES["atomic_commits"] = with_awards(
+    """SELECT cast(action_date_fiscal_year AS varchar) AS year, right(contract_award_unique_key, 1) AS file,
+     CASE WHEN action_date_fiscal_year = 1997 THEN 'again' ELSE award_type END AS award_type,
+     count(*) AS row_count, true AS died FROM awards GROUP BY 1, 2, 3"""
+)

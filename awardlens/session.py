@@ -78,5 +78,7 @@ def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     do not repeat the joins or parsing behind ``df``, and survive lost executors.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    # A task that writes few folders keeps their files open instead of sorting its rows.
+    with session_conf(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "32"}):
+        df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,6 +4,8 @@ import json
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 # Type names a schema file may use. Spark has no unsigned integers, so each
@@ -112,3 +114,31 @@ def _complex(name: str, declared: dict[str, Any]) -> tuple[T.DataType, dict[str,
             raise ValueError(f"struct field {name!r} has no fields")
         return T.StructType([_field(entry) for entry in declared["fields"]]), {DECLARED: "struct"}
     raise ValueError(f"field {name!r} has an unsupported type {declared!r}")
+
+
+# Folder inside a dataset, or a manifest of it, that holds its schema; readers of the data
+# pass it over.
+STORED_SCHEMA = "_schema"
+
+
+def stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema that was stored with the dataset, if it was."""
+    try:
+        row = spark.read.text(f"{path.rstrip('/')}/{STORED_SCHEMA}", wholetext=True).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row and T.StructType.fromJson(json.loads(row[0]))
+
+
+def store_schema(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    folder = f"{path.rstrip('/')}/{STORED_SCHEMA}"
+    text = spark.createDataFrame([(schema.json(),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(folder)
+
+
+def merged_fields(old: T.StructType | None, new: T.StructType) -> T.StructType:
+    """Columns keep their places, new ones follow, a changed type counts from now on."""
+    fields = {field.name: field for field in old or ()} | {field.name: field for field in new}
+    return T.StructType(list(fields.values()))

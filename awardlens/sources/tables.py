@@ -1,15 +1,15 @@
 """Parquet datasets and plain CSV files."""
 
-import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import session_conf
+from . import snapshots
 from .drops import LINEAGE
+from .schema_json import merged_fields, store_schema, stored_schema
 
 # Id-like columns that must stay text in plain CSV files.
 TEXT_COLUMNS = [
@@ -21,44 +21,27 @@ TEXT_COLUMNS = [
 ]
 
 
-# Folder inside a dataset that holds its schema; readers of the data pass it over.
-STORED_SCHEMA = "_schema"
-
-
-def stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
-    """The schema that ``write_awards`` left with the dataset, if it did."""
-    try:
-        row = spark.read.text(f"{path.rstrip('/')}/{STORED_SCHEMA}", wholetext=True).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return row and T.StructType.fromJson(json.loads(row[0]))
-
-
-def _store_schema(spark: SparkSession, path: str, written: T.StructType) -> None:
-    """Columns keep their places, new ones follow, a changed type counts from now on."""
-    fields = {field.name: field for field in stored_schema(spark, path) or ()}
-    fields |= {field.name: field for field in written.fields}
-    text = T.StructType(list(fields.values())).json()
-    folder = f"{path.rstrip('/')}/{STORED_SCHEMA}"
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(folder)
-
-
 def read_awards(
     spark: SparkSession,
     path: str,
     columns: Sequence[str] | None = None,
     schema: T.StructType | None = None,
     drop_years: Sequence[str] | None = None,
+    between: Mapping[str, tuple] | None = None,
 ) -> DataFrame:
     """A ``year=/file=`` dataset, lazily. Partition values stay text, so ``01`` is kept.
 
     Drops may differ in columns: the schema is the one stored with the dataset, or given.
     Only for a dataset without one it is merged from the footers of all files.
     ``drop_years`` leaves out the folders of other drops before anything is listed in a
-    task; a drop's year need not be the fiscal year of all its rows.
+    task; a drop's year need not be the fiscal year of all its rows. ``between`` keeps rows
+    whose columns lie in ``(low, high)``, both included, None being open; of a dataset with
+    a manifest only folders that can hold such rows are read.
     """
+    manifest = snapshots.current(spark, path)
+    if manifest is not None:
+        rows = snapshots.read(spark, path, manifest, drop_years, between, schema)
+        return _chosen(rows, columns, between)
     if schema is None:
         schema = stored_schema(spark, path)
     reader = spark.read.option("mergeSchema", schema is None)
@@ -68,6 +51,17 @@ def read_awards(
         rows = reader.parquet(path)
     if drop_years is not None:
         rows = rows.filter(F.col("year").isin(*map(str, drop_years)))
+    return _chosen(rows, columns, between)
+
+
+def _chosen(
+    rows: DataFrame, columns: Sequence[str] | None, between: Mapping[str, tuple] | None
+) -> DataFrame:
+    for name, (low, high) in (between or {}).items():
+        if low is not None:
+            rows = rows.filter(F.col(f"`{name}`") >= F.lit(low))
+        if high is not None:
+            rows = rows.filter(F.col(f"`{name}`") <= F.lit(high))
     return rows if columns is None else rows.select(*(f"`{name}`" for name in columns))
 
 
@@ -108,15 +102,23 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_awards(df: DataFrame, path: str, overwrite: bool = True) -> None:
+def write_awards(
+    df: DataFrame, path: str, overwrite: bool = True, atomic: bool = False
+) -> None:
     """Parquet partitioned by ``year`` and ``file``.
 
     Partitions in ``df`` replace those of the same name and others stay, so a run can be
-    repeated. Without ``overwrite`` an existing path is an error.
+    repeated. Without ``overwrite`` an existing path is an error. With ``atomic`` the dataset
+    gets a manifest that ``read_awards`` follows: a job that dies changes nothing.
     """
     absent = [name for name in LINEAGE if name not in df.columns]
     if absent:
         raise ValueError(f"rows lack the lineage columns {absent}")
+    if atomic:
+        snapshots.commit(df, path, overwrite)
+        return
+    if snapshots.current(df.sparkSession, path) is not None:
+        raise ValueError(f"{path} has a manifest: write to it with atomic=True")
     # A task holds the rows of few files, so it can keep their writers open instead of
     # sorting all its rows by partition first.
     with session_conf(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "32"}):
@@ -129,4 +131,5 @@ def write_awards(df: DataFrame, path: str, overwrite: bool = True) -> None:
             .parquet(path)
         )
     data = [field for field in df.schema.fields if field.name not in LINEAGE]
-    _store_schema(df.sparkSession, path, T.StructType(data + [df.schema[name] for name in LINEAGE]))
+    written = T.StructType(data + [df.schema[name] for name in LINEAGE])
+    store_schema(df.sparkSession, path, merged_fields(stored_schema(df.sparkSession, path), written))
