@@ -164,3 +164,24 @@ def labelled(breakdown: DataFrame, subject: str) -> DataFrame:
     return breakdown.withColumn(
         "label", F.concat_ws(" ", F.lit(subject), sign, F.lit("Potential"))
     )
+
+
+def throughput(files: DataFrame, seconds: float) -> DataFrame:
+    """One row: what the check has read, of ``Drop.files``, and how much of it in a second.
+
+    Rates are null when no time has passed.
+    """
+    per_second = lambda total: F.try_divide(total.cast("double"), F.lit(float(seconds)))
+    totals = files.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count("error").alias("broken_files"),
+        F.coalesce(F.sum("rows_read"), F.lit(0)).alias("rows_read"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("packed_bytes"),
+    )
+    return totals.withColumns(
+        {
+            "seconds": F.lit(float(seconds)),
+            "rows_per_second": per_second(F.col("rows_read")),
+            "bytes_per_second": per_second(F.col("packed_bytes")),
+        }
+    )
