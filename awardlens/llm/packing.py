@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WordCache, shared_file, texts_of
+from .common import WordCache, resident, shared_file, texts_of
 
 # The word pattern of the vocabulary, and the byte alphabet it is written in.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -21,6 +22,10 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
+#: Words, and chunks of words, that a worker remembers in either of two generations.
+KNOWN_WORDS = 300_000
+
+
 class WordTokenizer:
     """Ids of texts under a vocabulary whose words never reach across white space.
 
@@ -36,9 +41,9 @@ class WordTokenizer:
         self.merges = self.full.model
         self.words = regex.compile(WORDS)
         spare = iter(range(256, 512))
-        self.known = WordCache(self._word)
+        self.known = WordCache(self._word, KNOWN_WORDS)
         self.alphabet = {b: chr(b if b in PRINTABLE else next(spare)) for b in range(256)}
-        self.chunks = WordCache(self._chunk)
+        self.chunks = WordCache(self._chunk, KNOWN_WORDS)
 
     def _chunk(self, chunk: str) -> bytes:
         if PLAIN.fullmatch(chunk) and "<|" not in chunk:
@@ -61,11 +66,6 @@ class WordTokenizer:
             return self._all(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
-    def forget(self) -> None:
-        for words in (self.chunks, self.known):
-            words.clear()
-            words.old.clear()
-
     def _all(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -158,7 +158,9 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1)
     data = shared_file(docs.sparkSession, vocabulary)
 
     def packed(batches):
-        tokenizer, packer = WordTokenizer(data.value), SumOfSquares(window)
+        # What a worker has learnt of words serves its next tasks too.
+        tokenizer = resident("packing", zlib.crc32(data.value), lambda: WordTokenizer(data.value))
+        packer = SumOfSquares(window)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -192,6 +194,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1)
         for pieces in packer.close():
             emit(pieces)
         yield flush()
-        tokenizer.forget()
 
     return texts_of(docs).mapInArrow(packed, SCHEMA)
