@@ -126,29 +126,45 @@ class WordCache(dict):
         self[word] = value
 
 
-def bounded_sample(docs: DataFrame, by: str, per_group: int, seed: int = 7) -> DataFrame:
-    """At most ``per_group`` rows for each value of ``by``, picked by a hash of ``doc_id``.
-
-    Groups are counted first, so that only rows with a low hash, a few times ``per_group``
-    whatever the size of the group, are shuffled and ranked. Rows with a null ``by`` are
-    left out. ``by`` is a label with few values; over 1,000 are refused.
+def bounded_sample(
+    docs: DataFrame,
+    by: str,
+    per_group: int,
+    seed: int = 7,
+    max_groups: int = 1000,
+    shape: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """At most ``per_group`` different rows for each value of ``by``, picked by a hash of them.
+
+    The hash is of the whole row, so rows that share an id, or have none, are drawn each on
+    its own; equal rows count once. Different rows are estimated per group first, so that
+    only those with a low hash, a few times ``per_group`` whatever the size of the group, go
+    on. ``shape`` may narrow these before they are shuffled and ranked; it has to keep ``by``
+    and the two columns whose names begin with ``sample``. Rows with a null ``by`` are left
+    out, and all but the ``max_groups`` values of ``by`` with the most rows.
     """
     from pyspark.sql import Window
 
-    sizes = docs.where(F.col(by).isNotNull()).groupBy(by).count().limit(1001).collect()
-    if len(sizes) > 1000:
-        raise ValueError(f"{by} has over 1000 values")
+    mark = F.xxhash64(F.lit(seed), *(F.col(f"`{name}`") for name in docs.columns))
+    marked = docs.where(F.col(f"`{by}`").isNotNull()).withColumn("sample mark", mark)
+    sizes = (
+        marked.groupBy(by)
+        .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("sample mark").alias("different"))
+        .orderBy(F.desc("n"), by)
+        .limit(max_groups)
+        .collect()
+    )
     # Uniform in [0, 1): the share of a group that is looked at is 4 times what is taken.
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.col("sample mark"), F.lit(1 << 30)) / float(1 << 30)
     cut = F.lit(-1.0)
-    for value, count in sizes:
-        share = min(1.0, 4 * per_group / count + 64 / count)
+    for value, _, different in sizes:
+        share = min(1.0, (4 * per_group + 64) / max(1, different))
         cut = F.when(F.col(by) == F.lit(value), F.lit(share)).otherwise(cut)
-    order = Window.partitionBy(by).orderBy("sample draw", "doc_id")
+    drawn = marked.withColumn("sample draw", draw).where(F.col("sample draw") < cut)
+    drawn = (shape(drawn) if shape else drawn).dropDuplicates([by, "sample mark"])
+    order = Window.partitionBy(by).orderBy("sample draw", "sample mark")
     return (
-        docs.withColumn("sample draw", draw)
-        .where(F.col("sample draw") < cut)
-        .withColumn("sample rank", F.row_number().over(order))
+        drawn.withColumn("sample rank", F.row_number().over(order))
         .where(F.col("sample rank") <= per_group)
-        .drop("sample draw", "sample rank")
+        .drop("sample draw", "sample mark", "sample rank")
     )

@@ -73,7 +73,7 @@ def _digest(words: list[str]) -> bytes:
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id``, ``digest`` of the words, ``signature`` (null without words), ``bytes``."""
+    """``doc_id``, ``text_hash``, ``digest`` of the words, ``signature`` (null without words), ``chars``."""
 
     def signed(batches):
         for batch in runs(batches):
@@ -99,15 +99,20 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(digests, pa.binary()),
                     pa.array(marks, pa.binary()),
                     pa.array([len(text) for text in texts], pa.int64()),
                 ],
-                ["doc_id", "digest", "signature", "chars"],
+                ["doc_id", "text_hash", "digest", "signature", "chars"],
             )
 
-    schema = "doc_id long, digest binary, signature binary, chars long"
-    return texts_of(docs).mapInArrow(signed, schema)
+    schema = "doc_id long, text_hash long, digest binary, signature binary, chars long"
+    return _hashed(docs).mapInArrow(signed, schema)
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return texts_of(docs).withColumn("text_hash", F.xxhash64("text"))
 
 
 def _blocks(n: Column, number: Column) -> Column:
@@ -334,11 +339,13 @@ def _classes_of(
     classes = staged(
         signed.groupBy("digest")
         .agg(
-            F.min("doc_id").alias("first_id"),
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"),
             F.count(F.lit(1)).alias("size"),
             F.first("signature").alias("signature"),
             F.max("chars").alias("chars"),
         )
+        .withColumns({"first_id": F.col("first.doc_id"), "first_hash": F.col("first.text_hash")})
+        .drop("first")
         .withColumn("number", F.monotonically_increasing_id()),
         "classes",
     )
@@ -353,9 +360,10 @@ def _classes_of(
     room = F.greatest(F.count(F.lit(1)) / GROUP_TEXTS, F.sum("chars") / GROUP_BYTES)
     blocks = group.groupBy("root").agg(F.greatest(F.ceil(room), F.lit(1)).alias("blocks"))
     wanted = group.join(blocks.hint("merge"), "root").select(
-        "root", "number", "size", "digest", F.col("first_id"), "blocks"
+        "root", "number", "size", "digest", "first_id", "first_hash", "blocks"
     )
-    texts = _texts_of_classes(docs, wanted)
+    same = signed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    texts = _texts_of_classes(docs, wanted, not same.where("n > 1").isEmpty())
     linked = staged(_verified(texts, n, threshold), "links")
     final = components(linked.select("a", "b"), "classes")
     links = linked.groupBy(F.col("a").alias("number")).agg(F.sum("links").alias("links"))
@@ -386,15 +394,21 @@ def _classes_of(
     return signed, found
 
 
-def _texts_of_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts_of_classes(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """The text of each wanted class, in its block pairs.
 
-    Texts are found by the class's first ``doc_id``; rows that share the id but not the
-    words go again once their digest is known.
+    Texts are found by ``doc_id`` and hash of the class's first row, so rows that share an
+    id, or have none, meet only classes of their own text. Where whole rows are ``repeated``,
+    one for each class goes on.
     """
-    rows = texts_of(docs).join(
-        wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id"))
+    rows = _hashed(docs).join(
+        wanted.hint("merge"),
+        (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")),
     )
+    if repeated:
+        kept = [name for name in rows.columns if name != "number"]
+        rows = rows.groupBy("number").agg(*(F.first(name).alias(name) for name in kept))
+
     schema = "root long, number long, size long, blocks long, text string"
 
     def same_words(batches):

@@ -138,8 +138,8 @@ def classify(docs: DataFrame, per_side: int = 2000, min_score: float = 0.5) -> D
 
     def scored(batches):
         for batch in batches:
-            found = np.zeros(0)
-            if batch.num_rows:
+            found = batch.column(1).to_numpy(zero_copy_only=False)  # nothing was taught
+            if batch.num_rows and scorer is not None:
                 parts = [
                     scorer.score(matrix(part.column(2).to_pylist(), part.column(3).to_pylist()))
                     for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000))

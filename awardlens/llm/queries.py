@@ -92,6 +92,11 @@ def share(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
+def held_out(apart: Column) -> Column:
+    """Rows without ``doc_id`` are never learnt from, so they are held out."""
+    return F.coalesce(apart, F.lit(True)).alias("held_out")
+
+
 @query
 def op5_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
@@ -100,7 +105,7 @@ def op5_toxicity(spark, sf_dir):
     scored = toxicity.score(docs, network)
     return scored.select(
         "doc_id",
-        (share(4) == 2).alias("held_out"),
+        held_out(share(4) == 2),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
@@ -126,7 +131,7 @@ def op9_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     dictionaries = language.fit(docs.where(share(5) != 0))
     return language.identify(docs, dictionaries).select(
-        "doc_id", (share(5) == 0).alias("held_out"), "lang_pred", "score", "accepted"
+        "doc_id", held_out(share(5) == 0), "lang_pred", "score", "accepted"
     )
 
 
