@@ -11,7 +11,7 @@ all in one task, so the last draw that is still in (the *cut*) is searched for i
 
 After that, membership is a comparison of a row's draw with its stratum's cut. Copies of
 one row share a draw; they are counted, never ranked, so any number of copies is fine.
-Strata and draws are staged first: the passes read those, and the input once more at last.
+Strata and draws are staged first, or whole rows with them: the passes read those.
 """
 
 from collections.abc import Sequence
@@ -118,7 +118,7 @@ def sample_cuts(drawn: DataFrame, fraction: float, strata: Sequence[str] = ()) -
         )
         wider.unpersist()
     per_draw = at_edge(edges, digits).groupBy(*names, "_draw", "_take").agg(F.count(F.lit(1)).alias("_n"))
-    return measured(
+    cuts = measured(
         crossing(per_draw, "_draw").select(
             *names,
             F.col("_draw").alias("_cut"),
@@ -126,16 +126,30 @@ def sample_cuts(drawn: DataFrame, fraction: float, strata: Sequence[str] = ()) -
             F.col("_n").alias("_copies"),
         )
     )
+    edges.unpersist()
+    return cuts
 
 
 def exact_sample(
-    df: DataFrame, fraction: float, seed: int, strata: Sequence[str] = ()
+    df: DataFrame,
+    fraction: float,
+    seed: int,
+    strata: Sequence[str] = (),
+    stage_rows: bool = False,
 ) -> DataFrame:
-    """Exactly ``floor(fraction * n)`` rows of every stratum, without replacement."""
+    """Exactly ``floor(fraction * n)`` rows of every stratum, without replacement.
+
+    With ``stage_rows`` whole rows are staged with their draws: right for few or narrow rows
+    behind joins or a filter, which are then computed once. Otherwise only strata and draws
+    are, and the input is read a second time for the result.
+    """
     fraction = check_fraction(fraction)
     columns = df.columns
     drawn = df.withColumn("_draw", draw_of(df, columns, seed))
-    facts = staged(drawn.select(*(f"`{name}`" for name in strata), "_draw"), "draws")
+    narrow = [*(f"`{name}`" for name in strata), "_draw"]
+    if stage_rows:
+        drawn = staged(drawn, "drawn-rows")
+    facts = drawn.select(*narrow) if stage_rows else staged(drawn.select(*narrow), "draws")
     cuts = sample_cuts(facts, fraction, strata)
     if strata:
         met = drawn.join(cuts, same_stratum(drawn, cuts, strata))

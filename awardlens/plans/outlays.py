@@ -69,8 +69,10 @@ def sample_awards(
 ) -> DataFrame:
     """``floor(fraction * n)`` of the rows, or about as many in one pass."""
     check_fraction(fraction)
-    pick = exact_sample if exact else fast_sample
-    return pick(filtered, fraction, seed)
+    if not exact:
+        return fast_sample(filtered, fraction, seed)
+    # Few rows with five columns are left of a scan of everything.
+    return exact_sample(filtered, fraction, seed, stage_rows=True)
 
 
 def _measures(kept: Column) -> list[Column]:

@@ -91,7 +91,7 @@ def stratified_sample(
     awards: DataFrame, fraction: float = FRACTION, seed: int = SEED
 ) -> DataFrame:
     """Exactly ``floor(fraction * n)`` rows of every award type."""
-    return exact_sample(awards.select(*INITIAL_COLUMNS), fraction, seed, [STRATUM])
+    return exact_sample(awards.select(*INITIAL_COLUMNS), fraction, seed, [STRATUM], stage_rows=True)
 
 
 def build_subset(
@@ -99,21 +99,24 @@ def build_subset(
     fraction: float = FRACTION,
     seed: int = SEED,
     quantile_method: str = "nearest",
+    stage_rows: bool = False,
 ) -> DataFrame:
     """The rows of the subset with all their own columns.
 
+    With ``stage_rows`` the input is computed once and staged as it is, else it is read twice.
     A row belongs to it when its initial columns were sampled or lie in a tail. Rows that
     agree in all initial columns belong together, as they would after a distinct.
     """
     check_fraction(fraction)
     awards = clean_awards(rows)
-    draw = draw_of(awards, INITIAL_COLUMNS, seed)
-    # Award type, value and draw are all that finding the thresholds and cuts needs. The
-    # input itself is read twice: here, and for the result.
-    facts = staged(awards.select(STRATUM, VALUE, draw.alias("_draw")), "subset-facts")
+    drawn = awards.withColumn("_draw", draw_of(awards, INITIAL_COLUMNS, seed))
+    # Award type, value and draw are all that finding the thresholds and cuts needs.
+    if stage_rows:
+        drawn = staged(drawn, "subset-rows")
+    facts = drawn.select(STRATUM, VALUE, "_draw")
+    facts = facts if stage_rows else staged(facts, "subset-facts")
     low, high = value_thresholds(facts, method=quantile_method)
     cuts = sample_cuts(facts, fraction, [STRATUM])
-    drawn = awards.withColumn("_draw", draw)
     sampled = F.coalesce(F.col("_draw") <= F.col("_cut"), F.lit(False))
     return (
         drawn.join(cuts, same_stratum(drawn, cuts, [STRATUM]), "left")
@@ -125,7 +128,7 @@ def build_subset(
 
 def subset_rows(rows: DataFrame, **options) -> DataFrame:
     """The distinct initial columns of the subset: sample and tails as one set."""
-    return build_subset(rows.select(*INITIAL_COLUMNS), **options).distinct()
+    return build_subset(rows.select(*INITIAL_COLUMNS), stage_rows=True, **options).distinct()
 
 
 def award_totals() -> list[Column]:

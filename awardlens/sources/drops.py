@@ -333,7 +333,10 @@ def unpack(
     files: DataFrame, required: Sequence[str] = (), range_bytes: int = RANGE_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """A row per file, and the files' text in chunks by layout, staged in the scratch folder."""
-    whole = files.filter(F.col("length") <= range_bytes)
+    total, longest = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.max("length")).first()
+    # Listings come in more partitions than so many bytes are worth.
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, total // range_bytes)
+    whole = files.filter(F.col("length") <= range_bytes).coalesce(tasks)
     large = files.filter(F.col("length") > range_bytes)
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +352,7 @@ def unpack(
         yield from _batched(rows, UNPACKED_ARROW)
 
     rows = whole.mapInArrow(unpacked, UNPACKED_SCHEMA)
-    if large.isEmpty():
+    if longest is None or longest <= range_bytes:
         table = staged(rows, "drops", partition_by=["layout"])
         return table.filter(F.col("layout") == FILES_LAYOUT).select(*FILE_COLUMNS), table
 
