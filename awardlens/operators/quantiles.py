@@ -8,7 +8,7 @@ to pick from. Every step is a map-side combined aggregate over a single column.
 """
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,6 +18,19 @@ from pyspark.sql import functions as F
 METHODS = ("nearest", "disc", "approx")
 
 
+@dataclass(frozen=True)
+class Proposal:
+    """What is known of a column beforehand: its exact rows and range, and likely quantiles.
+
+    ``likely(q)`` may be wrong by any amount; the exact counts only take longer then.
+    """
+
+    rows: int
+    low: float | None
+    high: float | None
+    likely: Callable[[Sequence[float]], list[float]]
+
+
 @dataclass(frozen=True)
 class _Span:
     """The sought row has ``skip`` smaller rows among the ``rows`` in [low, high]."""
@@ -45,11 +58,13 @@ def quantiles(
     method: str = "nearest",
     pick_limit: int = 200_000,
     accuracy: int = 10_000,
+    proposal: Proposal | None = None,
 ) -> list[float | None]:
     """Quantiles of the non-null values.
 
     ``nearest`` takes the row at ``round(p * (n - 1))``, ``disc`` the first row whose
-    cumulative share reaches ``p``, ``approx`` asks for an estimate in one pass.
+    cumulative share reaches ``p``, ``approx`` asks for an estimate in one pass. A
+    ``proposal`` from summaries that are kept elsewhere saves the first pass of the others.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, got {method!r}")
@@ -58,18 +73,12 @@ def quantiles(
         row = values.agg(F.percentile_approx("v", list(probabilities), accuracy)).first()
         return list(row[0]) if row[0] is not None else [None] * len(probabilities)
 
-    # The first guesses come with the row count, in the same pass.
-    first = values.agg(
-        F.count("v"),
-        F.min("v"),
-        F.max("v"),
-        *(F.percentile_approx("v", _around(p, accuracy), accuracy) for p in probabilities),
-    ).first()
-    n, low, high = first[:3]
+    proposal = proposal or _proposal(values, probabilities, accuracy)
+    n = proposal.rows
     if n == 0:
         return [None] * len(probabilities)
-    spans = [_Span(low, high, n, _rank(p, n, method)) for p in probabilities]
-    guesses = dict(enumerate(first[3:]))
+    spans = [_Span(proposal.low, proposal.high, n, _rank(p, n, method)) for p in probabilities]
+    guesses = {i: proposal.likely(_around(p, accuracy)) for i, p in enumerate(probabilities)}
     while wide := [i for i, span in enumerate(spans) if span.is_wide(pick_limit)]:
         guesses = guesses or _guess(values, spans, wide, accuracy)
         spans = _narrow(values, spans, {i: guesses[i] for i in wide})
@@ -77,6 +86,18 @@ def quantiles(
     return _pick(values, spans)
 
 
+def _proposal(values: DataFrame, probabilities: Sequence[float], accuracy: int) -> Proposal:
+    """Row count, range and first guesses, all in one pass."""
+    first = values.agg(
+        F.count("v"),
+        F.min("v"),
+        F.max("v"),
+        *(F.percentile_approx("v", _around(p, accuracy), accuracy) for p in probabilities),
+    ).first()
+    found = {tuple(_around(p, accuracy)): first[3 + i] for i, p in enumerate(probabilities)}
+    return Proposal(*first[:3], lambda around: found[tuple(around)])
+
+
 def _rank(p: float, n: int, method: str) -> int:
     if method == "nearest":
         return math.floor(p * (n - 1) + 0.5)

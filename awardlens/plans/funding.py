@@ -31,13 +31,13 @@ ROLLUP_KEYS = [YEAR, "naics_code", "naics_description", "award_type"]
 ROLLUP_ROWS = "transactions"
 
 
-def funding_rollup(rows: DataFrame) -> DataFrame:
+def funding_rollup(rows: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """Sums and row counts per (year, NAICS code and description, award type).
 
     Every report below accepts this instead of the transactions, so one stored rollup
-    serves all reports under any filter.
+    serves all reports under any filter. ``per`` are columns to keep apart besides.
     """
-    return rows.groupBy(*ROLLUP_KEYS).agg(
+    return rows.groupBy(*per, *ROLLUP_KEYS).agg(
         sum0(F.col("total_dollars_obligated")).alias("total_dollars_obligated"),
         sum0(F.col("total_outlayed_amount_for_overall_award")).alias(
             "total_outlayed_amount_for_overall_award"

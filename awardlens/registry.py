@@ -18,7 +18,7 @@ from .functions import bool_from_words, file_id, null_tokens_to_null, parse_tf
 from .functions.sectors import UNKNOWN_SECTOR
 from .operators.keys import attach_by_key, restrict_to_keys, union_widened
 from .operators.quantiles import quantiles
-from .plans import funding, options, outlays, series, subset
+from .plans import funding, options, outlays, series, subset, summaries
 from .plans.ingest import ingest, read_outlay_drops
 from .session import scratch_dir, staged
 from .sources import snapshots
@@ -1137,3 +1137,66 @@ ORACLES["atomic_commits"] = with_awards(
      CASE WHEN action_date_fiscal_year = 1997 THEN 'again' ELSE award_type END AS award_type,
      count(*) AS row_count, true AS died FROM awards GROUP BY 1, 2, 3"""
 )
+
+
+# ---- summaries kept per drop file ----------------------------------------------------------
+
+
+def _changed_dataset(spark: SparkSession, sf_dir: str, summary: str, summarise) -> tuple[str, DataFrame]:
+    """A dataset summed up, then with the files of one year replaced, and summed up again."""
+    rows, output = _award_lines(spark, sf_dir), scratch_dir(spark, "awards")
+    write_awards(rows, output, atomic=True)
+    summaries.refresh(spark, output, summary, summarise)
+    again = rows.filter("year = '1997'").withColumns(
+        {name: 2 * F.col(name) for name in ("total_dollars_obligated", subset.VALUE)}
+    )
+    write_awards(again, output, atomic=True)
+    return output, summaries.refresh(spark, output, summary, summarise)
+
+
+def _with_changed_awards(sql: str) -> str:
+    doubled = ", ".join(
+        f"CASE WHEN action_date_fiscal_year = 1997 THEN 2 * {name} ELSE {name} END AS {name}"
+        for name in ("total_dollars_obligated", subset.VALUE)
+    )
+    body = sql.strip()[len("WITH ") :].replace("FROM awards", "FROM changed")
+    return with_awards(f"WITH changed AS (SELECT * REPLACE ({doubled}) FROM awards), {body}")
+
+
+def trends_from_kept_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funding per year from a rollup kept per file, after some files were replaced."""
+    summary = scratch_dir(spark, "rollup")
+    output, _ = _changed_dataset(spark, sf_dir, summary, funding.funding_rollup)
+    return round_trends(funding.funding_trends(summaries.read_summary(spark, output, summary)))
+
+
+QUERIES["trends_from_kept_rollup"] = trends_from_kept_rollup
+ORACLES["trends_from_kept_rollup"] = _with_changed_awards(sql_trends())
+
+
+def rollup_refreshed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a refresh reads after some were replaced, with their rollup rows."""
+    return _changed_dataset(spark, sf_dir, scratch_dir(spark, "rollup"), funding.funding_rollup)[1]
+
+
+QUERIES["rollup_refreshed_files"] = rollup_refreshed_files
+ORACLES["rollup_refreshed_files"] = with_awards(
+    """SELECT '1997' AS year, file, count(*) AS rows FROM (
+     SELECT DISTINCT right(contract_award_unique_key, 1) AS file, naics_code, naics_description, award_type
+     FROM awards WHERE action_date_fiscal_year = 1997) GROUP BY file"""
+)
+
+
+def quantiles_from_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact thresholds whose first guesses come from sketches kept per file."""
+    summary = scratch_dir(spark, "sketches")
+    output, _ = _changed_dataset(spark, sf_dir, summary, summaries.value_sketches([subset.VALUE]))
+    known = summaries.proposal(summaries.read_summary(spark, output, summary), subset.VALUE)
+    rows = read_awards(spark, output, [subset.VALUE])
+    tails = [subset.LOW_TAIL, subset.HIGH_TAIL]
+    low, high = quantiles(rows, subset.VALUE, tails, pick_limit=500, proposal=known)
+    return spark.createDataFrame([(low, high)], "low double, high double")
+
+
+QUERIES["quantiles_from_sketches"] = quantiles_from_sketches
+ORACLES["quantiles_from_sketches"] = _with_changed_awards(f"{SQL_CLEAN} SELECT low, high FROM q")

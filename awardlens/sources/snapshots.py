@@ -167,22 +167,35 @@ def read(
     between: Mapping[str, tuple] | None = None,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Rows of the folders in question; ``between`` still has to be applied to the rows.
+    """Rows of the folders in question; ``between`` still has to be applied to the rows."""
+    chosen = folders(spark, manifest, drop_years, between)
+    return scan(spark, path, chosen, schema or stored_schema(spark, manifest))
+
+
+def scan(
+    spark: SparkSession,
+    path: str,
+    chosen: DataFrame,
+    schema: T.StructType,
+    commit_column: str | None = None,
+) -> DataFrame:
+    """Rows of the folders ``chosen`` from a manifest, with the commit that they are of if asked for.
 
     Only names of folders come to the driver, as when Spark lists a dataset. Each commit
     that has live folders is a scan with a filter on its partitions.
     """
-    path, schema = path.rstrip("/"), schema or stored_schema(spark, manifest)
+    path = path.rstrip("/")
     key = lambda: F.concat_ws("/", F.coalesce(YEAR, F.lit("")), F.coalesce(FILE, F.lit("")))
-    chosen: dict[str, list[str]] = {}
-    for folder, name in folders(spark, manifest, drop_years, between).select("folder", key()).collect():
-        chosen.setdefault(folder, []).append(name)
-    if not chosen:
-        return spark.createDataFrame([], schema)
+    by_commit: dict[str, list[str]] = {}
+    for folder, name in chosen.select("folder", key()).collect():
+        by_commit.setdefault(folder, []).append(name)
     scans = [
         _read_folder(spark, f"{path}/{DATA}/{folder}", schema).filter(key().isin(*names))
-        for folder, names in sorted(chosen.items())
-    ]
+        for folder, names in sorted(by_commit.items())
+    ] or [spark.createDataFrame([], schema)]
+    if commit_column is not None:
+        commits = [*sorted(by_commit)] or [""]
+        scans = [rows.withColumn(commit_column, F.lit(of)) for rows, of in zip(scans, commits, strict=True)]
     return reduce(DataFrame.unionByName, scans)
 
 
