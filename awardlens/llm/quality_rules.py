@@ -1,6 +1,7 @@
 """Quality rules whose votes are weighed by weak supervision instead of all having to pass."""
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,19 @@ STATISTICS = {
     "n_letters": "long",
     "n_distinct_words": "long",
     "n_upper": "long",
+    "n_unspaced": "long",
 }
 
 _WHITE = " \t\n\v\f\r"
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Vowel signs, accents and the like, which belong to the letters they stand beside.
+_MARKS = re.compile(
+    "[" + "".join(c for c in map(chr, range(0x300, 0x11000)) if unicodedata.category(c)[0] == "M") + "]+"
+)
+#: Thai, Lao, Burmese, Khmer, kana and Han: words are not parted by white space.
+_UNSPACED = re.compile(
+    "[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+"
+)
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -58,6 +68,10 @@ def text_statistics(text: str) -> tuple[int, ...]:
     spaces = sum(map(text.count, _WHITE))
     lines = [line for line in text.split("\n") if line.strip(_WHITE)]
     letters = _LETTERS.findall(text)
+    marks = unspaced = 0
+    if not text.isascii():
+        marks = sum(map(len, _MARKS.findall(text)))
+        unspaced = sum(map(len, _UNSPACED.findall(text)))
     return (
         len(words),
         len(text) - spaces,
@@ -65,9 +79,10 @@ def text_statistics(text: str) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeated_words(words),
         len(lines),
-        sum(map(len, letters)),
+        sum(map(len, letters)) + marks,
         len(set(words)),
         sum(word.isupper() and len(word) > 1 for word in letters),
+        unspaced,
     )
 
 
@@ -103,9 +118,10 @@ def rule_votes() -> dict[str, Column]:
     windows = F.col("n_repeat_words") / words
     upper = F.col("n_upper") / words
     distinct = F.col("n_distinct_words") / words
+    spaced = 2 * F.col("n_unspaced") <= F.col("n_letters")
     return {
         "length": _vote(F.col("n_words") >= 50, F.col("n_words") < 1),
-        "word_length": _vote(length.between(3, 9), (length < 2) | (length > 15)),
+        "word_length": _vote(length.between(3, 9), spaced & ((length < 2) | (length > 15))),
         "symbols": _vote(symbols < 0.02, symbols > 0.2),
         "symbol_chars": _vote(symbol_chars < 0.005, symbol_chars > 0.04),
         "letters": _vote(letters > 0.93, letters < 0.88),
