@@ -32,14 +32,18 @@ _REPEATED_LINE = np.array([zlib.crc32(b"repeated line") % COLUMNS], "<u2").tobyt
 _REPEATED_WORD = np.array([zlib.crc32(b"repeated word") % COLUMNS], "<u2").tobytes()
 
 
-def text_features(text: str) -> tuple[bytes, bytes]:
-    """Distinct columns (16 bits) and their counts (32 bits) over the whole text."""
+def text_features(text: str, n_repeat_words: int) -> tuple[bytes, bytes]:
+    """Distinct columns (16 bits) and their counts (32 bits) over the whole text.
+
+    ``n_repeat_words`` (of the statistics) are the words in windows found twice or more: unlike
+    words that merely recur, they don't grow with the length of clean texts.
+    """
     words = text.encode("utf-8", "surrogatepass").split()
     lines = [line for line in text.split("\n") if line and not line.isspace()]
     known = resident("quality_classifier", "words", lambda: WordCache(word_features, 150_000))
     data = b"".join(map(known.__getitem__, words))
     data += _REPEATED_LINE * (len(lines) - len(set(lines)))
-    data += _REPEATED_WORD * (len(words) - len(set(words)))
+    data += _REPEATED_WORD * n_repeat_words
     counts = np.bincount(np.frombuffer(data, "<u2"), minlength=COLUMNS)
     columns = np.flatnonzero(counts)
     return columns.astype("<u2").tobytes(), counts[columns].astype("<u4").tobytes()
@@ -52,7 +56,8 @@ def _described(docs: DataFrame) -> DataFrame:
         for batch in runs(batches):
             texts = batch.column(1).to_pylist()
             found = list(zip(*map(text_statistics, texts), strict=True)) or [()] * len(STATISTICS)
-            features = list(zip(*map(text_features, texts), strict=True)) or [(), ()]
+            repeated = found[list(STATISTICS).index("n_repeat_words")]
+            features = list(zip(*map(text_features, texts, repeated), strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
