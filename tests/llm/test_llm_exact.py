@@ -18,6 +18,7 @@ from awardlens.llm import (
     byte_bpe,
     components,
     exact_dedup,
+    language,
     licenses,
     ngram_join,
     packing,
@@ -186,6 +187,32 @@ def test_recall_decides_the_depth():
     assert ngram_join.recall(4, 0.8) < 0.999
 
 
+@pytest.mark.parametrize("families, few", [(60, 16), (600, 16), (60, 0), (600, 0)])
+def test_recall_near_the_threshold(spark, monkeypatch, families, few):
+    """Pairs of a similarity just over 0.8, beside texts that share passages, at two sizes.
+
+    With ``few`` at 0 no prefix is shortened once more, as where every node is crowded.
+    """
+    monkeypatch.setattr(ngram_join, "SPARSE", few)
+    rng, texts = random.Random(families), {}
+    passage = [f"p{k}" for k in range(40)]
+    for family in range(families):
+        words = [f"w{rng.randrange(3000)}" for _ in range(97)]
+        if family % 3 == 0:
+            words[30:70] = passage
+        for copy in range(3):
+            changed = list(words)
+            for at in rng.sample(range(10, len(words) - 10), copy):
+                changed[at] = f"c{family}-{copy}-{at}"
+            texts[len(texts)] = " ".join(changed)
+    expected = brute_links(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    rows = ngram_join.near_copies(docs).collect()
+    wanted, found = sum(n for _, n in expected.values()), sum(r.n_links for r in rows)
+    assert wanted > families and all(r.n_links <= expected[r.doc_id][1] for r in rows)
+    assert found >= 0.99 * wanted
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(k, k + 1) for k in range(400, 440)]
@@ -259,9 +286,58 @@ def test_classifier_agrees_with_labels_it_never_saw(spark):
 
 
 def test_features_count_all_of_a_text():
-    columns, counts = quality_classifier.text_features("Abc, abc abc\nx\nx\n")
+    columns, counts = quality_classifier.text_features("Abc, abc abc\nx\nx\n", 2)
     assert len(columns) // 2 == len(counts) // 4 and np.frombuffer(counts, "<u4").sum() == 5 * 4 + 1 + 2
-    assert quality_classifier.text_features("") == (b"", b"")
+    assert quality_classifier.text_features("", 0) == (b"", b"")
+
+
+def test_votes_are_weighed_as_by_a_loop_over_documents():
+    rng = random.Random(5)
+    docs = [[rng.choice([0, 1, 1, 1, -1]) for _ in range(4)] for _ in range(300)]
+    patterns, counts = np.unique(np.array(docs), axis=0, return_counts=True)
+    model = quality_rules.VoteModel(4, rounds=30).fit(patterns, counts.astype(float))
+    prior, right = 0.9, [[0.3] * 4, [0.98] * 4]
+
+    def chance_good(votes):
+        good, bad = prior, 1 - prior
+        for rule, vote in enumerate(votes):
+            if vote >= 0:
+                good *= right[1][rule] if vote else 1 - right[1][rule]
+                bad *= right[0][rule] if not vote else 1 - right[0][rule]
+        return good / (good + bad)
+
+    for _ in range(30):
+        chances = [chance_good(votes) for votes in docs]
+        found = [[0.0] * 4, [0.0] * 4]
+        for rule in range(4):
+            for quality, start in ((0, 0.3), (1, 0.98)):
+                agreed, cast = 10 * start, 10.0
+                for votes, good in zip(docs, chances, strict=True):
+                    weight = good if quality else 1 - good
+                    agreed += weight * (votes[rule] == quality)
+                    cast += weight * (votes[rule] >= 0)
+                found[quality][rule] = agreed / cast
+        right, prior = found, min(max((sum(chances) + 9) / (len(docs) + 10), 0.5), 0.999)
+    assert np.allclose(model.right, right) and np.isclose(model.prior, prior)
+    assert np.allclose(model.posterior(np.array(docs)), [chance_good(votes) for votes in docs])
+
+
+# The first articles of a public declaration.
+MARKED = {
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है",
+    "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ",
+    "ar": "يُولَدُ جَمِيعُ النَّاسِ أَحْرَارًا مُتَسَاوِينَ فِي الْكَرَامَةِ وَالْحُقُوقِ وَقَدْ وُهِبُوا عَقْلًا وَضَمِيرًا",
+    "zh": "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神互相对待",
+}
+
+
+def test_marks_are_letters_and_not_all_words_are_spaced(spark):
+    docs = spark.createDataFrame(list(enumerate(MARKED.values())), "doc_id long, text string")
+    for row in quality_rules.judge(docs).collect():
+        assert row.n_letters >= 0.97 * row.word_chars and row.vote_letters == 1
+        assert row.vote_word_length != 0
+    by_hand = "a\u0301b c1 \u0e01\u0e31"
+    assert quality_rules.text_statistics(by_hand)[list(quality_rules.STATISTICS).index("n_letters")] == 6
 
 
 # ---- 5 toxicity and 9 language: held-out accuracy ----------------------------------------
@@ -292,6 +368,63 @@ def test_language_on_held_out_rows(spark):
     assert sum(r.accepted for r in rows) >= 0.98 * len(rows)
 
 
+# The first articles of a public declaration.
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem"
+    " i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek ma prawo do życia, wolności"
+    " i bezpieczeństwa swojej osoby.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью"
+    " и должны поступать в отношении друг друга в духе братства. Каждый человек имеет право на жизнь, на свободу"
+    " и на личную неприкосновенность.",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを"
+    "授けられており、互いに同胞の精神をもって行動しなければならない。すべて人は、生命、自由及び身体の安全に対する権利を有する。",
+    "code": "def f(x):\n    for i in range(len(x)):\n        if x[i] is None: continue\n        yield x[i] ** 2\n\nclass"
+    " Foo(Bar):\n    def __init__(self, *args, **kwargs):\n        super().__init__(*args, **kwargs)\n        self.names"
+    " = sorted(kwargs)\n\n    def __repr__(self):\n        return f'{type(self).__name__}({self.names!r})'\n",
+}
+
+
+def test_texts_of_other_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    model = language.fit(docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0"))
+    rng = random.Random(9)
+    texts = [text * n for text in FOREIGN.values() for n in (1, 4)]
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (300, 2000)]
+    texts += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(300))]
+    foreign = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in language.identify(foreign, model).where("accepted").collect()] == []
+    clean = docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0 AND length(text) >= 200")
+    found = language.identify(clean, model)
+    assert found.where("accepted").count() >= 0.98 * found.count() > 0
+
+
+def test_sizes_are_those_of_a_call_per_block_and_language():
+    import zstandard
+
+    words = {"en": "the and of that is with plain words ", "de": "der die und das nicht ist mit einfachen "}
+    contents = {name: (text * 30).encode() for name, text in words.items()}
+    judge = language.CompressionClassifier(contents)
+    rng = random.Random(2)
+    for size in (1, 40, 1999, 2000, 2001, 9000):
+        text = " ".join(rng.choices((words["en"] + words["de"] + "quite other stuff").split(), k=size))[:size]
+        data = language.letters(text).encode()
+        sizes, plain = {}, 0
+        for at in range(0, len(data), language.BLOCK):
+            block = data[at : at + language.BLOCK]
+            options = {"level": language.LEVEL, "write_content_size": False, "write_checksum": False}
+            plain += len(zstandard.ZstdCompressor(**options, write_dict_id=False).compress(block))
+            for name, content in contents.items():
+                raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                coder = zstandard.ZstdCompressor(**options, write_dict_id=False, dict_data=raw)
+                packed = coder.compress(block)
+                assert zstandard.ZstdDecompressor(dict_data=raw).decompress(packed, 10_000) == block
+                sizes[name] = sizes.get(name, 0) + len(packed)
+        found = judge.measure(data)
+        assert found[1] == plain
+        assert all(abs(a - sizes[name]) <= 0.05 * sizes[name] + 2 for name, a in zip(judge.languages, found[0], strict=True))
+        assert judge.classify(text)[0] == judge.languages[found[0].index(min(found[0]))]
+
+
 # ---- 6 byte-level BPE --------------------------------------------------------------------
 
 
