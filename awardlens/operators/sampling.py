@@ -54,11 +54,60 @@ def same_stratum(left: DataFrame, right: DataFrame, strata: Sequence[str]) -> Co
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def sample_cuts(drawn: DataFrame, fraction: float, strata: Sequence[str] = ()) -> DataFrame:
+def prefix_counts(drawn: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows per values of ``by`` and first digits of the ``_draw``: ``by``, ``_prefix``, ``_n``.
+
+    Counts of parts of the rows add up to those of all, so they can be kept per part.
+    """
+    prefix = F.substring("_draw", 1, PREFIX_DIGITS).alias("_prefix")
+    return drawn.groupBy(*(f"`{name}`" for name in by), prefix).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _crossing(counted: DataFrame, names: Sequence[str], order: str) -> DataFrame:
+    """The row in which the running count reaches ``_take``; ``_left`` remain in it."""
+    stratum = Window.partitionBy(*names)
+    upto = F.sum("_n").over(stratum.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        counted.withColumn("_before", upto - F.col("_n"))
+        .filter((F.col("_before") < F.col("_take")) & (F.col("_before") + F.col("_n") >= F.col("_take")))
+        .withColumn("_left", F.col("_take") - F.col("_before"))
+    )
+
+
+def _edges(counted: DataFrame, names: Sequence[str]) -> DataFrame:
+    return measured(
+        _crossing(counted, names, "_prefix").select(
+            *(F.col(name).alias(f"_edge{name}") for name in names),
+            F.col("_prefix").alias("_edge_prefix"),
+            F.col("_left").alias("_take"),
+            F.col("_n").alias("_rows"),
+        )
+    )
+
+
+def first_edges(counts: DataFrame, fraction: float, strata: Sequence[str] = ()) -> DataFrame:
+    """Per stratum the prefix in which the cut lies, of ``prefix_counts`` by strata, or of parts."""
+    names = [f"_of_{name}" for name in strata]
+    whole = counts.groupBy(
+        *(F.col(f"`{name}`").alias(alias) for name, alias in zip(strata, names)), "_prefix"
+    ).agg(F.sum("_n").alias("_n"))
+    rows = F.sum("_n").over(Window.partitionBy(*names))
+    return _edges(whole.withColumn("_take", F.floor(F.lit(fraction) * rows).cast("long")), names)
+
+
+def _met(left: DataFrame, edges: DataFrame, own: Sequence[str], names: Sequence[str], test: Column) -> DataFrame:
+    same = [F.col(name).eqNullSafe(F.col(f"_edge{of}")) for name, of in zip(own, names)]
+    return left.join(edges, reduce(lambda a, b: a & b, same, test))
+
+
+def sample_cuts(
+    drawn: DataFrame, fraction: float, strata: Sequence[str] = (), edges: DataFrame | None = None
+) -> DataFrame:
     """One row per non-empty sample: ``_of_<stratum>``, ``_cut``, ``_at_cut``, ``_copies``.
 
     ``drawn`` holds the strata and a ``_draw`` per row. ``_copies`` rows have the cut as
-    their draw; ``_at_cut`` of them are in the sample.
+    their draw; ``_at_cut`` of them are in the sample. With known ``first_edges`` only
+    rows with the edge prefixes have to be there.
     """
     fraction = check_fraction(fraction)
     names = [f"_of_{name}" for name in strata]
@@ -66,60 +115,24 @@ def sample_cuts(drawn: DataFrame, fraction: float, strata: Sequence[str] = ()) -
         *(F.col(f"`{name}`").alias(alias) for name, alias in zip(strata, names)), "_draw"
     )
 
-    stratum = Window.partitionBy(*names)
-
-    def crossing(counted: DataFrame, order: str) -> DataFrame:
-        """The row in which the running count reaches ``_take``; ``_left`` remain in it."""
-        upto = F.sum("_n").over(stratum.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-        return (
-            counted.withColumn("_before", upto - F.col("_n"))
-            .filter(
-                (F.col("_before") < F.col("_take"))
-                & (F.col("_before") + F.col("_n") >= F.col("_take"))
-            )
-            .withColumn("_left", F.col("_take") - F.col("_before"))
-        )
-
     def at_edge(edges: DataFrame, digits: int) -> DataFrame:
         """The draws that begin with their stratum's edge prefix."""
-        return draws.join(
-            edges,
-            reduce(
-                lambda a, b: a & b,
-                [F.col(name).eqNullSafe(F.col(f"_edge{name}")) for name in names],
-                F.substring("_draw", 1, digits) == F.col("_edge_prefix"),
-            ),
-        )
-
-    def edges_of(counted: DataFrame) -> DataFrame:
-        return measured(
-            crossing(counted, "_prefix").select(
-                *(F.col(name).alias(f"_edge{name}") for name in names),
-                F.col("_prefix").alias("_edge_prefix"),
-                F.col("_left").alias("_take"),
-                F.col("_n").alias("_rows"),
-            )
-        )
+        return _met(draws, edges, names, names, F.substring("_draw", 1, digits) == F.col("_edge_prefix"))
 
     digits = PREFIX_DIGITS
-    edges = edges_of(
-        draws.groupBy(*names, F.substring("_draw", 1, digits).alias("_prefix"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_take", F.floor(F.lit(fraction) * F.sum("_n").over(stratum)).cast("long")
-        )
-    )
+    if edges is None:
+        edges = first_edges(prefix_counts(drawn, strata), fraction, strata)
     while digits < DRAW_DIGITS and (edges.agg(F.max("_rows")).first()[0] or 0) > EDGE_ROWS:
         longer = at_edge(edges, digits)
         digits += PREFIX_DIGITS
         prefix = F.substring("_draw", 1, digits).alias("_prefix")
-        wider, edges = edges, edges_of(
-            longer.groupBy(*names, prefix, "_take").agg(F.count(F.lit(1)).alias("_n"))
+        wider, edges = edges, _edges(
+            longer.groupBy(*names, prefix, "_take").agg(F.count(F.lit(1)).alias("_n")), names
         )
         wider.unpersist()
     per_draw = at_edge(edges, digits).groupBy(*names, "_draw", "_take").agg(F.count(F.lit(1)).alias("_n"))
     cuts = measured(
-        crossing(per_draw, "_draw").select(
+        _crossing(per_draw, names, "_draw").select(
             *names,
             F.col("_draw").alias("_cut"),
             F.col("_left").alias("_at_cut"),
@@ -136,21 +149,37 @@ def exact_sample(
     seed: int,
     strata: Sequence[str] = (),
     stage_rows: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Exactly ``floor(fraction * n)`` rows of every stratum, without replacement.
 
     With ``stage_rows`` whole rows are staged with their draws: right for few or narrow rows
     behind joins or a filter, which are then computed once. Otherwise only strata and draws
-    are, and the input is read a second time for the result.
+    are, and the input is read a second time for the result. With ``counts`` known
+    (``prefix_counts`` by strata of these rows and draws, or of parts of them) the input is read
+    once, and only rows up to the prefix of the cut are staged, hardly more than the sample.
     """
     fraction = check_fraction(fraction)
     columns = df.columns
     drawn = df.withColumn("_draw", draw_of(df, columns, seed))
     narrow = [*(f"`{name}`" for name in strata), "_draw"]
-    if stage_rows:
+    edges = None
+    if counts is not None:
+        edges, names = first_edges(counts, fraction, strata), [f"_of_{name}" for name in strata]
+        own = [f"`{name}`" for name in strata]
+        upto = F.substring("_draw", 1, PREFIX_DIGITS) <= F.col("_edge_prefix")
+        if strata:
+            near = _met(drawn, edges, own, names, upto)
+        else:
+            edge = edges.first()
+            near = drawn.filter(F.substring("_draw", 1, PREFIX_DIGITS) <= F.lit(edge and edge["_edge_prefix"]))
+        near = near.select(*(f"`{name}`" for name in columns), "_draw")
+        drawn = staged(near, "drawn-to-the-edge")
+    elif stage_rows:
         drawn = staged(drawn, "drawn-rows")
-    facts = drawn.select(*narrow) if stage_rows else staged(drawn.select(*narrow), "draws")
-    cuts = sample_cuts(facts, fraction, strata)
+    whole_rows = stage_rows or counts is not None
+    facts = drawn.select(*narrow) if whole_rows else staged(drawn.select(*narrow), "draws")
+    cuts = sample_cuts(facts, fraction, strata, edges)
     if strata:
         met = drawn.join(cuts, same_stratum(drawn, cuts, strata))
     else:

@@ -21,7 +21,9 @@ from ..operators.sampling import (
     sample_cuts,
 )
 from ..session import scratch_scope, staged
+from ..sources.by_key import KeyedRows
 from ..sources.tables import read_plain_csv, write_csv
+from .summaries import Summary, draw_counts, sample_from_counts
 
 KEY = "contract_award_unique_key"
 VALUE = "current_total_value_of_award"
@@ -94,6 +96,19 @@ def stratified_sample(
     return exact_sample(awards.select(*INITIAL_COLUMNS), fraction, seed, [STRATUM], stage_rows=True)
 
 
+def sample_counts(seed: int = SEED) -> Summary:
+    """What ``summaries.refresh`` keeps per drop file, so that a sample reads a dataset once."""
+    counts = draw_counts(INITIAL_COLUMNS, seed, [STRATUM])
+    return lambda rows, per: counts(clean_awards(rows), per)
+
+
+def sample_by_counts(
+    awards: DataFrame, counts: DataFrame, fraction: float = FRACTION, seed: int = SEED
+) -> DataFrame:
+    """``stratified_sample``, its cuts taken from the ``sample_counts`` kept of the dataset."""
+    return sample_from_counts(awards.select(*INITIAL_COLUMNS), counts, fraction, seed, [STRATUM])
+
+
 def build_subset(
     rows: DataFrame,
     fraction: float = FRACTION,
@@ -154,6 +169,22 @@ def subset_with_totals(rows: DataFrame, **options) -> DataFrame:
     return attach_totals(subset_rows(rows, **options), rows, KEY, award_totals())
 
 
+def subset_by_layout(rows: KeyedRows, columns: Sequence[str], **options) -> DataFrame:
+    """All transactions of the awards that the subset holds, with these columns.
+
+    The layout is by award key: only keys are shuffled, no transaction is.
+    """
+    keys = staged(subset_rows(rows.rows(INITIAL_COLUMNS), **options).select(KEY).distinct(), "keys")
+    return rows.of_keys(keys, columns)
+
+
+def subset_with_kept_totals(rows: KeyedRows, **options) -> DataFrame:
+    """``subset_with_totals`` over a layout by award key."""
+    chosen = staged(subset_rows(rows.rows(INITIAL_COLUMNS), **options), "subset")
+    summed = ["total_dollars_obligated", "action_date_fiscal_year"]
+    return chosen.join(rows.totals(award_totals(), summed, chosen), KEY, "left")
+
+
 def subset_job(spark: SparkSession, csv_in: str, csv_out: str, **options) -> None:
     """From a CSV file of transactions to a CSV file of their subset.
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quantiles import Proposal
+from ..operators.sampling import draw_of, exact_sample, prefix_counts
 from ..sources import snapshots
 from ..sources.drops import LINEAGE
 from ..sources.schema_json import stored_schema
@@ -116,3 +117,41 @@ def proposal(sketches: DataFrame, column: str) -> Proposal:
         return list(one.select(*asked).first())
 
     return Proposal(whole["rows"], whole["low"], whole["high"], likely)
+
+
+OF_DRAWS = "of_draws"
+
+
+def draw_counts(columns: Sequence[str], seed: int, strata: Sequence[str] = ()) -> Summary:
+    """Per file, stratum and first digits of the draw over ``columns``: rows.
+
+    At most 65,536 rows per file and stratum. ``of_draws`` tells what the draws are made of, the
+    columns' types included, so that counts of other draws are never added up with these.
+    """
+
+    def counts(rows: DataFrame, per: Sequence[str]) -> DataFrame:
+        drawn = rows.withColumn("_draw", draw_of(rows, columns, seed))
+        told = _made_of(rows, columns, seed)
+        return prefix_counts(drawn, [*dict.fromkeys([*per, *strata])]).withColumn(OF_DRAWS, F.lit(told))
+
+    return counts
+
+
+def _made_of(rows: DataFrame, columns: Sequence[str], seed: int) -> str:
+    kinds = dict(rows.dtypes)
+    return "|".join([str(seed), *(f"{name} {kinds[name]}" for name in columns)])
+
+
+def sample_from_counts(
+    rows: DataFrame, counts: DataFrame, fraction: float, seed: int, strata: Sequence[str] = ()
+) -> DataFrame:
+    """``exact_sample`` of the rows of a dataset, by the counts kept of its files.
+
+    The columns of ``rows`` are those the draws were made of. The cuts come from the counts, so
+    the dataset is read once; counts of another seed, other columns or types are an error.
+    """
+    told = _made_of(rows, rows.columns, seed)
+    other = counts.filter(~F.col(OF_DRAWS).eqNullSafe(F.lit(told))).select(OF_DRAWS).first()
+    if other is not None:
+        raise ValueError(f"counts are of the draws {other[0]!r}, not {told!r}")
+    return exact_sample(rows, fraction, seed, strata, counts=counts)

@@ -22,6 +22,7 @@ from .plans import funding, options, outlays, series, subset, summaries
 from .plans.ingest import ingest, read_outlay_drops
 from .session import scratch_dir, staged
 from .sources import snapshots
+from .sources.by_key import read_by_key, write_by_key
 from .sources.cells import type_cells
 from .sources.drops import read_drops, rows_per_file, year_directories
 from .sources.schema_json import schema_from_text
@@ -1200,3 +1201,46 @@ def quantiles_from_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["quantiles_from_sketches"] = quantiles_from_sketches
 ORACLES["quantiles_from_sketches"] = _with_changed_awards(f"{SQL_CLEAN} SELECT low, high FROM q")
+
+
+def sample_from_kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stratified sample, its cuts from counts kept per file, after some files were replaced."""
+    summary = scratch_dir(spark, "draws")
+    output, _ = _changed_dataset(spark, sf_dir, summary, subset.sample_counts())
+    counts = summaries.read_summary(spark, output, summary)
+    return subset.sample_by_counts(subset.clean_awards(read_awards(spark, output)), counts)
+
+
+QUERIES["sample_from_kept_counts"] = sample_from_kept_counts
+ORACLES["sample_from_kept_counts"] = _with_changed_awards(f"{SQL_SAMPLE} SELECT * FROM s")
+
+
+# ---- a layout by award key -----------------------------------------------------------------
+
+
+def _by_award(spark: SparkSession, sf_dir: str, **options):
+    """A dataset laid out by award key, opened again as another job would."""
+    dataset, path = scratch_dir(spark, "awards"), scratch_dir(spark, "by-award")
+    write_awards(_award_lines(spark, sf_dir), dataset, atomic=True)
+    commit = snapshots.current(spark, dataset)
+    write_by_key(read_awards(spark, dataset), path, subset.KEY, of_commit=commit, **options)
+    return read_by_key(spark, path, dataset)
+
+
+def subset_by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions of the awards in the subset, without a shuffle of transactions."""
+    return subset.subset_by_layout(_by_award(spark, sf_dir), [subset.KEY, *REST])
+
+
+QUERIES["subset_by_layout"] = subset_by_layout
+ORACLES["subset_by_layout"] = ORACLES["subset_semi_join"]
+
+
+def award_totals_by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subset rows with the totals of their awards, those of the longest awards apart."""
+    rows = _by_award(spark, sf_dir, buckets=16, heavy_rows=6)
+    return rounded(subset.subset_with_kept_totals(rows), award_obligated=4)
+
+
+QUERIES["award_totals_by_layout"] = award_totals_by_layout
+ORACLES["award_totals_by_layout"] = ORACLES["award_totals_left_join"]

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from awardlens.operators.quantiles import Proposal, quantiles
+from awardlens.operators.sampling import exact_sample
 from awardlens.plans import funding, summaries
 from awardlens.sources import snapshots
-from awardlens.sources.tables import write_awards
+from awardlens.sources.tables import read_awards, write_awards
 
 
 def rows(spark, *years, files=("01", "a b"), scale=1.0):
@@ -103,3 +104,55 @@ def test_wrong_guesses_only_take_longer(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
     wild = Proposal(1000, 0.0, 999.0, lambda shares: [-5.0, 2000.0, 1.0])
     assert quantiles(df, "v", [0.3], pick_limit=5, proposal=wild) == quantiles(df, "v", [0.3])
+
+
+SAMPLED = ["award_type", "naics_code", "federal_action_obligation"]
+
+
+@pytest.mark.parametrize("strata", [[], ["award_type", "naics_code"]])
+def test_sample_from_counts_of_two_drops_is_that_of_their_union(spark, paths, strata):
+    dataset, summary = paths
+    counts_of = summaries.draw_counts(SAMPLED, 5, strata)
+    write_awards(rows(spark, 2001, 2002), dataset, atomic=True)
+    summaries.refresh(spark, dataset, summary, counts_of)
+    write_awards(rows(spark, 2002, 2003, scale=3.0), dataset, atomic=True)
+    assert summaries.refresh(spark, dataset, summary, counts_of).count() == 4
+    whole = rows(spark, 2001, 2002).filter("year = '2001'").union(rows(spark, 2002, 2003, scale=3.0)).select(*SAMPLED)
+    counts = summaries.read_summary(spark, dataset, summary)
+    for fraction in (0.0005, 0.37, 1.0):
+        kept = summaries.sample_from_counts(read_awards(spark, dataset, SAMPLED), counts, fraction, 5, strata)
+        expected = exact_sample(whole, fraction, 5, strata)
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_counts_with_long_edges(spark, paths, monkeypatch):
+    monkeypatch.setattr("awardlens.operators.sampling.EDGE_ROWS", 1)
+    monkeypatch.setattr("awardlens.operators.sampling.PREFIX_DIGITS", 1)
+    dataset, summary = paths
+    write_awards(rows(spark, 2001), dataset, atomic=True)
+    summaries.refresh(spark, dataset, summary, summaries.draw_counts(SAMPLED, 5, ["award_type"]))
+    counts = summaries.read_summary(spark, dataset, summary)
+    kept = summaries.sample_from_counts(read_awards(spark, dataset, SAMPLED), counts, 0.3, 5, ["award_type"])
+    expected = exact_sample(rows(spark, 2001).select(*SAMPLED), 0.3, 5, ["award_type"])
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_counts_of_other_draws_are_refused(spark, paths):
+    dataset, summary = paths
+    write_awards(rows(spark, 2001), dataset, atomic=True)
+    summaries.refresh(spark, dataset, summary, summaries.draw_counts(SAMPLED, 5))
+    counts = summaries.read_summary(spark, dataset, summary)
+    whole = read_awards(spark, dataset, SAMPLED)
+    for other in (whole.select(SAMPLED[0]), whole.withColumn("naics_code", F.col("naics_code").cast("int"))):
+        with pytest.raises(ValueError, match="draws"):
+            summaries.sample_from_counts(other, counts, 0.1, 5)
+    with pytest.raises(ValueError, match="draws"):
+        summaries.sample_from_counts(whole, counts, 0.1, 6)
+
+
+def test_sample_of_a_dataset_without_rows(spark, paths):
+    dataset, summary = paths
+    write_awards(rows(spark, 2001), dataset, atomic=True)
+    summaries.refresh(spark, dataset, summary, summaries.draw_counts(SAMPLED, 5))
+    none = summaries.read_summary(spark, dataset, summary).limit(0)
+    assert summaries.sample_from_counts(read_awards(spark, dataset, SAMPLED).limit(0), none, 0.1, 5).isEmpty()
