@@ -28,6 +28,43 @@ _BSD_NAMES = (
     " Neither the name of the copyright holder nor the names of its contributors may be used to"
     " endorse or promote products derived from this software without specific prior written permission."
 )
+_MIT_DISCLAIMER = (
+    " THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT"
+    " NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND"
+    " NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,"
+    " DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,"
+    " OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC_DISCLAIMER = (
+    " THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS"
+    " SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE"
+    " AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES"
+    " WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,"
+    " NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE"
+    " OF THIS SOFTWARE."
+)
+_BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR"
+    " IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND"
+    " FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR"
+    " CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL"
+    " DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,"
+    " DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER"
+    " IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT"
+    " OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_GRANT = (
+    f"{_PERMISSION}, including without limitation the rights to use, copy, modify, merge, publish,"
+    " distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom"
+    " the Software is furnished to do so, subject to the following conditions: The above copyright"
+    " notice and this permission notice shall be included in all copies or substantial portions of"
+    " the Software."
+)
+_ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
+    " without fee is hereby granted, provided that the above copyright notice and this permission"
+    " notice appear in all copies."
+)
 
 
 def _gnu(kind: str, version: str, thing: str = "This program") -> list[str]:
@@ -72,17 +109,13 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         "The MIT License (MIT)",
         f"{_PERMISSION}.",
-        f"{_PERMISSION}, including without limitation the rights to use, copy, modify, merge, publish,"
-        " distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom"
-        " the Software is furnished to do so, subject to the following conditions: The above copyright"
-        " notice and this permission notice shall be included in all copies or substantial portions of"
-        " the Software.",
+        _MIT_GRANT,
+        _MIT_GRANT + _MIT_DISCLAIMER,
     ],
     "ISC": [
         "Released under the ISC License.",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
-        " without fee is hereby granted, provided that the above copyright notice and this permission"
-        " notice appear in all copies.",
+        _ISC_GRANT,
+        _ISC_GRANT + _ISC_DISCLAIMER,
     ],
     "GPL-3.0": _gnu("", "3"),
     "GPL-2.0": _gnu("", "2"),
@@ -96,8 +129,12 @@ TEMPLATES = {
         " https://mozilla.org/MPL/2.0/.",
         "Mozilla Public License Version 2.0",
     ],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD_CLAUSES],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", _BSD_CLAUSES + _BSD_NAMES],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD_CLAUSES, _BSD_CLAUSES + _BSD_DISCLAIMER],
+    "BSD-3-Clause": [
+        "Released under the BSD 3-Clause License.",
+        _BSD_CLAUSES + _BSD_NAMES,
+        _BSD_CLAUSES + _BSD_NAMES + _BSD_DISCLAIMER,
+    ],
     "CC-BY-4.0": _creative("Attribution", "BY"),
     "CC-BY-SA-4.0": _creative("Attribution-ShareAlike", "BY-SA"),
     "CC-BY-NC-4.0": _creative("Attribution-NonCommercial", "BY-NC"),
@@ -117,11 +154,23 @@ _WORDS = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
 _SENTENCES = re.compile(r".+?(?:[.!?]+(?=\s|$)|$)")
 _STOP = re.compile(r"[.!?]+(?=\s|$)")
 _WHITE = re.compile(r"\s")
-#: Words that tell licences apart: a notice has none that its template lacks.
+#: Words that tell licences apart or deny one: a notice has none that its template lacks.
 NAMES = frozenset(
     "apache mit isc bsd endorse gpl lgpl agpl lesser library affero mozilla mpl"
-    " sharealike sa noncommercial nc noderivatives nd cc0".split()
+    " sharealike sa noncommercial nc noderivatives nd cc0 not never neither nor cannot".split()
+)
+#: A denial that goes on into what follows, over line ends and the marks of comments.
+_DENIED = re.compile(
+    r"(?:\b(?:not|never|neither|nor|cannot|no[\s#*/]+longer)|n['\u2019]t)"
+    r"(?:[\s#*/]+(?:a|an|and|are|available|be|been|being|currently|distributed|explicitly|is|it|licensed"
+    r"|made|or|provided|published|released|the|this|under|was|were|yet))*[\s#*/\"'(\u201c]*\Z",
+    re.IGNORECASE,
 )
+#: Characters before a notice in which a denial of it is looked for.
+_DENIAL_SPAN = 200
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*")
+_OPERAND = re.compile(r"[ \t(]*([a-z0-9][\w.+:-]*)[ \t)]*")
+_OPERATOR = re.compile(r"(and|or|with)(?=[ \t(])")
 
 
 def bigrams(text: str) -> Counter:
@@ -257,7 +306,8 @@ class LicenseScanner:
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """Start, end, licence and coefficient of the notices, in order.
 
-        Marks beside the words belong to a notice up to the end of its line or sentence.
+        A notice that is denied right before it is none. An SPDX expression gives every
+        licence in it, each with its own place.
         """
         lower = text.lower()
         if len(lower) != len(text):  # a few letters change their length; offsets must not
@@ -265,6 +315,45 @@ class LicenseScanner:
         taken = self.windows(self._numbers(lower))
         if not taken:
             return []
+        found = self._spans(text, lower, taken)
+        found = [hit for hit in found if not _DENIED.search(text, max(0, hit[0] - _DENIAL_SPAN), hit[0])]
+        combined = self._expressions(lower)
+        begins = [start for start, *_ in combined]
+        kept = []
+        for hit in found:
+            k = bisect.bisect_left(begins, hit[1])
+            if not k or combined[k - 1][1] <= hit[0]:
+                kept.append(hit)
+        return sorted(kept + [hit for *_, hits in combined for hit in hits])
+
+    def _expressions(self, lower: str) -> list[tuple[int, int, list]]:
+        """Start, end and notices of the SPDX lines that combine several identifiers.
+
+        Each licence of an expression is compared as if it stood alone in its line; what
+        follows WITH is an exception to the licence before, and none itself.
+        """
+        out = []
+        for match in _SPDX.finditer(lower):
+            at, operands, before = match.end(), [], "or"
+            while operand := _OPERAND.match(lower, at):
+                operands.append((before, *operand.span(1)))
+                operator = _OPERATOR.match(lower, operand.end())
+                if not operator:
+                    break
+                before, at = operator.group(1), operator.end()
+            if len(operands) < 2:
+                continue
+            hits = []
+            for before, start, end in operands:
+                alone = self._numbers(match.group() + lower[start:end])
+                nearest = [] if before == "with" else self.windows(alone)
+                hits += [(start, end, self.templates[t].license, value) for *_, t, value in nearest[:1]]
+            out.append((match.start(), operands[-1][2], hits))
+        return out
+
+    def _spans(self, text: str, lower: str, taken: list[tuple]) -> list[tuple[int, int, str, float]]:
+        """The windows as characters; marks beside them belong to a notice up to the end of its
+        line or sentence."""
         wanted = {k for first, end, *_ in taken for k in (first - 1, first, end - 1, end)}
         spans = {k: match.span() for k, match in enumerate(_WORDS.finditer(lower)) if k in wanted}
         found = []
@@ -309,7 +398,9 @@ def scan_licenses(
     coefficient of its word bigrams with the nearest template. A notice is any window of
     words of the whole text, line ends being white space, that begins and ends with a
     bigram of the template, has the template's version numbers and none of the ``NAMES``
-    it lacks. Notices don't overlap: those that share most bigrams come first.
+    it lacks. Notices don't overlap: those that share most bigrams come first. An SPDX
+    expression with AND, OR or WITH gives each of its licences, compared as if alone. A
+    notice that a denial leads into ("not licensed under") is left out.
 
     Texts without notices, null and empty ones have an empty list. Rows are independent:
     nothing is shuffled, repeated rows give a row each, a null ``doc_id`` stays null, an

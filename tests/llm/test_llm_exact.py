@@ -623,6 +623,89 @@ def test_a_version_without_template_is_not_named():
     assert scanner.scan("Licensed under the Apache License, Version 1.1.") == []
 
 
+def names(text):
+    return [hit[2] for hit in licenses.LicenseScanner(licenses.TEMPLATES, 0.8).scan(text)]
+
+
+@pytest.mark.parametrize(
+    ("expression", "expected"),
+    [
+        ("(MIT OR Apache-2.0)", ["MIT", "Apache-2.0"]),
+        ("Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]),
+        ("MIT AND (BSD-3-Clause OR ISC)", ["MIT", "BSD-3-Clause", "ISC"]),
+        ("GPL-2.0-or-later WITH Classpath-exception-2.0", ["GPL-2.0"]),
+        ("GPL-2.0-only WITH Linux-syscall-note OR MIT", ["GPL-2.0", "MIT"]),
+        ("LicenseRef-own OR MPL-2.0", ["MPL-2.0"]),
+        ("mit or cc0-1.0", ["MIT", "CC0-1.0"]),
+        ("MIT OR MIT", ["MIT", "MIT"]),
+        ("MIT", ["MIT"]),
+        ("MIT OR", ["MIT"]),
+        ("()", []),
+    ],
+)
+def test_spdx_expressions_name_every_licence(expression, expected):
+    text = f"// SPDX-License-Identifier: {expression}\nint x;\nReleased under the ISC License."
+    found = licenses.LicenseScanner(licenses.TEMPLATES, 0.8).scan(text)
+    assert [hit[2] for hit in found] == [*expected, "ISC"]
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    if len(expected) > 1:
+        assert [text[a:b] for a, b, *_ in found][0].lower().startswith(expected[0].lower())
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Not licensed under the MIT License.",
+        "This file is not\n# licensed under the Apache License, Version 2.0.",
+        "This code isn't released under the MIT License",
+        "It is no longer licensed under the GNU General Public License v3.",
+        "This work is not licensed under the GNU General Public License, version 3.",
+        "It was never licensed or released under the ISC License.",
+    ],
+)
+def test_denied_notices_are_none(text):
+    assert names(text) == []
+    assert names(f"{text} Released under the BSD 2-Clause License.") == ["BSD-2-Clause"]
+
+
+def test_a_denial_of_something_else_leaves_a_notice():
+    assert names("Do not copy this. Licensed under the MIT License.") == ["MIT"]
+    assert names("Why not? Released under the MIT License.") == ["MIT"]
+    assert names(
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file"
+        " except in compliance with the License."
+    ) == ["Apache-2.0"]
+
+
+def wrapped(text, lead):
+    out, line = [], lead
+    for word in text.split():
+        if len(line) + len(word) > 70:
+            out, line = [*out, line], lead
+        line += " " + word
+    return "\n".join([*out, line])
+
+
+@pytest.mark.parametrize("lead", ["", " *"])
+@pytest.mark.parametrize(
+    ("name", "body"),
+    [
+        ("MIT", licenses._MIT_GRANT + licenses._MIT_DISCLAIMER),
+        ("ISC", licenses._ISC_GRANT + licenses._ISC_DISCLAIMER),
+        ("BSD-2-Clause", licenses._BSD_CLAUSES + licenses._BSD_DISCLAIMER),
+        ("BSD-3-Clause", licenses._BSD_CLAUSES + licenses._BSD_NAMES + licenses._BSD_DISCLAIMER),
+    ],
+)
+def test_a_licence_is_one_notice_from_start_to_end(name, body, lead):
+    text = "Copyright (c) 2020 Somebody\n\n" + wrapped(body, lead) + "\n\nimport x\n"
+    text = text.replace("AS IS", '"AS IS"').replace("HOLDER OR", "OWNER OR")
+    (found,) = licenses.LicenseScanner(licenses.TEMPLATES, 0.8).scan(text)
+    words = body.split()
+    assert found[2] == name and found[3] > 0.9
+    covered = text[found[0] : found[1]].split()
+    assert words[1] in covered[:4] and words[-1] in covered[-2:]
+
+
 # ---- 10 token counts ---------------------------------------------------------------------
 
 
