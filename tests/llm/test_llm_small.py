@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 
@@ -150,3 +151,69 @@ def test_tokens_of_odd_rows(odd):
     assert [(row.n_tokens, row.end) for row in rows if row.doc_id == 1] == [(0, 0)]
     with pytest.raises(ValueError):
         token_counts.count_tokens(odd, BYTES, public_tokenizers.PATTERN, rule="half")
+
+
+@pytest.fixture(scope="module")
+def network(spark):
+    plain = [(k, f"a calm note on gardens, rivers and trees, number {k % 40}", "en") for k in range(200)]
+    rude = [(1000 + k, f"you vile stupid fool, get lost, number {k % 40}", "en") for k in range(200)]
+    docs = spark.createDataFrame(plain + rude, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k >= 1000)) for k, *_ in plain + rude], "doc_id long, toxic int")
+    return toxicity.fit(docs, labels)
+
+
+def test_odd_rows_through_a_trained_network(spark, odd, network):
+    assert network is not None
+    rows = toxicity.score(odd, network).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == IDS
+    assert all(0 <= r.score <= 1 for r in rows)
+    alike = {r.score for r in rows if r.doc_id in (4, None)}
+    assert len(alike) == 1  # repeated texts, whatever their id
+    assert toxicity.score(spark.createDataFrame([], SCHEMA), network).count() == 0
+
+
+def test_toxic_rows_go_whatever_their_id(spark, network):
+    rude, calm = "you vile stupid fool, get lost, number 3", "a calm note on gardens, rivers and trees, number 3"
+    rows = [(1, rude), (1, calm), (None, rude), (None, calm), (2, None), (3, ""), (4, calm), (4, calm)]
+    docs = spark.createDataFrame([(*row, "x") for row in rows], "doc_id long, text string, score string")
+    kept = toxicity.drop_toxic(docs, network)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        (doc or 0, text or "") for doc, text in rows if text != rude
+    )
+
+
+def chain(spark, docs, sf_dir, folder):
+    """What the stages leave, one after the other, written and read again as a run does."""
+    left = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, left[-1], sf_dir).write.parquet(f"{folder}/{name}")
+        left.append(spark.read.parquet(f"{folder}/{name}"))
+    return left
+
+
+def test_the_pipeline_on_odd_rows(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    english = given.where("lang = 'en' AND length(text) BETWEEN 600 AND 3000").orderBy("doc_id")
+    plain = english.first().text
+    rows = [(None, plain), (None, plain), (10**9, plain), (10**9, plain + " again"), (10**9 + 1, None)]
+    rows += [(10**9 + 2, ""), (None, None), (10**9 + 3, "12 34 !!"), (10**9 + 4, LONG), (10**9 + 4, LONG)]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = given.unionByName(more, allowMissingColumns=True).repartition(4)
+    left = chain(spark, docs, sf_dir, str(tmp_path))
+    assert all(stage.columns == docs.columns for stage in left[:-1])
+    counts = [stage.count() for stage in left[:-1]]
+    assert counts == sorted(counts, reverse=True) and counts[-1] > 0
+    last = {(r.doc_id, r.text) for r in left[-2].select("doc_id", "text").collect()}
+    assert len(last) == counts[-1]  # of equal rows one is left
+    assert not {text for _, text in last} & {None, "", "12 34 !!"}  # no language
+    assert sum(text in (plain, plain + " again") for _, text in last) == 1
+    packed = {r.doc_id for r in left[-1].select("doc_id").collect()}
+    assert packed == {doc for doc, _ in last}
+
+
+def test_the_pipeline_without_rows(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.001"
+    none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    assert [stage.count() for stage in chain(spark, none, sf_dir, str(tmp_path))] == [0] * 6
