@@ -18,6 +18,7 @@ import csv
 import hashlib
 import io
 import logging
+import math
 import re
 import sys
 from collections.abc import Iterator, Sequence
@@ -287,7 +288,7 @@ def _unpack_run(run: dict) -> Iterator[dict]:
     line end is a piece of the seam as a whole. Pieces are bytes: a seam may cut a character.
     """
     here = {"year": run["year"], "uri": run["uri"], "run": run["run"]}
-    text = here | {"layout": layout_of(run["header"])}
+    text = here | {"layout": run["layout"]}
     rows, error, ends, first = 0, None, False, run["run"] == 0
     try:
         source = _Decompressed(run["uri"], run["offset"], run["length"])
@@ -329,6 +330,16 @@ def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def run_tasks(runs: DataFrame, range_bytes: int) -> int:
+    """Tasks that unpack the runs: one each where they are large, else as many as their bytes are worth.
+
+    A few for every core at least, so that short runs are dealt evenly too.
+    """
+    number, packed = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    worth = math.ceil(packed / max(range_bytes, RANGE_BYTES))
+    return max(1, min(number, max(4 * runs.sparkSession.sparkContext.defaultParallelism, worth)))
+
+
 def unpack(
     files: DataFrame, required: Sequence[str] = (), range_bytes: int = RANGE_BYTES
 ) -> tuple[DataFrame, DataFrame]:
@@ -357,11 +368,11 @@ def unpack(
         return table.filter(F.col("layout") == FILES_LAYOUT).select(*FILE_COLUMNS), table
 
     index = staged(large.mapInArrow(looked_up, RANGES_SCHEMA), "frames")
+    named = F.sha1(F.array_join("header", "\0").cast("binary"))
     runs = index.filter(F.col("error").isNull()).select(
-        "year", "uri", "header", "skip", F.posexplode("ranges").alias("run", "range")
-    ).select("year", "uri", "header", "skip", "run", "range.offset", "range.length")
-    # One run is enough work for a task.
-    dealt = runs.coalesce(1).repartition(max(1, runs.count()))
+        "year", "uri", named.alias("layout"), "skip", F.posexplode("ranges").alias("run", "range")
+    ).select("year", "uri", "layout", "skip", "run", "range.offset", "range.length")
+    dealt = runs.repartitionByRange(run_tasks(runs, range_bytes), "uri", "run")
     rows = rows.unionByName(dealt.mapInArrow(run_unpacked, UNPACKED_SCHEMA))
     table = staged(rows, "drops", partition_by=["layout"])
 
@@ -383,7 +394,6 @@ def unpack(
     )
     listed = table.filter(F.col("layout") == FILES_LAYOUT).select(*FILE_COLUMNS)
     files = staged(listed.unionByName(large_files.select(*FILE_COLUMNS)), "files")
-    named = F.sha1(F.array_join("header", "\0").cast("binary"))
     lines = seams.filter(~F.col("bad")).join(layouts, "uri").select(
         named.alias("layout"), "year", "uri", F.col("raw").cast("string").alias("text")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from awardlens.plans.ingest import ingest
 from awardlens.plans.outlays import throughput
 from awardlens.sources import drops, frames
-from awardlens.sources.drops import read_drops
+from awardlens.sources.drops import RANGE_BYTES, read_drops, run_tasks
 from awardlens.sources.schema_json import schema_from_text
 from awardlens.sources.tables import read_awards
 
@@ -197,3 +197,12 @@ def test_throughput_of_a_drop(spark, tmp_path):
     assert throughput(files, 0.0).first()["rows_per_second"] is None
     none = throughput(files.filter(F.lit(False)), 1.0).first()
     assert none["rows_read"] == 0 and none["bytes_per_second"] == 0
+
+
+def test_short_runs_share_tasks(spark):
+    runs = spark.range(5000).select(F.lit(10_000).cast("long").alias("length"))
+    few = run_tasks(runs, 10_000)
+    assert few == 4 * spark.sparkContext.defaultParallelism
+    assert run_tasks(spark.range(3).select(F.lit(RANGE_BYTES).alias("length")), RANGE_BYTES) == 3
+    large = spark.range(500).select(F.lit(RANGE_BYTES).cast("long").alias("length"))
+    assert run_tasks(large, RANGE_BYTES) == 500
