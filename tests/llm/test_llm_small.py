@@ -217,3 +217,18 @@ def test_the_pipeline_without_rows(spark, tmp_path):
     sf_dir = "/root/testdata/sf0.001"
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     assert [stage.count() for stage in chain(spark, none, sf_dir, str(tmp_path))] == [0] * 6
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    def no_sample(*_, **__):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(toxicity, "bounded_sample", no_sample)
+    monkeypatch.setattr(toxicity, "PART_DOCS", 80)  # several parts, whose parameters are averaged
+    rows = [(k, f"a calm note on gardens and rivers, number {k}") for k in range(200)]
+    rows += [(1000 + k, f"you vile stupid fool, get lost, number {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 1000)) for k, _ in rows], "doc_id long, toxic int")
+    network = toxicity.fit(docs, labels)
+    found = {row.doc_id: row.score for row in toxicity.score(docs, network).collect()}
+    assert all((score >= toxicity.CUT) == (doc_id >= 1000) for doc_id, score in found.items())
