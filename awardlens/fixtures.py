@@ -58,19 +58,34 @@ def write_drop_files(
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
         import zstandard
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
         current, sink, out = None, None, None
 
+        def parts(batch):
+            """Runs of lines of one file; rows come sorted by file, those without one are left out."""
+            batch = batch.filter(pc.and_(*(pc.is_valid(batch.column(n)) for n in ("year", "file"))))
+            places = batch.select(["year", "file"]).to_struct_array()
+            names = pc.binary_join_element_wise(batch.column("year"), batch.column("file"), "/")
+            ends = pc.run_end_encode(pc.dictionary_encode(names).indices).run_ends.to_pylist()
+            for start, end in zip([0, *ends], ends):
+                place = places[start].as_py()
+                yield (place["year"], place["file"]), batch.column("line").slice(start, end - start)
+
+        def joined(lines):
+            listed = pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines)
+            return pc.binary_join(listed, "\n")[0].as_buffer().to_pybytes() + b"\n"
+
         def close():
             if out is not None:
                 out.close()
                 sink.close()
 
         for batch in batches:
-            for key, part in batch.to_pandas().groupby(["year", "file"], sort=False):
+            for key, part in parts(batch):
                 if key != current:
                     close()
                     current = key
@@ -82,7 +97,7 @@ def write_drop_files(
                     out = zstandard.ZstdCompressor(level=3).stream_writer(sink, closefd=False)
                     out.write(f"{header}\n".encode())
                     yield pa.RecordBatch.from_pydict({"year": [key[0]]})
-                text = ("\n".join(part["line"]) + "\n").encode()
+                text = joined(part)
                 for at in range(0, len(text), frame_bytes or len(text)):
                     out.write(text[at : at + (frame_bytes or len(text))])
                     if frame_bytes:

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..functions.lineage import uri_file_id, uri_name
 from ..operators.keys import union_widened
-from ..session import staged
+from ..session import measured, staged
 from .frames import runs_of, seek_table, walk_frames
 
 log = logging.getLogger(__name__)
@@ -218,6 +218,13 @@ def _header(line: bytes, required: Sequence[str]) -> tuple[list[str], str | None
 _LINE = re.compile(b"[^\r\n]+")
 
 
+def _lines_in(text: bytes) -> int:
+    """Lines that are not empty. Counting line ends will do where none of them can be empty."""
+    if b"\r" in text or b"\n\n" in text or text[:1] == b"\n":
+        return len(_LINE.findall(text))
+    return text.count(b"\n") + (text[-1:] not in (b"", b"\n"))
+
+
 def _chunks(source: io.RawIOBase, held: bytes) -> Iterator[tuple[bytes, bool]]:
     """The text in chunks that end at a line end, and at last what is left."""
     more = True
@@ -249,7 +256,7 @@ def _unpack(file: dict, required: Sequence[str]) -> Iterator[dict]:
         if not found["error"]:
             here = {"layout": layout_of(found["header"]), "year": file["year"], "uri": file["uri"]}
             for chunk, _ in _chunks(source, held):
-                rows += len(_LINE.findall(chunk))
+                rows += _lines_in(chunk)
                 if chunk:
                     yield here | {"text": chunk.decode("utf-8")}
                 offset += len(chunk)
@@ -307,7 +314,7 @@ def _unpack_run(run: dict) -> Iterator[dict]:
                 yield here | {"layout": SEAMS_LAYOUT, "seam": seam, "raw": chunk}
             else:
                 ends = True
-                rows += len(_LINE.findall(chunk))
+                rows += _lines_in(chunk)
                 if chunk:
                     yield text | {"text": chunk.decode("utf-8")}
     except UnicodeDecodeError:
@@ -488,7 +495,8 @@ def read_drops(
     if not headers:
         return Drop(files, None)
     if broken:
-        bad = files.filter(F.col("error").isNotNull()).select("uri")
+        # Broken files are few; with their size known, Spark needn't shuffle the text by file.
+        bad = measured(files.filter(F.col("error").isNotNull()).select("uri"))
         chunks = chunks.join(bad, "uri", "left_anti")
     parsed = [_parse(chunks, header) for header in sorted(headers)]
     rows = union_widened(parsed, fill_missing=True)

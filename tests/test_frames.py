@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from awardlens.plans.ingest import ingest
 from awardlens.plans.outlays import throughput
+from awardlens.session import session_conf
 from awardlens.sources import drops, frames
 from awardlens.sources.drops import RANGE_BYTES, read_drops, run_tasks
 from awardlens.sources.schema_json import schema_from_text
@@ -206,3 +207,19 @@ def test_short_runs_share_tasks(spark):
     assert run_tasks(spark.range(3).select(F.lit(RANGE_BYTES).alias("length")), RANGE_BYTES) == 3
     large = spark.range(500).select(F.lit(RANGE_BYTES).cast("long").alias("length"))
     assert run_tasks(large, RANGE_BYTES) == 500
+
+
+@pytest.mark.parametrize("text", [b"", b"\n", b"a", b"a\n", b"a\nb", b"\na\n", b"a\n\nb\n", b"a\r\nb", b"a\rb\r", b"\n\n"])
+def test_lines_are_counted(text):
+    assert drops._lines_in(text) == len([line for line in text.replace(b"\r", b"\n").split(b"\n") if line])
+
+
+def test_text_is_not_shuffled_for_a_broken_file(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"x_{k}.csv.zst").write_bytes(b"".join(packed(text_of(random.Random(k), 3000), [])))
+    (tmp_path / "cut_4.csv.zst").write_bytes((tmp_path / "x_0.csv.zst").read_bytes()[:-9])
+    with session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "2000"}):
+        drop = read_drops(spark, [("2001", str(tmp_path))])
+        plan = drop.located._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {row[0] for row in drop.rows.select("file").distinct().collect()} == {"0", "1", "2"}
