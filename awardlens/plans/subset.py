@@ -129,7 +129,7 @@ def build_subset(
     if stage_rows:
         drawn = staged(drawn, "subset-rows")
     facts = drawn.select(STRATUM, VALUE, "_draw")
-    facts = facts if stage_rows else staged(facts, "subset-facts")
+    facts = facts if stage_rows else staged(facts, "subset-facts", compression="zstd")
     low, high = value_thresholds(facts, method=quantile_method)
     cuts = sample_cuts(facts, fraction, [STRATUM])
     sampled = F.coalesce(F.col("_draw") <= F.col("_cut"), F.lit(False))
@@ -174,7 +174,9 @@ def subset_by_layout(rows: KeyedRows, columns: Sequence[str], **options) -> Data
 
     The layout is by award key: only keys are shuffled, no transaction is.
     """
-    keys = staged(subset_rows(rows.rows(INITIAL_COLUMNS), **options).select(KEY).distinct(), "keys")
+    # Only keys are asked for, so the subset's rows needn't be made distinct before, nor staged.
+    chosen = build_subset(rows.rows(INITIAL_COLUMNS), **options)
+    keys = staged(chosen.select(KEY).distinct(), "keys")
     return rows.of_keys(keys, columns)
 
 

@@ -71,7 +71,9 @@ def measured(df: DataFrame) -> DataFrame:
     return kept
 
 
-def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def staged(
+    df: DataFrame, name: str, partition_by: Sequence[str] = (), compression: str = "snappy"
+) -> DataFrame:
     """Write ``df`` once as Parquet in the shared scratch folder and read it from there.
 
     For input that several passes read: the passes then scan only the columns they need,
@@ -80,5 +82,5 @@ def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     path = scratch_dir(df.sparkSession, name)
     # A task that writes few folders keeps their files open instead of sorting its rows.
     with session_conf(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "32"}):
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
