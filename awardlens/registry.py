@@ -1111,7 +1111,9 @@ ORACLES["awards_by_range"] = with_awards(
 
 def atomic_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two commits, the second replacing the files of one year, and one that dies on its way."""
-    rows, output = _award_lines(spark, sf_dir), scratch_dir(spark, "awards")
+    # All three commits read the rows: their joins run once.
+    rows = staged(_award_lines(spark, sf_dir), "award-lines", compression="zstd")
+    output = scratch_dir(spark, "awards")
     write_awards(rows, output, atomic=True)
     again = rows.filter("year = '1997'").withColumn("award_type", F.lit("again"))
     write_awards(again, output, atomic=True)
