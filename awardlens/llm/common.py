@@ -51,10 +51,10 @@ def shared_file(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(data)
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def runs(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of about ``RUN_CHARS`` bytes of text, one row at least."""
     for batch in batches:
-        text = batch.column(batch.schema.get_field_index("text"))
+        text = batch.column(batch.schema.get_field_index(text_col))
         start, size = 0, 0
         for row, length in enumerate(pa.compute.binary_length(text).to_pylist()):
             size += length or 0
@@ -74,7 +74,7 @@ def keep_rows(docs: DataFrame, accept: Callable, text_col: str = "text") -> Data
     ship(docs.sparkSession)
 
     def kept(batches):
-        for batch in batches:
+        for batch in runs(batches, text_col):
             column = batch.column(batch.schema.get_field_index(text_col))
             texts = [text or "" for text in column.to_pylist()]
             yield batch.filter(pa.array(accept(texts), pa.bool_()))

@@ -1,5 +1,6 @@
 """Toxicity: a small convolutional network over hashed word embeddings, trained in numpy."""
 
+import math
 import pickle
 import re
 import zlib
@@ -12,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_scope, staged
-from .common import bounded_sample, keep_rows, resident, texts_of
+from ..session import scratch_scope, session_conf, staged
+from .common import bounded_sample, keep_rows, resident, runs, texts_of
 
 WIDTHS = (1, 2, 3)
 #: Scale of the embeddings at first: small, so that rare words stay near nothing.
@@ -32,6 +33,8 @@ MIN_DOCS = 3
 MIN_SHARE = 3 / 2250
 #: Documents that train the network on their own between two averages.
 PART_DOCS = 3000
+#: Parts of long texts hold fewer documents, so many characters on average at most.
+PART_CHARS = 64_000_000
 #: Averages of the parts' parameters, each after all rows were read once.
 ROUNDS = 3
 #: Parameters that are added up together.
@@ -63,14 +66,103 @@ _LANGUAGE_OF = {
 }
 
 
+#: Of the first 256 characters the letters, in lower case, and a blank for all others.
+_LETTERS = "".join(chr(k).lower() if _WORDS.match(chr(k)) else " " for k in range(256)).encode("latin-1")
+
+
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    try:  # most texts have no other characters, and a table is quicker than the pattern
+        return text.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORDS.findall(text.lower())
+
+
+def _bucket(key: str) -> int:
+    return zlib.crc32(key.encode()) & (BUCKETS - 1)
+
+
+def _start_bucket(start: str) -> int:
+    return _bucket(f"{len(start)}{start}")
+
+
+class _Words(dict):
+    """Word -> number of a row with the places of its buckets and its language.
+
+    A word has a bucket of its own and one for each of its beginnings, which inflected forms
+    share; ``place`` tells where a bucket is found, None for one that adds nothing. Words with
+    equal places share a row, so rare words cost little. Row 0 stands for all that add nothing.
+    """
+
+    #: Rows that are remembered, and words in each of two generations.
+    LIMIT, WORDS = 100_000, 200_000
+
+    def __init__(self, place: Callable[[int], int | None]):
+        super().__init__()
+        self.place = place
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old: dict[str, int] = {}
+        self.stems: dict[str, tuple] = {}
+        self.rows = {(): 0}
+        self.new: list[tuple] = []  # rows not handed out yet
+
+    @property
+    def count(self) -> int:
+        """The highest row."""
+        return len(self.rows) - 1
+
+    def full(self) -> bool:
+        """Whether to forget the rows; words not met for long are forgotten here."""
+        if len(self) > self.WORDS:
+            self.old = dict(self)
+            self.clear()
+        if len(self.stems) > self.WORDS:
+            self.stems = {}
+        return self.count > self.LIMIT
+
+    def _beginnings(self, stem: str) -> tuple:
+        """Places of the stem's beginnings, the stem itself the last; found from the one before it."""
+        places = self.stems.get(stem)
+        if places is None:
+            n = len(stem)
+            places = self._beginnings(stem[:-1]) if n > PREFIXES[0] else ()
+            if n in PREFIXES and (at := self.place(_start_bucket(stem))) is not None:
+                places = (*places, at)
+            self.stems[stem] = places
+        return places
+
+    def __missing__(self, word: str) -> int:
+        row = self.old.get(word)
+        if row is None:
+            row = self._row(word)
+        self[word] = row
+        return row
 
+    def _row(self, word: str) -> int:
+        n = len(word) - 1
+        places = self._beginnings(word[: min(n, PREFIXES[-1])]) if n >= PREFIXES[0] else ()
+        own = self.place(_bucket(word))
+        if own is not None:
+            places = (own, *places)
+        language = _LANGUAGE_OF.get(word)
+        key = places if language is None else (*places, -2 - language)
+        row = self.rows.get(key)
+        if row is None:
+            row = self.rows[key] = len(self.rows)
+            none = [-1] * (1 + len(PREFIXES) - len(places))
+            self.new.append((*places, *none, len(LANGUAGES) - 1 if language is None else language))
+        return row
 
-def buckets(word: str) -> list[int]:
-    """Hash buckets of a word: the word, and its beginnings, which inflected forms share."""
-    keys = [word, *(f"{n}{word[:n]}" for n in PREFIXES if n < len(word))]
-    return [zlib.crc32(key.encode()) & (BUCKETS - 1) for key in keys]
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def news(self) -> np.ndarray:
+        """The rows made since the last call: the places, -1 where there are fewer, and the language."""
+        new = np.array(self.new, np.int32).reshape(-1, len(PREFIXES) + 2)
+        self.new = []
+        return new
 
 
 @dataclass
@@ -96,32 +188,23 @@ class Network:
         self._forget()
 
     def fingerprint(self) -> int:
-        return zlib.crc32(self.embedding.tobytes(), zlib.crc32(self.weights.tobytes()))
+        """Of all that decides a score: the thresholds are set after the network was first read with."""
+        return zlib.crc32(pickle.dumps([_flat(self), self.thresholds]))
 
     def _forget(self) -> None:
         """Start anew with the words met; row 0 stands for all that add nothing."""
-        parts = [f[j] for f in self.filters for j in range(len(f))]
-        self.adds = self.embedding @ np.concatenate(parts, axis=1)  # by bucket, filter, offset
-        self.words = _Rows(self._row)
-        self.new: list[tuple] = []  # bucket rows and language of words without a row yet
-        self.table = np.zeros((1, self.adds.shape[1]), np.float32)
-        self.language = np.array([len(LANGUAGES) - 1])
-
-    def _row(self, word: str) -> int:
-        """Row with what the word adds to each filter at each offset, and its language."""
-        known = [self.rows[b] for b in buckets(word) if b in self.rows]
-        language = _LANGUAGE_OF.get(word)
-        if not known and language is None:
-            return 0
-        self.new.append((*known, *[-1] * (1 + len(PREFIXES) - len(known)), self.language[0] if language is None else language))
-        self.words.count += 1
-        return self.words.count
+        self.adds = None  # by bucket, filter, offset; made when the first text is read
+        self.words = _Words(self.rows.get)
+        self.table = np.zeros((1, sum(WIDTHS) * FILTERS), np.float32)
+        self.language = np.array([len(LANGUAGES) - 1], np.int8)
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        ids = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
-        if self.new:
-            new = np.array(self.new, np.int32)
-            self.new = []
+        ids = self.words.numbers(words)
+        if self.words.new:
+            if self.adds is None:
+                parts = [f[j] for f in self.filters for j in range(len(f))]
+                self.adds = self.embedding @ np.concatenate(parts, axis=1)
+            new = self.words.news()
             while self.words.count >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.language = np.concatenate([self.language, np.full_like(self.language, len(LANGUAGES) - 1)])
@@ -134,7 +217,7 @@ class Network:
         """Probability and language of each text; long texts are read in overlapping spans."""
         out = []
         for text in texts:
-            if self.words.count > 100_000:
+            if self.words.full():
                 self._forget()
             words = words_of(text)
             ids = self._ids(words)
@@ -172,29 +255,11 @@ class Network:
         return out
 
 
-class _Rows(dict):
-    """Word -> row, made when the word is first met."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.count = make, 0
-
-    def __missing__(self, word):
-        self[word] = row = self.make(word)
-        return row
-
+def _fit(net: Network, places: np.ndarray, docs: list[np.ndarray], labels: np.ndarray, epochs: int, rng) -> None:
+    """Adam over batches; only the windows that gave the maxima carry a gradient.
 
-def _indices(words: list[str], rows: dict[int, int]) -> np.ndarray:
-    """The embedding rows of each word, the last row (zeros) where a bucket is unknown."""
-    none, most, known = len(rows), 1 + len(PREFIXES), {}
-    for word in set(words):
-        at = [rows.get(b, none) for b in buckets(word)]
-        known[word] = at + [none] * (most - len(at))
-    return np.array([known[word] for word in words], np.int32).reshape(-1, most)
-
-
-def _fit(net: Network, docs: list[np.ndarray], labels: np.ndarray, epochs: int, rng) -> None:
-    """Adam over batches; only the windows that gave the maxima carry a gradient."""
+    ``docs`` are the words as rows of ``places``, which has the embedding rows of each.
+    """
     pad = np.full((max(WIDTHS) - 1, 1 + len(PREFIXES)), len(net.rows), np.int32)
     balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
     moments: dict = {}
@@ -221,7 +286,7 @@ def _fit(net: Network, docs: list[np.ndarray], labels: np.ndarray, epochs: int,
                 words = docs[i][rng.random(len(docs[i])) >= DROP]
                 if (n := len(words)) == 0:
                     continue
-                index = np.concatenate([words, pad])
+                index = np.concatenate([places[words], pad])
                 e = net.embedding[index].sum(axis=1)
                 tops, wins = [], []
                 for f, s in zip(net.filters, net.shifts, strict=True):
@@ -288,26 +353,52 @@ def _thresholds(counts: list[tuple[int, int, float, int]]) -> list[float]:
     return out
 
 
+def _starts(words: set[str]) -> set[str]:
+    return {word[:n] for n in PREFIXES for word in words if len(word) > n}
+
+
+def _documents_by_bucket(docs: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the documents' words, and the number of documents that have each."""
+    words, starts = Counter(), Counter()
+    for doc in docs:
+        words.update(doc)
+        starts.update(_starts(doc))
+    # Each word is hashed once, however many of the documents have it.
+    hashed = np.array([*map(_bucket, words), *map(_start_bucket, starts)], np.int32)
+    found, where, keys = np.unique(hashed, return_inverse=True, return_counts=True)
+    times = np.bincount(where, [*words.values(), *starts.values()], len(found)).astype(np.int64)
+    if (keys > 1).any():  # a document with two words of one bucket counts once
+        names, shared = [*words, *starts], np.flatnonzero(keys[where] > 1)
+        of_word = {names[k]: where[k] for k in shared if k < len(words)}
+        of_start = {names[k]: where[k] for k in shared if k >= len(words)}
+        some, beginnings = set(of_word), set(of_start)
+        for doc in docs:
+            hit = [of_word[word] for word in doc & some] + [of_start[start] for start in _starts(doc) & beginnings]
+            for at, n in Counter(hit).items() if len(hit) > 1 else ():
+                times[at] -= n - 1
+    return found, times
+
+
 def _vocabulary(rows: DataFrame, least: int) -> list[int]:
     """Buckets that at least ``least`` of the documents have."""
 
     def counted(batches):
-        seen: Counter = Counter()
+        seen, times = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
         def out():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], ["bucket", "n"]
-            )
-            seen.clear()
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update({b for word in set(words_of(text)) for b in buckets(word)})
-                if len(seen) > 500_000:
-                    yield from out()
-        yield from out()
-
-    found = rows.select("text").mapInArrow(counted, "bucket long, n long").groupBy("bucket")
+            columns = [pa.array(seen, pa.int32()), pa.array(times, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "n"])
+
+        for batch in runs(batches):
+            found, n = _documents_by_bucket([set(words_of(text)) for text in batch.column("text").to_pylist()])
+            seen, where = np.unique(np.concatenate([seen, found]), return_inverse=True)
+            times = np.bincount(where, np.concatenate([times, n]), len(seen)).astype(np.int64)
+            if len(seen) > 1_000_000:
+                yield out()
+                seen, times = seen[:0], times[:0]
+        yield out()
+
+    found = rows.select("text").mapInArrow(counted, "bucket int, n long").groupBy("bucket")
     return sorted(row.bucket for row in found.agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect())
 
 
@@ -328,51 +419,100 @@ def _put(net: Network, flat: np.ndarray) -> None:
     net._forget()
 
 
-def _learnt(rows: DataFrame, net: Network, epochs: int, seed: int) -> np.ndarray:
-    """The parameters after ``epochs`` over each ``part`` of the rows, averaged by documents.
+PREPARED = "part int, docs int, words binary, sizes binary, labels binary, places binary"
 
-    Each part starts from ``net``. Sums are formed by task and then by chunk of the parameters,
+
+def _prepared(learnt: DataFrame, net: Network, parts: int) -> DataFrame:
+    """The documents to learn from, a row per part: the words as rows of places, as ``_Words`` has them.
+
+    Texts are cut into words and hashed once, and the rounds read numbers only, a few bytes a word.
+    """
+    cores = learnt.sparkSession.sparkContext.defaultParallelism
+    tasks = min(parts, max(4 * cores, math.ceil(parts / 4)))
+    model = learnt.sparkSession.sparkContext.broadcast(net.rows)
+    dealt = learnt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    # In an order of their own, so that the outcome doesn't hang on how rows arrive.
+    ordered = dealt.repartitionByRange(tasks, "part").sortWithinPartitions("part", "doc_id")
+
+    def numbered(batches):
+        place = model.value.get
+        current, words, numbers, labels = None, None, [], []
+
+        def out():
+            sizes = np.array([len(n) for n in numbers], np.int64)
+            places = np.concatenate([np.full((1, 1 + len(PREFIXES)), -1, np.int32), words.news()[:, :-1]])
+            values = [current, len(labels), np.concatenate(numbers).tobytes(), sizes.tobytes()]
+            values += [np.array(labels, np.int8).tobytes(), places.tobytes()]
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            names = [column.split()[0] for column in PREPARED.split(", ")]
+            columns = [pa.array([v], kind) for v, kind in zip(values, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in runs(batches):
+            columns = (batch.column(name).to_pylist() for name in ("part", "text", "toxic"))
+            for part, text, toxic in zip(*columns, strict=True):
+                if part != current:
+                    if labels:
+                        yield out()
+                    current, words, numbers, labels = part, _Words(place), [], []
+                numbers.append(words.numbers(words_of(text)))
+                labels.append(toxic)
+                words.full()  # forgets words, but no rows
+        if labels:
+            yield out()
+
+    rows = ordered.select("part", "text", "toxic").mapInArrow(numbered, PREPARED)
+    return staged(rows, "toxicity-parts", compression="zstd")
+
+
+def _learnt(parts: DataFrame, net: Network, epochs: int, seed: int) -> np.ndarray:
+    """The parameters after ``epochs`` over each of the ``_prepared`` parts, averaged by documents.
+
+    Each part starts from ``net``. Means are formed by task and then by chunk of the parameters,
     so the driver gets one set of parameters, whatever the number of parts.
     """
-    model = rows.sparkSession.sparkContext.broadcast(net)
-    columns = ["chunk", "docs", "total"]
-
-    def trained(table: pa.Table) -> pa.Table:
-        own = pickle.loads(pickle.dumps(model.value))
-        part = table.column("part")[0].as_py()
-        # In an order of their own, so that the outcome doesn't hang on how rows arrive.
-        found = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), table.column("toxic").to_pylist()))
-        docs = [_indices(words_of(text), own.rows) for _, text, _ in found]
-        _fit(own, docs, np.array([label for *_, label in found]), epochs, np.random.default_rng([seed, part]))
-        return summed([(len(found), _flat(own) * len(found))])
-
-    def summed(parts) -> pa.Table:
-        docs, total = sum(n for n, _ in parts), sum(total for _, total in parts)
-        pieces = [total[at : at + CHUNK].tolist() for at in range(0, len(total), CHUNK)]
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64())]
-        values = [list(range(len(pieces))), [docs] * len(pieces), pieces]
-        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], columns)
-
-    def by_task(batches):
+    spark = parts.sparkSession
+    model = spark.sparkContext.broadcast(net)
+    columns = ["chunk", "docs", "mean"]
+
+    def trained(batches):
+        docs, total = 0, 0.0
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = pickle.loads(pickle.dumps(model.value))
+                places = np.frombuffer(row["places"], np.int32).reshape(-1, 1 + len(PREFIXES))
+                places = np.where(places < 0, len(own.rows), places)
+                ends = np.cumsum(np.frombuffer(row["sizes"], np.int64))[:-1]
+                texts = np.split(np.frombuffer(row["words"], np.int32), ends)
+                labels = np.frombuffer(row["labels"], np.int8).astype(np.int64)
+                _fit(own, places, texts, labels, epochs, np.random.default_rng([seed, row["part"]]))
+                docs, total = docs + row["docs"], total + _flat(own) * row["docs"]
+        if docs:
+            pieces = [total[at : at + CHUNK] for at in range(0, len(total), CHUNK)]
+            yield means({at: (docs, piece) for at, piece in enumerate(pieces)})
+
+    def means(sums: dict) -> pa.RecordBatch:
+        order = sorted(sums)
+        values = [order, [sums[k][0] for k in order], [(sums[k][1] / sums[k][0]).astype(np.float32) for k in order]]
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.float32())]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], columns)
+
+    def by_chunk(batches):
         sums: dict = {}
         for batch in batches:
-            for chunk, docs, total in zip(*(batch.column(name).to_pylist() for name in columns), strict=True):
-                n, so_far = sums.get(chunk, (0, 0))
-                sums[chunk] = n + docs, so_far + np.array(total)
+            for row in batch.to_pylist():
+                n, total = sums.get(row["chunk"], (0, 0.0))
+                sums[row["chunk"]] = n + row["docs"], total + np.array(row["mean"], np.float64) * row["docs"]
         if sums:
-            yield from summed_chunks(sums).to_batches()
-
-    def summed_chunks(sums: dict) -> pa.Table:
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64())]
-        order = sorted(sums)
-        values = [order, [sums[k][0] for k in order], [sums[k][1].tolist() for k in order]]
-        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], columns)
+            yield means(sums)
 
-    schema = "chunk int, docs long, total array<double>"
-    of_tasks = rows.groupBy("part").applyInArrow(trained, schema).mapInArrow(by_task, schema)
-    chunks = of_tasks.repartition("chunk").mapInArrow(by_task, schema).orderBy("chunk").collect()
+    schema = "chunk int, docs long, mean array<float>"
+    # A file holds few parts, each worth much more than its bytes: one file to a task.
+    with session_conf(spark, {"spark.sql.files.openCostInBytes": str(64 << 20)}):
+        of_tasks = parts.mapInArrow(trained, schema)
+        chunks = of_tasks.repartition("chunk").mapInArrow(by_chunk, schema).orderBy("chunk").collect()
     model.unpersist()
-    return np.concatenate([np.array(row.total) / row.docs for row in chunks])
+    return np.concatenate([np.array(row.mean) for row in chunks])
 
 
 def _score_counts(rows: DataFrame, net: Network) -> list[tuple[int, int, float, int]]:
@@ -381,7 +521,7 @@ def _score_counts(rows: DataFrame, net: Network) -> list[tuple[int, int, float,
 
     def read(batches):
         net = resident("toxicity", model.value.fingerprint(), lambda: model.value)
-        for batch in batches:
+        for batch in runs(batches):
             found = net.read(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -437,10 +577,9 @@ def fit(
             learnt = held = rows
         else:
             learnt, held = rows.where("NOT held"), rows.where("held")
-        number = learnt.count()
-        if not number or held.isEmpty():
+        if learnt.isEmpty() or held.isEmpty():
             learnt = held = rows
-            number = sum(sizes.values())
+        number, chars = learnt.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
         known_buckets = _vocabulary(learnt, max(MIN_DOCS, round(number * MIN_SHARE)))
         rng = np.random.default_rng(seed)
         network = Network(
@@ -452,12 +591,12 @@ def fit(
             0.0,
         )
         network.embedding[-1] = 0
-        parts = max(1, round(number / PART_DOCS))
-        dealt = learnt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+        parts = max(1, round(number / PART_DOCS), math.ceil(chars / PART_CHARS))
+        prepared = _prepared(learnt, network, parts)
         # Small tables are read more often, in one part and so in one round.
         epochs = min(12, max(4, round(9000 / number)))
         for turn in range(1 if parts == 1 else ROUNDS):
-            _put(network, _learnt(dealt, network, epochs if parts == 1 else 1, seed + turn))
+            _put(network, _learnt(prepared, network, epochs if parts == 1 else 1, seed + turn))
         network.thresholds = _thresholds(_score_counts(held, network))
     return network
 
@@ -481,7 +620,7 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
 
     def scored(batches):
         read = scorer(model.value)
-        for batch in batches:
+        for batch in runs(batches):
             found = read(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"]
