@@ -2,6 +2,7 @@
 
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -18,14 +19,34 @@ COLUMNS = 2048
 _RUNS = re.compile(r"(.)\1+")
 
 
+
+class _Kinds(dict):
+    """Code point -> its character in a shape, for ``str.translate``."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+def _column(key: str) -> int:
+    return zlib.crc32(key.encode()) % COLUMNS
+
+
+_KINDS = _Kinds()
+#: Shapes and endings are few beside the words; their columns are remembered.
+_SHAPES = WordCache(lambda shape: _column("s" + _RUNS.sub(r"\1\1", shape)[:24]), 20_000)
+_ENDINGS = WordCache(lambda ending: _column("e" + ending), 20_000)
+_LENGTHS = [_column(f"l{n}") for n in range(21)]
+_WORD = zlib.crc32(b"w")
+_PACK = struct.Struct("<4H").pack
+
+
 def word_features(word: bytes) -> bytes:
-    """Columns of a word as 16-bit numbers: its shape, its last characters, itself."""
+    """Columns of a word as 16-bit numbers: its shape, its last characters, itself, its length."""
     text = word.decode("utf-8", "replace")
-    shape = "".join(
-        ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c for c in text
-    )
-    keys = ("s" + _RUNS.sub(r"\1\1", shape)[:24], "e" + text[-2:], "w" + text.lower(), f"l{min(len(text), 20)}")
-    return np.array([zlib.crc32(key.encode()) % COLUMNS for key in keys], "<u2").tobytes()
+    own = zlib.crc32(text.lower().encode(), _WORD) % COLUMNS
+    return _PACK(_SHAPES[text.translate(_KINDS)], _ENDINGS[text[-2:]], own, _LENGTHS[min(len(text), 20)])
 
 
 _REPEATED_LINE = np.array([zlib.crc32(b"repeated line") % COLUMNS], "<u2").tobytes()
@@ -89,6 +110,7 @@ class LinearScorer:
 
     @classmethod
     def fit(cls, x: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 300) -> "LinearScorer":
+        x = x.astype(np.float64)  # once, not twice in every step
         w, b = np.zeros(x.shape[1], np.float64), 0.0
         share = weight / weight.sum()
         mean = float(np.clip(share @ target, 1e-3, 1 - 1e-3))

@@ -275,6 +275,24 @@ def test_posterior_expression_equals_the_model(spark):
     assert np.allclose(model.posterior(patterns), [row.p for row in found])
 
 
+def test_word_features_equal_their_definition_and_are_hashed_once(monkeypatch):
+    def plain(word):
+        text = word.decode("utf-8", "replace")
+        kind = lambda c: ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
+        shape = re.sub(r"(.)\1+", r"\1\1", "".join(map(kind, text)))[:24]
+        keys = "s" + shape, "e" + text[-2:], "w" + text.lower(), f"l{min(len(text), 20)}"
+        return np.array([zlib.crc32(key.encode()) % quality_classifier.COLUMNS for key in keys], "<u2").tobytes()
+
+    odd = ["Abc", "x", "aAaAA00--", "\u01c5\u0660\u2460", "\u0130STANBUL", "\u00df\ufb01\u02b0", "\x1c\x1c\x1c\x85\x85\x85y", "a" * 70]
+    words = [word.encode() for word in odd] + [b"\xed\xa0\x80x", b"\xff"]
+    assert [quality_classifier.word_features(word) for word in words] == [plain(word) for word in words]
+    hashed, crc = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda *given: hashed.append(given) or crc(*given))
+    for k in range(260):
+        quality_classifier.word_features(f"z{chr(97 + k % 26)}{k // 26 * 'q'}ish".encode())
+    assert len(hashed) < 300  # four each before
+
+
 def test_classifier_agrees_with_labels_it_never_saw(spark):
     sf_dir = "/root/testdata/sf0.1"
     rows = QUERIES["op4_quality_classifier"](spark, sf_dir).join(
