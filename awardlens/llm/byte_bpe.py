@@ -3,16 +3,18 @@
 import base64
 import heapq
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, shared_file, texts_of
+from .common import resident, runs, shared_file, texts_of
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -159,6 +161,9 @@ class Memory:
         return out
 
 
+#: Ids are decoded in runs of about so many.
+DECODED_IDS = 250_000
+
 #: A space beside other white space, with which it may be one word (``\s+(?!\S)``).
 _SPACE_IN_WORD = re.compile(r" (?:\s|(?<=\s ))")
 
@@ -189,9 +194,15 @@ class CorpusEncoder:
         met = set().union(*filter(None, cut))
         new = {piece: self.find.findall(" " + piece) for piece in self.pieces.absent(met)}
         firsts = [self.find.findall(parts[0]) if parts else () for parts in cut]
-        known, pieces = self._learn(set().union(*new.values(), *firsts)), self.pieces.young
-        for piece, words in new.items():
-            pieces[piece] = known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words))
+        pieces = self.pieces.young
+        # Most pieces are one word. It is remembered as the piece alone, not as a word besides.
+        for part in _slices((piece for piece, words in new.items() if len(words) == 1), 50_000):
+            encoded = self.replay.encode([new[piece][0].encode() for piece in part])
+            pieces.update(zip(part, encoded, strict=True))
+        several = {piece: words for piece, words in new.items() if len(words) != 1}
+        known = self._learn(set().union(*several.values(), *firsts))
+        for piece, words in several.items():
+            pieces[piece] = b"".join(map(known.__getitem__, words))
         return [
             self._by_word(text)
             if parts is None
@@ -223,7 +234,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     The corpus lies in Spark's input partitions and stays there: each task replays the
     merges over the distinct words of its share, a run of texts at a time, and remembers a
     bounded number of words. A word's ids don't depend on the share, so nothing is shuffled
-    and a lost task is simply run again. Memory: one run of texts (4 MB or one text).
+    and a lost task is simply run again. The worker keeps these words for its next task.
+    Memory: one run of texts (4 MB or one text).
 
     Null and empty texts have no ids. Repeated rows give a row each; a null ``doc_id`` stays
     null; an empty table gives no rows; other columns are ignored.
@@ -231,7 +243,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     data = shared_file(docs.sparkSession, vocabulary)
 
     def encoded(batches):
-        encoder = CorpusEncoder(data.value, pattern)
+        key = "encoder", zlib.crc32(data.value), pattern
+        encoder = resident("byte_bpe", key, lambda: CorpusEncoder(data.value, pattern))
         for batch in runs(batches):
             ids = encoder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), _ids_column(ids)], ["doc_id", "ids"])
@@ -239,6 +252,20 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return texts_of(docs).mapInArrow(encoded, "doc_id long, ids array<int>")
 
 
+def _runs_of_ids(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices of about ``DECODED_IDS`` ids, one row at least."""
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index(ids_col))
+        start, size = 0, 0
+        for row, length in enumerate(pc.list_value_length(ids).to_pylist()):
+            size += length or 0
+            if size >= DECODED_IDS:
+                yield batch.slice(start, row + 1 - start)
+                start, size = row + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """The rows with ``ids_col`` replaced by ``decoded``, the bytes of its tokens.
 
@@ -249,8 +276,9 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in others)
 
     def decoded(batches):
-        token = read_tokens(data.value).__getitem__
-        for batch in batches:
+        key = "tokens", zlib.crc32(data.value)
+        token = resident("byte_bpe", key, lambda: read_tokens(data.value)).__getitem__
+        for batch in _runs_of_ids(batches, ids_col):
             ids = batch.column(batch.schema.get_field_index(ids_col))
             texts = [None if not row.is_valid else b"".join(map(token, row.values.to_numpy(zero_copy_only=False).tolist())) for row in ids]
             kept = [batch.column(batch.schema.get_field_index(field.name)) for field in others]

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -488,6 +489,23 @@ def test_replay_of_random_bytes_equals_tiktoken():
     assert found == [encoding.encode_ordinary(w) for w in words]
 
 
+def test_bpe_keeps_each_word_once_and_decodes_in_runs(monkeypatch):
+    encoding, data = tiktoken_encoding(), open(BYTES, "rb").read()
+    encoder = byte_bpe.CorpusEncoder(data, public_tokenizers.PATTERN)
+    texts = [" ".join(f"zq{chr(97 + k % 26)}xv{chr(97 + k // 26)}" for k in range(200)), "zqaxva, zqbxva.", "", " zqaxva"]
+    for _ in range(2):
+        found = [np.frombuffer(ids, "<i4").tolist() for ids in encoder.encode(texts)]
+        assert found == [encoding.encode_ordinary(text) for text in texts]
+    assert len(encoder.pieces.young) >= 200
+    assert len(encoder.words.young) < 10  # words that stand alone are in the pieces
+    monkeypatch.setattr(byte_bpe, "DECODED_IDS", 5)
+    ids = pa.array([[1, 2, 3], None, [], [4, 5], [6] * 20, [7]], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([ids.slice(1), pa.array(range(5))], ["ids", "doc_id"])
+    parts = list(byte_bpe._runs_of_ids([pa.RecordBatch.from_arrays([ids], ["ids"]), batch], "ids"))
+    assert [part.num_rows for part in parts] == [4, 1, 1, 4, 1]
+    assert [row for part in parts[:3] for row in part.column(0).to_pylist()] == ids.to_pylist()
+
+
 # ---- 8 licences --------------------------------------------------------------------------
 
 
