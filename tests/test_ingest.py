@@ -12,6 +12,7 @@ from awardlens.plans.outlays import outlay_report
 from awardlens.sources import drops
 from awardlens.functions.cleaning import NULL_TOKENS
 from awardlens.sources.cells import infer_fields, type_cells
+from awardlens.sources import drops
 from awardlens.sources.drops import read_drops, rows_per_file, year_directories
 from awardlens.sources.schema_json import schema_from_text
 from awardlens.sources.tables import read_awards, write_awards
@@ -334,3 +335,14 @@ def test_windows_beyond_the_limit_are_reported(spark, tmp_path, monkeypatch):
     put_wide_window(tmp_path / "d" / "w_1.csv.zst", "key\n1\n")
     drop = read_drops(spark, [("2001", str(tmp_path / "d"))])
     assert drop.rows is None and "ZstdError" in drop.files.first()["error"]
+
+
+def test_only_lines_with_a_quote_need_the_parser(spark):
+    text = "\ufeffa, b \r\n,\n\nx\ny,z,\n1,#2\r \t,'q'\r\"a,b\",c\n\"a\"\"b\",\n\"open,1\nlast\0,1"
+    expected = [("\ufeffa", " b "), (None, None), ("1", "#2"), (" \t", "'q'"), ("a,b", "c"), ('a"b', None), ("last\0", "1")]
+    header = ["k", "v"]
+    chunks = spark.createDataFrame(
+        [(drops.layout_of(header), "2001", "u", text)], "layout string, year string, uri string, text string"
+    )
+    rows = drops._parse(chunks, header)
+    assert sorted(map(str, (tuple(row)[:2] for row in rows.collect()))) == sorted(map(str, expected))
