@@ -190,9 +190,9 @@ def subset_with_kept_totals(rows: KeyedRows, **options) -> DataFrame:
 def subset_job(spark: SparkSession, csv_in: str, csv_out: str, **options) -> None:
     """From a CSV file of transactions to a CSV file of their subset.
 
-    The input is parsed once into the shared scratch folder, which the passes read; the
-    folder is removed when the subset is written.
+    The input is parsed once and staged with its draws in the shared scratch folder, which the
+    passes read; the folder is removed when the subset is written.
     """
     with scratch_scope(spark):
-        rows = staged(read_plain_csv(spark, csv_in), "transactions")
-        write_csv(build_subset(rows, **options), csv_out)
+        rows = read_plain_csv(spark, csv_in)
+        write_csv(build_subset(rows, **options | {"stage_rows": True}), csv_out)

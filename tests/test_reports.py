@@ -273,3 +273,18 @@ def test_codes_inside_unsigned_32_bits_pass(spark):
     df = spark.createDataFrame([(2**32 - 1,), (None,), (0,)], "naics_code long")
     got = [r[0] for r in df.select(subset.as_uint32(F.col("naics_code"))).collect()]
     assert got == [2**32 - 1, None, 0]
+
+
+def test_the_subset_job_stages_its_input_once(spark, tmp_path, monkeypatch):
+    columns = [*subset.INITIAL_COLUMNS, "note"]
+    rows = [(str(k), float(k), "AB"[k % 2], "r", k, k, None, "t", None, f"n{k}") for k in range(40)]
+    kinds = "a string, b double, c string, d string, e long, f long, g string, h string, i string, j string"
+    spark.createDataFrame(rows, kinds).toDF(*columns).write.option("header", True).csv(str(tmp_path / "in"))
+    staged, names = subset.staged, []
+    monkeypatch.setattr(subset, "staged", lambda df, name, *more, **how: names.append(name) or staged(df, name, *more, **how))
+    subset.subset_job(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert len(names) == 1
+    found = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert all(row["note"] == f"n{row[subset.KEY]}" for row in found)
+    assert {"0", "1", "38", "39"} <= {row[subset.KEY] for row in found}
+    assert len(found) >= 8
