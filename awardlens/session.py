@@ -2,7 +2,7 @@
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +59,22 @@ def session_conf(spark: SparkSession, settings: dict[str, str]):
                 spark.conf.set(key, value)
 
 
+@contextmanager
+def writing(spark: SparkSession, settings: Mapping[str, str] | None = None):
+    """For a ``with`` block that writes: what a write has shuffled goes when it ends.
+
+    Otherwise shuffle files stay until the driver happens to collect its garbage, and lie on the
+    disks beside what later steps write. ``settings`` hold in the block besides.
+    """
+    own = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        # A task that writes few folders keeps their files open instead of sorting its rows.
+        "spark.sql.maxConcurrentOutputFileWriters": "32",
+    }
+    with session_conf(spark, own | dict(settings or {})):
+        yield
+
+
 def measured(df: DataFrame) -> DataFrame:
     """Keep a small aggregate in memory so that the planner knows its true size.
 
@@ -72,15 +88,20 @@ def measured(df: DataFrame) -> DataFrame:
 
 
 def staged(
-    df: DataFrame, name: str, partition_by: Sequence[str] = (), compression: str = "snappy"
+    df: DataFrame,
+    name: str,
+    partition_by: Sequence[str] = (),
+    compression: str = "snappy",
+    options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Write ``df`` once as Parquet in the shared scratch folder and read it from there.
 
     For input that several passes read: the passes then scan only the columns they need,
-    do not repeat the joins or parsing behind ``df``, and survive lost executors.
+    do not repeat the joins or parsing behind ``df``, and survive lost executors. ``options``
+    go to the Parquet writer.
     """
     path = scratch_dir(df.sparkSession, name)
-    # A task that writes few folders keeps their files open instead of sorting its rows.
-    with session_conf(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "32"}):
-        df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
+    with writing(df.sparkSession):
+        write = df.write.option("compression", compression).options(**(options or {}))
+        write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -45,7 +45,14 @@ PACKED_CHUNK = 16 << 10
 # Packed bytes that one task unpacks; files up to this size are not looked into before.
 RANGE_BYTES = 64 << 20
 # Unpacked text is handed on in chunks of about this many bytes, cut at line ends.
-TEXT_CHUNK = 1 << 20
+TEXT_CHUNK = 256 << 10
+# Staged text is long in a row: sizes are looked at after each one, not after a hundred as Parquet
+# does, and groups are small, since Spark holds the text of a whole group at once to read it.
+TEXT_FILES = {
+    "parquet.block.size": str(16 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+}
 
 YEAR, FILE = "year", "file"
 LINEAGE = [YEAR, FILE]
@@ -371,7 +378,7 @@ def unpack(
 
     rows = whole.mapInArrow(unpacked, UNPACKED_SCHEMA)
     if longest is None or longest <= range_bytes:
-        table = staged(rows, "drops", partition_by=["layout"])
+        table = staged(rows, "drops", partition_by=["layout"], options=TEXT_FILES)
         return table.filter(F.col("layout") == FILES_LAYOUT).select(*FILE_COLUMNS), table
 
     index = staged(large.mapInArrow(looked_up, RANGES_SCHEMA), "frames")
@@ -381,7 +388,7 @@ def unpack(
     ).select("year", "uri", "layout", "skip", "run", "range.offset", "range.length")
     dealt = runs.repartitionByRange(run_tasks(runs, range_bytes), "uri", "run")
     rows = rows.unionByName(dealt.mapInArrow(run_unpacked, UNPACKED_SCHEMA))
-    table = staged(rows, "drops", partition_by=["layout"])
+    table = staged(rows, "drops", partition_by=["layout"], options=TEXT_FILES)
 
     seams = staged(_seams(table), "seams")
     layouts = index.select("uri", "header")

@@ -1,6 +1,7 @@
 import io
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -346,3 +347,20 @@ def test_only_lines_with_a_quote_need_the_parser(spark):
     )
     rows = drops._parse(chunks, header)
     assert sorted(map(str, (tuple(row)[:2] for row in rows.collect()))) == sorted(map(str, expected))
+
+
+def test_staged_text_lies_in_small_groups_and_pages(spark, tmp_path):
+    """To write or read a group takes memory of its size, however long the file of a task is."""
+    line = F.concat_ws(",", *(F.sha2(F.concat(F.col("id").cast("string"), F.lit(end)), 512) for end in "ab"))
+    lines = "\n".join(row[0] for row in spark.range(150_000).select(line).collect())
+    put(tmp_path / "d" / "x_1.csv.zst", f"key,amount\n{lines}\n", level=1)
+    files, chunks = drops.unpack(drops.list_drop(spark, str(tmp_path / "d")).withColumn("year", F.lit("2001")))
+    assert files.first()["rows_read"] == 150_000
+    assert drops.read_drops(spark, [("2001", str(tmp_path / "d"))]).rows.count() == 150_000
+    text = chunks.filter(F.col("layout") == drops.layout_of(["key", "amount"]))
+    assert text.agg(F.max(F.length("text"))).first()[0] <= 1 << 20
+    groups = []
+    for file in text.inputFiles():
+        about = pq.ParquetFile(file.removeprefix("file://")).metadata
+        groups += [about.row_group(at).total_byte_size for at in range(about.num_row_groups)]
+    assert sum(groups) > 30 << 20 and max(groups) < 20 << 20
