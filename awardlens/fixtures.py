@@ -8,6 +8,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import staged
+
 AWARDS_SQL = """
 SELECT cast(l_orderkey as string) AS contract_award_unique_key,
  cast(year(l_shipdate) as bigint) AS action_date_fiscal_year,
@@ -106,8 +108,9 @@ def write_drop_files(
 
     ordered = lines.repartition("year", "file").sortWithinPartitions("year", "file")
     written = ordered.select("year", "file", "line").mapInArrow(write, "year string")
-    years = written.groupBy("year").agg(F.count(F.lit(1)).alias("files")).orderBy("year")
-    return [row["year"] for row in years.collect()]
+    # Staged, so that what the files took to be dealt out goes before they are read.
+    years = staged(written.groupBy("year").agg(F.count(F.lit(1)).alias("files")), "years")
+    return sorted(row["year"] for row in years.collect())
 
 
 def add_bad_files(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import session_conf
+from ..session import session_conf, writing
 from .schema_json import merged_fields, stored_schema, store_schema
 
 DATA, MANIFESTS = "_data", "_manifests"
@@ -83,7 +83,7 @@ def commit(
     version = 1 if before is None else _version(before) + 1
     name = f"{version:012d}-{uuid.uuid4().hex}"
     target = f"{path}/{DATA}/{name}"
-    with session_conf(spark, {"spark.sql.maxConcurrentOutputFileWriters": "32"}):
+    with writing(spark):
         (
             df.write.option("compression", "zstd")
             .option("parquet.compression.codec.zstd.level", "9")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import session_conf
+from ..session import session_conf, writing
 from . import snapshots
 from .drops import LINEAGE
 from .schema_json import merged_fields, store_schema, stored_schema
@@ -121,7 +121,7 @@ def write_awards(
         raise ValueError(f"{path} has a manifest: write to it with atomic=True")
     # A task holds the rows of few files, so it can keep their writers open instead of
     # sorting all its rows by partition first.
-    with session_conf(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "32"}):
+    with writing(df.sparkSession):
         (
             df.write.mode("overwrite" if overwrite else "errorifexists")
             .option("partitionOverwriteMode", "dynamic")
