@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import measured
+from ..session import measured, writing
 from . import snapshots
 
 ROWS, HEAVY, HEAVY_KEYS, DESCRIPTION = "rows", "heavy", "heavy-keys", "_layout"
@@ -80,7 +80,7 @@ def write_by_key(
     heavy_rows: int = 1_000_000,
     of_commit: str | None = None,
 ) -> KeyedRows:
-    """Lay out the rows in a new folder. ``df`` is read three times, so it should be a dataset.
+    """Lay out the rows in a new folder. ``df`` is read four times, so it should be a dataset.
 
     Keys with more than ``heavy_rows`` rows are heavy: there are at most rows / ``heavy_rows``
     of them. Choose ``buckets`` so that a bucket, read with all its columns, fits a task.
@@ -91,31 +91,53 @@ def write_by_key(
     if _description(spark, path) is not None:
         raise FileExistsError(f"{path} already holds a layout")
     many = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
-    many.filter(F.col("_n") > heavy_rows).select(name).write.parquet(f"{path}/{HEAVY_KEYS}")
+    with writing(spark):
+        many.filter(F.col("_n") > heavy_rows).select(name).write.parquet(f"{path}/{HEAVY_KEYS}")
     heavy_keys = spark.read.schema(T.StructType([df.schema[key]])).parquet(f"{path}/{HEAVY_KEYS}")
-    marked = df.join(heavy_keys.withColumn("_heavy", F.lit(True)), key, "left")
-    marked.filter(F.col("_heavy") | F.col(name).isNull()).select(
-        *(_quoted(column) for column in df.columns)
-    ).write.parquet(f"{path}/{HEAVY}")
     table = _table(spark, path, df.schema, key, buckets)
-    (
-        df.filter(F.col(name).isNotNull())
-        .join(heavy_keys, key, "left_anti")
-        .select(*(_quoted(column) for column in df.columns))
-        .repartition(buckets, F.col(name))
-        .write.mode("append")
-        .format("parquet")
-        .option("compression", "zstd")
-        .bucketBy(buckets, key)
-        .sortBy(key)
-        .saveAsTable(table)
-    )
+    with writing(spark, _one_shuffle(buckets)):
+        _heavy_rows(df, heavy_keys, key).write.parquet(f"{path}/{HEAVY}")
+        (
+            _light_rows(df, heavy_keys, key, buckets)
+            .write.mode("append")
+            .format("parquet")
+            .option("compression", "zstd")
+            .bucketBy(buckets, key)
+            .sortBy(key)
+            .saveAsTable(table)
+        )
     told = {"key": key, "buckets": buckets, "of_commit": of_commit, "schema": df.schema.jsonValue()}
     text = spark.createDataFrame([(json.dumps(told),)], "value string")
     text.coalesce(1).write.text(f"{path}/{DESCRIPTION}")
     return read_by_key(spark, path)
 
 
+def _one_shuffle(buckets: int) -> dict[str, str]:
+    """Settings by which wide rows are shuffled and sorted once, also where heavy keys are many.
+
+    A join by key then deals its rows to the buckets already, and holds a bucket's heavy keys,
+    which are few beside its rows, in a table of at most so many bytes rather than sort its rows.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(buckets),
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    }
+
+
+def _heavy_rows(df: DataFrame, heavy_keys: DataFrame, key: str) -> DataFrame:
+    """The rows of heavy keys, and those without a key, which needn't be shuffled for it."""
+    columns, name = [_quoted(column) for column in df.columns], _quoted(key)
+    known = df.filter(F.col(name).isNotNull()).join(heavy_keys, key, "left_semi").select(*columns)
+    return known.unionByName(df.filter(F.col(name).isNull()))
+
+
+def _light_rows(df: DataFrame, heavy_keys: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The rows of other keys, dealt to the buckets."""
+    columns, name = [_quoted(column) for column in df.columns], _quoted(key)
+    known = df.filter(F.col(name).isNotNull()).join(heavy_keys, key, "left_anti").select(*columns)
+    return known.repartition(buckets, F.col(name))
+
+
 def read_by_key(spark: SparkSession, path: str, dataset: str | None = None) -> KeyedRows:
     """The layout in ``path``, also in another session than the one that wrote it.
 

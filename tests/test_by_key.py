@@ -1,10 +1,14 @@
 """Rows laid out by a key: same results as joins, no shuffle of the wide rows, hot and null keys."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from awardlens.fixtures import write_drop_files
 from awardlens.operators.keys import restrict_to_keys
-from awardlens.sources import snapshots
+from awardlens.session import session_conf, staged, writing
+from awardlens.sources import by_key, snapshots
 from awardlens.sources.by_key import forget, read_by_key, write_by_key
 from awardlens.sources.tables import read_awards, write_awards
 
@@ -120,3 +124,49 @@ def test_a_layout_that_is_behind_is_refused(spark, tmp_path):
     write_awards(with_lineage, dataset, atomic=True)
     with pytest.raises(ValueError, match="behind"):
         read_by_key(spark, path, dataset)
+
+
+def test_wide_rows_are_shuffled_once_to_be_laid_out(spark):
+    """Also where heavy keys are too many to be known to all tasks."""
+    wide, many = rows(spark), keys_of(spark, *(f"k {at}" for at in range(100))).distinct()
+    with writing(spark, by_key._one_shuffle(16) | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        light = plan(by_key._light_rows(wide, many, "award key", 16))
+    # That of the wide rows and those of the keys, which are made distinct here.
+    assert light.count("hashpartitioning(award key") == light.count(", 16)") == 2
+    assert "REPARTITION" not in light
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_many_heavy_keys(spark, tmp_path, threshold):
+    path, once = str(tmp_path / "many"), rows(spark)
+    wide = once.unionByName(once.filter(F.col("award key").endswith("1")))
+    with session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": threshold}):
+        layout = write_by_key(wide, path, "award key", buckets=4, heavy_rows=12)
+    often = {r[0] for r in wide.groupBy("award key").count().filter("count > 12").collect()} - {None}
+    assert 10 < len(often) < wide.select("award key").distinct().count() - 1
+    assert {r[0] for r in layout.heavy_keys.collect()} == often
+    assert {r[0] for r in layout.heavy.select("award key").distinct().collect()} == often | {None}
+    assert not often & {r[0] for r in layout.light.select("award key").distinct().collect()}
+    assert in_order(layout.rows()) == in_order(wide)
+    assert layout.light.columns == layout.heavy.columns == wide.columns
+    assert in_order(layout.totals(sums(), ["amount"])) == in_order(wide.groupBy("award key").agg(*sums()))
+    forget(spark, path)
+
+
+def test_what_a_write_has_shuffled_goes_with_its_end(spark, tmp_path):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = blocks.getAllFiles()
+        return {files.apply(at).getName() for at in range(files.size()) if files.apply(at).getName().startswith("shuffle_")}
+
+    before, path = shuffled(), str(tmp_path / "by-key")
+    staged(rows(spark).repartition(4, "amount"), "dealt")
+    with session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        write_by_key(rows(spark), path, "award key", buckets=4, heavy_rows=100)
+    lines = rows(spark).select(F.lit("2001").alias("year"), F.col("`a``b`").cast("string").alias("file"), F.lit("x,1").alias("line"))
+    assert write_drop_files(lines, "key,amount", str(tmp_path / "drops")) == ["2001"]
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    forget(spark, path)
