@@ -817,7 +817,8 @@ ORACLES["csv_roundtrip"] = with_awards(
 
 def subset_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = scratch_dir(spark, "transactions-csv"), scratch_dir(spark, "subset-csv")
-    write_csv(fixtures.awards(spark, sf_dir), source)
+    # The transactions lie on disk for the whole job: as text they would take the most of it.
+    write_csv(fixtures.awards(spark, sf_dir), source, compression="gzip")
     subset.subset_job(spark, source, target)
     rows = read_plain_csv(spark, target)
     return rounded(

@@ -96,10 +96,17 @@ def _plain(kind: T.DataType, as_text: bool) -> T.DataType:
     return T.LongType() if isinstance(kind, T.IntegralType) else kind
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header, one file per task; a single file only for small results."""
+def write_csv(
+    df: DataFrame, path: str, single_file: bool = False, compression: str = "none"
+) -> None:
+    """CSV with a header, one file per task; a single file only for small results.
+
+    Compressed files (``gzip``) are read by one task each.
+    """
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    with writing(df.sparkSession):
+        write = out.write.mode("overwrite").option("header", True).option("escape", '"')
+        write.option("compression", compression).csv(path)
 
 
 def write_awards(

@@ -288,3 +288,10 @@ def test_the_subset_job_stages_its_input_once(spark, tmp_path, monkeypatch):
     assert all(row["note"] == f"n{row[subset.KEY]}" for row in found)
     assert {"0", "1", "38", "39"} <= {row[subset.KEY] for row in found}
     assert len(found) >= 8
+
+
+def test_whole_rows_are_staged_small(spark, monkeypatch):
+    staged, how_staged = subset.staged, []
+    monkeypatch.setattr(subset, "staged", lambda df, name, **how: how_staged.append(how) or staged(df, name, **how))
+    assert subset.build_subset(subset_input(spark, 40), stage_rows=True).count() >= 8
+    assert [how["compression"] for how in how_staged] == ["zstd"]

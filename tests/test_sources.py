@@ -129,3 +129,12 @@ def test_scratch_folders_are_new_and_shared(spark):
     assert first != second
     base = spark.conf.get("spark.checkpoint.dir", None)
     assert base is None or first.startswith(base)
+
+
+def test_csv_may_be_compressed(spark, tmp_path):
+    rows = spark.createDataFrame([("a,\"b\"", 1), (None, 2), ("c", None)], "name string, n long")
+    for kind, end in (("none", ".csv"), ("gzip", ".csv.gz")):
+        path = str(tmp_path / kind)
+        write_csv(rows, path, compression=kind)
+        assert all(str(p).endswith(end) for p in (tmp_path / kind).glob("part-*"))
+        assert sorted(map(str, read_plain_csv(spark, path).collect())) == sorted(map(str, rows.collect()))
